@@ -41,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A group is hot when it has at least 1 / HOT_SHARE of all rows; there can be no more than HOT_SHARE such groups.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with one row per group, where one group may hold a third of all rows.
+
+    ``size`` is the groups' column with their number of rows. Hot groups (at most HOT_SHARE) are broadcast, so their
+    rows stay where they are; all others meet in a sort-merge join.
+    """
+    least = F.greatest(F.lit(2), F.lit(rows.count() // HOT_SHARE))
+    hot, lone = groups.filter(F.col(size) >= least), groups.filter(F.col(size) < least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(lone.hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def lower_ascii(text: str | Column) -> Column:
     """The text with A-Z in lower case and nothing else changed; null is empty."""
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)

@@ -17,10 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlark.llm.common import lower_ascii, work_path, written
-
-#: A group is hot when it has at least 1 / HOT_SHARE of all rows; there can be no more than HOT_SHARE such groups.
-HOT_SHARE = 1000
+from planlark.llm.common import join_groups, lower_ascii, work_path, written
 
 
 class DigestIndex:
@@ -65,14 +62,8 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
         "digest_keepers",
     )
     index.append(fresh.select("text_sha256", F.col("new_id").alias("keep_id")))
-    least = F.greatest(F.lit(2), F.lit(digests.count() // HOT_SHARE))
-    hot = keepers.filter(F.col("group_size") >= least)
-    lone = keepers.filter(F.col("group_size") < least)
-    hot_keys = F.broadcast(hot.select("text_sha256"))
-    if_hot = digests.join(F.broadcast(hot), "text_sha256")
-    rest = digests.join(hot_keys, "text_sha256", "left_anti").join(lone.hint("merge"), "text_sha256")
-    cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    return if_hot.select(*cols).unionByName(rest.select(*cols))
+    rows = join_groups(digests, keepers, "text_sha256", "group_size")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op1_exact_dedup(spark: SparkSession, docs: DataFrame, buckets: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlark.llm import exact_dedup, hamming, html_extract, secrets, toxicity, warc
+from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, rans_store, secrets, toxicity, warc
 from planlark.llm.common import LOWER, UPPER, table
 
 
@@ -14,6 +14,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op1_exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.op2_bpe(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3_mixing(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op4_ngram_join(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.op5_topk(spark, table(spark, sf_dir, "embeddings"))
 
@@ -30,16 +48,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_store.op9_rans(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10_warc(spark, table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_exact_topk": op5_exact_topk,
     "op6_html_extraction": op6_html_extraction,
     "op7_secret_scans": op7_secret_scans,
     "op8_toxicity": op8_toxicity,
+    "op9_rans": op9_rans,
     "op10_warc": op10_warc,
 }
 

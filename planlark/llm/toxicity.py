@@ -166,6 +166,16 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
 
 
+def kept_rows(docs: DataFrame, lexicon: Lexicon, below: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores below a bound."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t or "") < below for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     out = scored(docs, fit(labelled(docs, labels, max_rows)))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
