@@ -75,11 +75,15 @@ def cells(token: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, max_rows: int) -> DataFrame:
     """(random, token) from at most max_rows documents of each label."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+
+    def picked(rows: DataFrame) -> DataFrame:
+        ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # ids alone, so no text meets in one task
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+
     has = docs.filter(F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS_KEPT) | F.col("text").rlike(HEX_KEPT))
-    secret = base_spans(has.orderBy(*order).limit(max_rows))
+    secret = base_spans(picked(has))
     random = secret.select(F.lit(True).alias("random"), F.explode("base.value").alias("token")).filter(F.length("token") >= 12)
-    plain = docs.orderBy(*order).limit(max_rows).select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token"))
+    plain = picked(docs).select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token"))
     return random.unionByName(plain)
 
 
