@@ -56,9 +56,9 @@ def topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         probes = probes.select("q", "seg", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("own")))).alias("val"))
         far = [F.bit_count(segment(F.col("q"), s).bitwiseXOR(segment(F.col("code"), s))) for s in range(SEGMENTS)]
         first = F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1
-        met = probes.join(index, ["seg", "val"]).filter((F.array_min(F.array(*far)) == r) & (first == F.col("seg")))
+        met = probes.join(index.hint("merge"), ["seg", "val"]).filter((F.array_min(F.array(*far)) == r) & (first == F.col("seg")))
         near = met.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
-        fresh = near.join(codes, "code").select("q", "code", "distance", F.explode("ids").alias("id"))
+        fresh = near.join(codes.hint("merge"), "code").select("q", "code", "distance", F.explode("ids").alias("id"))
         best = written(first_by(best.unionByName(fresh), "q", ["distance", "id"], need).drop("rank"), "best")
         covered = SEGMENTS * (r + 1) - 1
         state = active.join(best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("worst")), "q", "left")
