@@ -28,7 +28,7 @@ def sign_code(vector: str) -> Column:
     """Bit i is 1 where component i is positive."""
     bit = lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     folded = F.aggregate(F.transform(vector, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.assert_true(F.coalesce(F.size(vector), F.lit(0)) <= 64, "more than 64 components").isNull() & F.col(vector).isNotNull(), folded)
+    return F.when(F.size(vector) > 64, F.raise_error(F.lit("more than 64 components"))).when(F.col(vector).isNotNull(), folded)
 
 
 def segment(code: Column, s: int) -> Column:

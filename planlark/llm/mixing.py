@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planlark.functions.rational import let
 from planlark.llm.common import written
 
 MAX_DOMAINS, FOLD = 64, 6
@@ -80,8 +81,8 @@ def posterior(model) -> Column:
         return sum((-(F.col("x")[k] - m) * (F.col("x")[k] - m) / (2 * v) for k, (m, v) in enumerate(zip(means, variances, strict=True))), terms[0])
 
     logs = F.array(*[F.when(F.col("n") > 0, log_joint(p, m, v)).otherwise(F.lit(p)) for _, p, m, v in model])
-    shifted = F.transform(logs, lambda s: F.exp(s - F.array_max(logs)))
-    return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    shifted = let(logs, lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda s: F.exp(s - top))))
+    return let(shifted, lambda a: let(F.aggregate(a, F.lit(0.0), lambda t, e: t + e), lambda t: F.transform(a, lambda e: e / t)))
 
 
 def soft_members(docs: DataFrame, domains: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlark.llm.bpe_chunks import TAIL, groups_of, ids_of_piece, is_plain, no_cycles
+from planlark.llm.bpe_chunks import TAIL, groups_of, ids_of_piece, no_cycles
 from planlark.llm.common import put_file, work_path, written
 
 LANES, BLOCK, EVERY, ROLL = 1024, 1 << 18, 128, 1 << 22
@@ -39,7 +39,7 @@ LOW = np.uint64(1 << 31)
 MAGIC = b"PLRANS01"
 END = 0
 SAFE = re.compile(r" (?<=\S )(?=\S)")  # a space between two other characters: no token crosses it but as its first byte
-MAX_PIECES = 1_000_000
+MAX_PIECES, SHORT = 1_200_000, 9
 
 
 class Pieces:
@@ -56,32 +56,49 @@ class Pieces:
         self.memo: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that the memo lacks, each once, in one call; the pattern cuts between a letter and a mark."""
-        memo = self.memo
+        """Encode the pieces that the memo lacks, each once; the pattern cuts between a letter and the mark after it."""
+        memo, model = self.memo, self.model
         cut, ask = [], set(TAIL)
-        for p in pieces - memo.keys():
-            rest = p[:-1] if p[-1] in TAIL and p[-2:-1].isalpha() else p
-            cut.append((p, rest))
-            ask.add(rest)
-        asked = [*(ask - memo.keys())]
-        other = [p for p in asked if not is_plain(p[p[0] == " " :])]
-        ids_of = dict(zip(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)] if other else (), strict=True))
-        for p in asked:
-            memo[p] = array("H", ids_of[p] if p in ids_of else ids_of_piece(self.model, p)).tobytes()
-        for p, rest in cut:
-            if p not in memo:
-                memo[p] = memo[rest] + memo[p[-1]]
+        for p in pieces:
+            if p[-1] in TAIL and p[-2:-1].isalpha():
+                cut.append(p)
+                ask.add(p[:-1])
+            else:
+                ask.add(p)
+        other = []
+        for p in ask - memo.keys():
+            word = p[1:] if p[0] == " " else p
+            if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                memo[p] = array("H", ids_of_piece(model, p)).tobytes()
+            else:
+                other.append(p)
+        if other:
+            for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                memo[p] = array("H", e.ids).tobytes()
+        for p in cut:
+            memo[p] = memo[p[:-1]] + memo[p[-1]]
+
+    def split(self, text: str) -> list[str]:
+        """Pieces that no token crosses: before a space, and around a line end, between other characters."""
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1 and "\0" not in text:
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        first, *rest = SAFE.split(text)
+        return [first, *[" " + x for x in rest]] if first else []
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MAX_PIECES:
-            self.memo.clear()
-        split = []
-        for t in texts:
-            first, *rest = SAFE.split(t)
-            split.append([first, *[" " + x for x in rest]] if first else [])
-        self.learn({p for ps in split for p in ps})
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+            self.memo = {p: v for p, v in self.memo.items() if len(p) <= SHORT}
+        if len(self.memo) > MAX_PIECES // 2:
+            self.memo = {}
+        get = self.memo.get
+        split = [self.split(t) for t in texts]
+        found = [[*map(get, ps)] for ps in split]
+        gaps = [[i for i, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
+        self.learn({ps[i] for ps, g in zip(split, gaps, strict=True) for i in g})
+        for ps, vs, g in zip(split, found, gaps, strict=True):
+            for i in g:
+                vs[i] = get(ps[i])
+        return [b"".join(vs) for vs in found]
 
 
 PIECES: dict[str, Pieces] = {}

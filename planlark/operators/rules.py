@@ -12,6 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planlark.functions.checks import checked
 from planlark.operators.verdict import DECISIVE, NO_APPLICABLE_RULE, NOT_FOUND, REVIEW_REQUIRED
 
 LAYERS = {"GLOBAL": 0, "PROJECT": 1, "RUN": 2}
@@ -69,7 +70,7 @@ def layered(parameters: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("__n"),
         F.count_distinct("__rank").alias("__layers"),
     )
-    alone = F.assert_true(F.col("__n") == F.col("__layers"), "two values on one layer").isNull()
+    alone = checked(F.lit(True), F.col("__n") == F.col("__layers"), "two values on one layer")
     shadowed = F.transform(F.slice("__all", 1, F.size("__all") - 1), lambda x: F.concat_ws("=", x["layer"], x["value"].cast("string")))
     return found.filter(alone).select(*keys, "name", "value", "layer", F.array_join(shadowed, ",").alias("shadowed"))
 
@@ -86,7 +87,7 @@ def required_inputs(rules: DataFrame) -> DataFrame:
     two cardinalities is an error. E7."""
     each = rules.select("rule_id", F.explode("inputs").alias("input", "cardinality"))
     found = each.groupBy("input").agg(F.min("cardinality").alias("cardinality"), F.max("cardinality").alias("__hi"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
-    return found.filter(F.assert_true(F.col("cardinality") == F.col("__hi"), "conflicting cardinality").isNull()).drop("__hi")
+    return found.filter(checked(F.lit(True), F.col("cardinality") == F.col("__hi"), "conflicting cardinality")).drop("__hi")
 
 
 def every_variant(outcomes: DataFrame, keys: list[str]) -> DataFrame:

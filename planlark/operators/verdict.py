@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlark.functions import checks
+
 PASS, FAIL, NOT_FOUND, REVIEW_REQUIRED, NO_APPLICABLE_RULE = "PASS", "FAIL", "NOT_FOUND", "REVIEW_REQUIRED", "NO_APPLICABLE_RULE"
 DECISIVE = (PASS, FAIL)
 
@@ -30,7 +32,7 @@ def equals(actual: Column, expected: Column) -> Column:
 
 def within_tolerance(actual: Column, expected: Column, tolerance: Column) -> Column:
     """|actual - expected| <= tolerance; a negative tolerance is the author's error and raises. V3."""
-    checked = F.when(F.assert_true(tolerance >= 0, "tolerance must not be negative").isNull(), tolerance)
+    checked = checks.checked(tolerance, tolerance >= 0, "tolerance must not be negative")
     return verdict(F.abs(actual - expected) <= checked)
 
 
@@ -43,12 +45,12 @@ def maximum(value: Column, bound: Column) -> Column:
 
 
 def between(value: Column, low: Column, high: Column) -> Column:
-    checked = F.when(F.assert_true(low <= high, "low must not exceed high").isNull(), low)
+    checked = checks.checked(low, low <= high, "low must not exceed high")
     return verdict((value >= checked) & (value <= high))
 
 
 def one_of(value: Column, options: Column) -> Column:
-    checked = F.when(F.assert_true(F.size(options) > 0, "no options").isNull(), options)
+    checked = checks.checked(options, F.size(options) > 0, "no options")
     return verdict(F.array_contains(checked, value))
 
 
@@ -61,7 +63,7 @@ def difference_between(a: Column, b: Column) -> Column:
 
 
 def scale(value: Column, times: Column) -> Column:
-    return value * F.when(F.assert_true(times >= 0, "times must not be negative").isNull(), times)
+    return value * checks.checked(times, times >= 0, "times must not be negative")
 
 
 def conditional_required(when: Column, value: Column) -> Column:
@@ -71,7 +73,7 @@ def conditional_required(when: Column, value: Column) -> Column:
 
 def total(values: Column) -> Column:
     """The sum of a list; an empty one is an error. V12."""
-    checked = F.when(F.assert_true(F.size(values) > 0, "nothing to sum").isNull(), values)
+    checked = checks.checked(values, F.size(values) > 0, "nothing to sum")
     return F.aggregate(checked, checked[0] - checked[0], lambda a, x: a + x)
 
 
@@ -97,7 +99,7 @@ def worst_deviation(values: Column, expected: Column) -> Column:
 
 
 def all_within_tolerance(values: Column, expected: Column, tolerance: Column) -> Column:
-    checked = F.when(F.assert_true(F.size(values) > 0, "nothing to compare").isNull(), values)
+    checked = checks.checked(values, F.size(values) > 0, "nothing to compare")
     return verdict(worst_deviation(checked, expected) <= tolerance)
 
 

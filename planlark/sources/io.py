@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planlark.functions.checks import checked
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; filters and columns are pushed into the scan. S1."""
@@ -48,8 +50,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def checked_cases(cases: DataFrame, files: DataFrame) -> DataFrame:
     """Gold cases (case_id, path, content_hash) whose files (path, content) still have their bytes; others raise. S6."""
     found = cases.join(files.select("path", F.sha2("content", 256).alias("__sha")), "path", "left")
-    same = F.assert_true(F.coalesce(F.col("content_hash") == F.concat(F.lit("sha256:"), F.col("__sha")), F.lit(False)), "a case's file has changed")
-    return found.filter(same.isNull()).drop("__sha")
+    same = F.coalesce(F.col("content_hash") == F.concat(F.lit("sha256:"), F.col("__sha")), F.lit(False))
+    return found.filter(checked(F.lit(True), same, "a case's file has changed")).drop("__sha")
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
