@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def distinct_segments(df: DataFrame) -> DataFrame:
     """Segments (page, x0, y0, x1, y1) whatever their direction. G1."""
-    a, b = F.struct("x0", "y0"), F.struct("x1", "y1")
+    a, b = F.struct("x0", "y0"), F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0"))
     return df.withColumns({"__a": F.least(a, b), "__b": F.greatest(a, b)}).select("page", F.col("__a.x0").alias("x0"), F.col("__a.y0").alias("y0"), F.col("__b.x0").alias("x1"), F.col("__b.y0").alias("y1")).distinct()
 
 
