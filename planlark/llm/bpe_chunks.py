@@ -43,6 +43,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = re.compile(r"[ \n]")
 TAIL = ".,;:!?"
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -140,7 +141,7 @@ class Encoder:
         cut, ask = [], set()
         for w in words - known.keys():
             mark = w[-1]
-            rest = w[:-1] if mark in TAIL and w[-2:-1].isalpha() else w
+            rest = w[:-1] if mark in TAIL and w[-2:-1].isalpha() and w[-2] != "\u0130" else w  # its lower case ends with a mark
             if is_plain(rest):
                 rest = rest.lower()
             cut.append((w, rest, mark))
@@ -178,8 +179,12 @@ class Encoder:
             self.chunks, self.held = {}, 0
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        plans, fresh = [], {}
-        for text in texts:
+        plans, fresh, whole = [], {}, {}
+        for k, text in enumerate(texts):
+            if any(c in text for c in SEPARATORS):
+                ids = self.library(text)
+                whole[k] = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]))
+                text = ""
             chunks = self.chunked(text)
             self.met += len(chunks)
             for c in chunks:
@@ -221,6 +226,8 @@ class Encoder:
             ids += [p[0] for p in pairs]
             names += [p[1] for p in pairs]
             out.append((b"".join(ids), " ".join(filter(None, names))))
+        for k, got in whole.items():
+            out[k] = got
         return out
 
 
