@@ -80,8 +80,10 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """Pieces that no token crosses: before a space, and around a line end, between other characters."""
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1 and "\0" not in text:
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        if text.replace("\n", " ").isprintable():  # so there is no other white space
+            found = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            if "" not in found and " " not in found:
+                return found
         first, *rest = SAFE.split(text)
         return [first, *[" " + x for x in rest]] if first else []
 
