@@ -103,8 +103,9 @@ def is_plain(word: str) -> bool:
 
 
 def ids_of_piece(model, piece: str) -> list[int]:
-    """Ids of one piece by the library's model itself, without the steps that would find the piece again."""
-    return [t.id for t in model.tokenize(piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(BYTE_NAMES))]
+    """Ids of one piece (letters, perhaps after a space) by the library's model itself, without the steps that would find it again."""
+    space, word = (BYTE_NAMES[32], piece[1:]) if piece[0] == " " else ("", piece)
+    return [t.id for t in model.tokenize(space + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)))]
 
 
 class Encoder:

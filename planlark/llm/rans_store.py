@@ -39,7 +39,7 @@ LOW = np.uint64(1 << 31)
 MAGIC = b"PLRANS01"
 END = 0
 SAFE = re.compile(r" (?<=\S )(?=\S)")  # a space between two other characters: no token crosses it but as its first byte
-MAX_PIECES, SHORT = 1_200_000, 9
+MAX_PIECES, SHORT = 2_400_000, 9
 
 
 class Pieces:
