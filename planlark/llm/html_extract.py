@@ -5,8 +5,8 @@ the page votes for the generalised tag-class path of its best one. Spark sums th
 path with the most votes wins its host. Second pass: each page is extracted from its container on the winning path,
 or from its own best container where it has none there.
 
-Skew: votes are pre-aggregated before the shuffle; a host may hold a third of all pages, so pages meet the winners on
-(host, salt), the winners being repeated SALTS times (rows of some tens of bytes).
+Skew: votes are pre-aggregated before the shuffle; a host may hold a third of all pages, so the pages of hot hosts (at
+most HOT_SHARE of them) stay where they are and learn the path from a broadcast; all others meet it in a merge join.
 
 Cases: a null or empty html gives an empty text; a null url is the host ''; ties go to the smaller path; repeated rows
 are extracted each; unclosed tags, comments, scripts end with the page; further columns are ignored.
@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlark.llm.common import written
+from planlark.llm.common import join_groups, written
 
-SALTS = 16
 #: Elements whose content is never text, elements that hold no main text, inline and void elements.
 RAW = frozenset("script style template noscript iframe svg math object canvas textarea select title".split())
 ASIDE = frozenset("nav footer aside form button menu dialog head".split())
@@ -191,23 +190,21 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host. pages: with_host()."""
+    """(host, path, n_pages): the path with the most votes of each host, null without a vote. pages: with_host()."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "path": pa.array([vote(h) for h in batch.column("html").to_pylist()], pa.string())})
 
-    cast = pages.select("host", "html").mapInArrow(votes, "host string, path string").filter("path IS NOT NULL")
+    cast = pages.select("host", "html").mapInArrow(votes, "host string, path string")
     counted = cast.groupBy("host", "path").count()
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("count"), F.col("path"))).alias("path"))
+    return counted.groupBy("host").agg(F.min_by("path", F.when(F.col("path").isNotNull(), F.struct(-F.col("count"), F.col("path")))).alias("path"), F.sum("count").alias("n_pages"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     pages = with_host(pages)
     winners = written(winning_paths(pages), "winning_paths")
-    salted = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    both = dealt.join(salted.hint("merge"), ["host", "salt"], "left").select("page_id", "url", "html", "path")
+    both = join_groups(pages, winners, "host", "n_pages").select("page_id", "url", "html", "path")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
