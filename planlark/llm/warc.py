@@ -76,7 +76,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     decided = revisits(pages, min_bytes)
     full = pages.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    both = full.join(decided.withColumnsRenamed({"page_id": "d_page", "digest": "d_digest"}), F.col("page_id").eqNullSafe(F.col("d_page")) & (F.col("digest") == F.col("d_digest")))
+    # a merge join brings repeated rows together, where they become one capture
+    both = full.join(decided.withColumnsRenamed({"page_id": "d_page", "digest": "d_digest"}).hint("merge"), F.col("page_id").eqNullSafe(F.col("d_page")) & (F.col("digest") == F.col("d_digest")))
     dealt = both.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
