@@ -16,11 +16,16 @@ and hashes decide the rest.
    subtree is left when the elements that remain cannot reach the bound.
 4. Links give components. Shingles with many classes then give every pair between different components, which is
    verified in the same way, and the components are formed again. There the sketches travel with the postings, so pairs
-   without a chance never leave the task. No link is lost; none inside a component is needed.
+   without a chance never leave the task. Components are right without the pairs inside a component.
+5. ``links`` counts a class's similar classes, all of them: where two classes of one component share a shingle with many
+   classes, all pairs of that component are counted, in tiles of two blocks of its classes. Each class's text goes once
+   to each tile of its block, and a tile's overlaps come from products of 0/1 matrices. Elsewhere the links of 3 and 4
+   are all there are.
 
 Skew: copies are pre-aggregated; partners of a class are dealt in blocks of BLOCK; the last step deals the classes of a
 shingle in blocks of TILE, a task holding two of them, and emits no pair inside a component. What stays quadratic is a shingle shared by many classes that are unlike each
-other although it is among the rarest of each.
+other although it is among the rarest of each, and the count of links inside a large component (a number for each class
+and tile leaves the task, no pairs).
 
 Cases: null and empty texts, and texts without words, have an empty set, no link and their own id as component; texts of
 fewer than five words have one shingle; rows with one doc_id are one node; a null doc_id has a null component.
@@ -43,6 +48,8 @@ from planlark.llm.components import components
 WIDTH = 5
 HEAVY_MAX, HEAVY_LEAST = 100_000, 20
 SMALL, LEADERS, BLOCK, TILE = 12, 3, 256, 2048
+#: A block of a component's classes holds so many shingles at most, on average.
+TILE_SHINGLES = 1 << 22
 SKETCH_BITS = 1024
 #: Classes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle join.
 FEW_IDS = 2_000_000
@@ -396,8 +403,89 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, heavy: np.nd
     return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of every two sets, exactly."""
+    m = len(sets)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    size = np.bincount(at)[at]
+    out = np.zeros((m, m), dtype=np.float32)  # exact below 2 ** 24
+    often = (size > 1) & (10 * size > m)
+    cols, col = np.unique(at[often], return_inverse=True)
+    of, bounds = owner[often], np.searchsorted(col, np.arange(0, len(cols) + 512, 512))
+    for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        x = np.zeros((m, 512), dtype=np.float32)
+        x[of[s:e], col[s:e] - 512 * k] = 1
+        out += x @ x.T
+    rare, flat = ~often, out.reshape(-1)
+    at, owner, size = at[rare], owner[rare], size[rare]
+    for k in range(1, int(size.max(initial=0))):
+        more = size > k
+        at, owner, size = at[more], owner[more], size[more]
+        i = np.flatnonzero(at[:-k] == at[k:])
+        np.add.at(flat, owner[i] * m + owner[i + k], np.float32(1))
+        np.add.at(flat, owner[i + k] * m + owner[i], np.float32(1))
+    return out
+
+
+def tile_degrees(sets: list[np.ndarray], block: np.ndarray) -> np.ndarray:
+    """For each set the number of similar ones: of the other block, or of its own where there is one block."""
+    n, common, inner = np.array([len(x) for x in sets], dtype=np.int64), overlaps(sets), block.min() == block.max()
+    found = np.zeros(len(sets), dtype=np.int64)
+    for s in range(0, len(sets), 256):
+        of = slice(s, s + 256)
+        ok = 7 * common[of] >= 3 * (n[of, None] + n)
+        if inner:
+            ok[np.arange(len(ok)), np.arange(s, s + len(ok))] = False
+        else:
+            ok &= block[of, None] != block
+        found[of] = ok.sum(axis=1)
+    return found
+
+
+def inner_degrees(docs: DataFrame, classes: DataFrame, comps: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(cls, counted): all similar classes of each class whose component has a crowded shingle in several of its classes."""
+    met = crowded.join(comps.select("cls", "component").hint("merge"), "cls").groupBy("w", "component").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
+    some = met.filter("least <> most").select("component").distinct()
+    sizes = comps.join(classes.select("cls", "n").hint("merge"), "cls").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")
+    groups = written(sizes.join(some.hint("merge"), "component").select("component", "m", blocks.alias("blocks")), "counted_components")
+    rows = written(join_groups(comps.select("cls", "component"), groups, "component", "m"), "counted_classes")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = class_texts(docs, classes, rows.select("cls")).join(rows.hint("merge"), "cls")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
+    inner = F.col("block") == F.col("other")
+    dealt = placed.select(tile.alias("tile"), "cls", "block", inner.alias("inner"), "text").repartition("tile").sortWithinPartitions("tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, key, held = Shingler(), None, []
+
+        def counted() -> pa.RecordBatch:
+            cls, block, inner, sets = zip(*held, strict=True)
+            # a tile of two blocks of which one is empty has no pair of its own
+            alone = not any(inner) and len(set(block)) == 1
+            found = np.zeros(len(cls), dtype=np.int64) if alone else tile_degrees(list(sets), np.array(block))
+            return pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "links": found})
+
+        for batch in batches:
+            for tile, cls, block, inner, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "cls", "block", "inner", "text")), strict=True):
+                if tile != key and held:
+                    yield counted()
+                    held.clear()
+                key = tile
+                held.append((cls, block, inner, shingler(text or "")))
+        if held:
+            yield counted()
+
+    return written(dealt.mapInArrow(run, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("counted")), "counted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, links): class_id is the smallest doc_id with an equal set."""
+    """(doc_id, n_shingles, component_id, class_id, links): class_id is the smallest doc_id with an equal set, links the
+    number of other sets that are similar enough."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiled = written(profile(docs), "profile")
     sets = profiled.filter("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "sketch")
@@ -408,13 +496,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(pairs, docs, classes, heavy)
     comps = class_components(links, classes)
     crowded = met.filter("w IS NOT NULL").select("w", F.col("a").alias("cls"), "n", "at", "before")
-    if not crowded.isEmpty():
+    is_crowded = not crowded.isEmpty()
+    if is_crowded:
         more = written(across(tiles(crowded, comps, classes)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = written(links.unionByName(verified(more, docs, classes, heavy)), "links")
             comps = class_components(links, classes)
     degrees = links.select(F.col("a").alias("cls")).unionAll(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-    groups = written(comps.join(degrees, "cls", "left").select("cls", "members", "component", "rep", F.coalesce("links", F.lit(0)).alias("links")), "groups")
+    if not is_crowded:
+        counted = degrees.select("cls", F.col("links").alias("counted"))
+    else:
+        counted = inner_degrees(docs, classes, comps, crowded)
+    found = comps.join(degrees, "cls", "left").join(counted, "cls", "left")
+    groups = written(found.select("cls", "members", "component", "rep", F.coalesce("counted", "links", F.lit(0)).alias("links")), "groups")
     linked = join_groups(sets.filter("cls IS NOT NULL").drop("sketch"), groups, "cls", "members")
     cols = ["doc_id", "n_shingles"]
     alone = sets.filter("cls IS NULL").select(*cols, F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))

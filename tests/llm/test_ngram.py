@@ -4,6 +4,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 from planlark.llm import ngram_join
 from planlark.llm.components import components
 from tests.llm.texts import SF
@@ -107,3 +109,39 @@ def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def links_by_all_pairs(rows):
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    every = set(sets.values())
+    near = {x: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in every) if x else 0 for x in every}
+    return {i: near[x] for i, x in sets.items()}
+
+
+def links_found(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.links for r in ngram_join.op4_ngram_join(spark, docs).collect()}
+
+
+def test_links_of_a_large_family(spark, monkeypatch):
+    draw = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    base = [draw.choice(vocabulary) for _ in range(120)]
+    rows = [(i, " ".join(changed(draw, base, draw.choice([0.005, 0.015, 0.03]), vocabulary))) for i in range(90)]
+    rows += [(200 + i, " ".join(base)) for i in range(20)]
+    rows += [(300 + i, " ".join(base[40:] + [draw.choice(vocabulary) for _ in range(k)])) for i, k in enumerate(range(5, 45))]
+    rows += [(400 + i, t) for i, t in enumerate((None, "", "one two", "a b c d e f g h i", "a b c d e f g h i j"))]
+    want = links_by_all_pairs(rows)
+    assert max(want.values()) > 50
+    assert links_found(spark, rows) == want
+    monkeypatch.setattr(ngram_join, "TILE", 16)  # components of many blocks
+    assert links_found(spark, rows) == want
+
+
+def test_overlaps_against_sets():
+    draw = random.Random(5)
+    for m, top in ((1, 5), (2, 3), (40, 60), (130, 4000)):
+        plain = [set(draw.sample(range(top), draw.randrange(1, min(top, 50)))) for _ in range(m)]
+        got = ngram_join.overlaps([np.array(sorted(x), dtype=np.uint64) for x in plain])
+        assert all(got[i, j] == len(plain[i] & plain[j]) for i, j in combinations(range(m), 2))
+        assert (got == got.T).all()
