@@ -6,8 +6,9 @@ identifier and emits one nested row per capture. Archives are gzip files with a
 into the shared folder (whole or not at all, under names that a repeated task reuses), and rolled at ROLL_BYTES so
 that a reader's task holds one archive of bounded size (a single larger record makes a larger archive).
 
-Cases: a null html is an empty payload; payloads of fewer than ``min_bytes`` bytes are never revisits; repeated rows
-(same id, same payload) are one capture; a null url gives an empty target; an empty table gives no archive and no row.
+Cases: a null html is an empty payload; payloads of fewer than ``min_bytes`` bytes are never revisits; each row is a
+capture, and those of one id and payload are numbered by url, the number ending the record's id from the second on
+(``write_archives`` alone takes rows equal in id, url and payload as one unless ``repeats`` is set); a null url gives an empty target; an empty table gives no archive and no row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlark.llm.common import put_file, work_path, written
@@ -58,8 +59,8 @@ def record(kind: str, rid: str, headers: list[tuple[str, str]], block: bytes) ->
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def capture(page_id: int, url: str, html: bytes, digest: str, refers_to: int | None) -> bytes:
-    rid, uri = f"urn:page:{page_id}:{digest}", [("WARC-Target-URI", "".join(url.split()))]
+def capture(page_id: int, url: str, html: bytes, digest: str, refers_to: int | None, number: int = 1) -> bytes:
+    rid, uri = f"urn:page:{page_id}:{digest}" + (f":{number}" if number > 1 else ""), [("WARC-Target-URI", "".join(url.split()))]
     payload, near = ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Concurrent-To", f"<{rid}>")
     head = HTTP_HEAD.format(len(html)).encode()
     if refers_to is None:
@@ -71,14 +72,18 @@ def capture(page_id: int, url: str, html: bytes, digest: str, refers_to: int | N
     return ask + main + meta
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write the captures of (page_id, url, html) below ``path``; returns a manifest (archive, captures)."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, repeats: bool = False) -> DataFrame:
+    """Write the captures of (page_id, url, html) below ``path``; returns a manifest (archive, captures).
+
+    Rows equal in all three are a capture each with ``repeats``, one capture without.
+    """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     decided = revisits(pages, min_bytes)
-    full = pages.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    # a merge join brings repeated rows together, where they become one capture
-    both = full.join(decided.withColumnsRenamed({"page_id": "d_page", "digest": "d_digest"}).hint("merge"), F.col("page_id").eqNullSafe(F.col("d_page")) & (F.col("digest") == F.col("d_digest")))
-    dealt = both.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url")
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), "digest")
+    full = pages.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("key", key)
+    # a merge join brings rows of one id and payload together; the window keeps them in one task and numbers them
+    both = full.join(decided.select(key.alias("key"), "refers_to").hint("merge"), "key")
+    dealt = both.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("url"))).select("page_id", "url", "html", "digest", "refers_to", "number")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, parts, n, size, last, held = TaskContext.get().partitionId(), 0, 0, 0, None, []
@@ -88,11 +93,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
             return pa.RecordBatch.from_pydict({"archive": [f"part-{part:06d}-{parts:05d}.warc.gz"], "captures": pa.array([n], pa.int64())})
 
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                if (page_id, digest) == last:
+            for page_id, url, html, digest, refers_to, number in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "number")), strict=True):
+                if (page_id, digest, url) == last and not repeats:
                     continue
-                last = (page_id, digest)
-                held.append(capture(page_id, url, html.encode(), digest, refers_to))
+                last = (page_id, digest, url)
+                held.append(capture(page_id, url, html.encode(), digest, refers_to, number))
                 n, size = n + 1, size + len(held[-1])
                 if size >= ROLL_BYTES:
                     yield done()
@@ -171,7 +176,7 @@ def captures(records: DataFrame) -> DataFrame:
 
 def op10_warc(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     path = work_path(spark, "warc")
-    manifest = write_archives(pages, path, min_bytes)
+    manifest = write_archives(pages, path, min_bytes, repeats=True)
     if manifest.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     rows = captures(read_records(spark, path)).filter(F.col("response").isNotNull())

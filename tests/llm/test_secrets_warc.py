@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,21 @@ def test_files_are_written_whole(tmp_path):
     put_file(f"file://{tmp_path}/a/b.bin", b"one")
     put_file(f"{tmp_path}/a/b.bin", b"two")
     assert [(p.name, p.read_bytes()) for p in (tmp_path / "a").iterdir()] == [("b.bin", b"two")]
+
+
+def test_a_record_for_every_row(spark):
+    more = [(1, "http://a.example/again", "<p>one</p>"), (4, "http://b.example/2", ""), (7, "http://e.example", "x"), (7, "http://e.example", "x"), (None, "http://n.example/2", "null id")]
+    rows = PAGES + more
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, want = Counter(tuple(r) for r in warc.op10_warc(spark, pages).collect()), Counter()
+    for i, _, h in rows:
+        head = max((j for j, _, g in rows if (g or "") == (h or "") and j is not None), default=None)
+        back = head if head != i else None
+        want[(i, len((h or "").encode()), digest(h), "response" if back is None else "revisit", back)] += 1
+    assert got == want
+    path = work_path(spark, "warc-test")
+    assert warc.write_archives(pages, path, repeats=True).agg(F.sum("captures")).first()[0] == len(rows)
+    records = warc.read_records(spark, path).collect()
+    assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
+    found = Counter((r.page_id, r.target_uri) for r in records if r.record_type in ("response", "revisit"))
+    assert found == Counter((i, "".join((u or "").split())) for i, u, _ in rows)
