@@ -167,6 +167,17 @@ def variant_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.applicability(cases, snaps, "brand").select("p_partkey", "applies", "abstains")
 
 
+@query("""
+    SELECT p_partkey, CASE WHEN p_type = 'MEDIUM' THEN 'R-M' WHEN p_partkey % 17 = 0 THEN NULL WHEN p_type = 'SMALL' AND p_brand = 'Brand#3' THEN 'R-S' WHEN p_type = 'SMALL' THEN 'R-SG' WHEN p_type = 'LARGE' AND p_brand = 'Brand#1' THEN 'R-L' END AS applies,
+        CASE WHEN p_type NOT IN ('SMALL', 'LARGE', 'MEDIUM') THEN 'NO_APPLICABLE_RULE' WHEN p_type = 'MEDIUM' THEN NULL WHEN p_partkey % 17 = 0 THEN 'REVIEW_REQUIRED' WHEN p_type = 'LARGE' AND p_brand <> 'Brand#1' THEN 'NO_APPLICABLE_RULE' END AS abstains
+    FROM part""")
+def variant_applicability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 E4 S2 over every part: an unknown brand takes a type's only global rule, and needs review where the type has variants."""
+    snaps = spark.createDataFrame(SNAPSHOTS, "rule_id string, version string, product_type string, variant string")
+    cases = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("product_type"), F.when(F.col("p_partkey") % 17 != 0, F.col("p_brand")).alias("brand"))
+    return B.applicability(cases, snaps, "brand").select("p_partkey", "applies", "abstains")
+
+
 @query("""
     SELECT c.c_mktsegment AS project, p.name, CASE WHEN p.name = 'gap' AND c.c_mktsegment = 'BUILDING' THEN 4 WHEN p.name = 'depth' AND c.c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 25 ELSE p.v END AS value,
         CASE WHEN p.name = 'gap' AND c.c_mktsegment = 'BUILDING' THEN 'RUN' WHEN p.name = 'depth' AND c.c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'PROJECT' ELSE 'GLOBAL' END AS layer,
