@@ -81,6 +81,23 @@ def identifier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("state", R.match_state(F.col("n")))
 
 
+@query("""
+    WITH u AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, 'exact' AS lane FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_suppkey % 3 <> 0
+        UNION ALL SELECT s_suppkey, c_custkey, 'alias' FROM supplier JOIN customer ON c_custkey = s_suppkey + 5 WHERE s_suppkey % 3 = 0)
+    SELECT s_suppkey AS left_id, u.lane, count(u.right_id) AS n, CASE count(u.right_id) WHEN 0 THEN 'UNMATCHED' WHEN 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS state FROM supplier LEFT JOIN u ON u.left_id = s_suppkey GROUP BY 1, 2""")
+def identifier_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 R2 J11 J12 over all suppliers and customers, the aliases made from the suppliers: exact identifiers first."""
+    suppliers, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    raw = F.concat(F.when(key % 3 == 0, "old-").otherwise("k_ "), key.cast("string"))
+    aliases = L.alias_table(suppliers.select(F.concat(F.lit("OLD "), key).alias("alias"), F.concat(F.lit("k"), key + 5).alias("target")))
+    items = suppliers.select(key.alias("left_id"), L.exact_key(raw).alias("k"))
+    items = items.join(aliases, items["k"] == aliases["alias"], "left").select("left_id", "k", F.col("target").alias("via"))
+    others = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("right_id"), L.exact_key(F.concat(F.lit("K-"), F.col("c_custkey"))).alias("other_k"))
+    found = R.exact_then_alias(items, others, "k", "via", "left_id").select("left_id", "lane", "right_id")
+    g = items.select("left_id").join(found, "left_id", "left").groupBy("left_id", "lane").agg(F.count("right_id").alias("n"))
+    return g.withColumn("state", R.match_state(F.col("n")))
+
+
 @query("""
     SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, round((CASE WHEN a.p_size = b.p_size THEN 3 ELSE 0 END + CASE WHEN a.p_name = b.p_name THEN 2 ELSE 0 END) / 5.0::DOUBLE, 6) AS score
     FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND a.p_type = b.p_type WHERE a.p_size = b.p_size OR a.p_name = b.p_name""")

@@ -12,3 +12,15 @@ def test_every_part_has_its_applicability(spark):
     unknown = [r for r in parts if r.p_partkey % 17 == 0]
     assert {got[r.p_partkey] for r in unknown if r.p_type == "MEDIUM"} == {("R-M", None)}
     assert {got[r.p_partkey] for r in unknown if r.p_type in ("SMALL", "LARGE")} == {(None, "REVIEW_REQUIRED")}
+
+
+def test_customers_and_suppliers_of_any_key_meet(spark, tmp_path):
+    spark.range(0, 200).selectExpr("id * 50 AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(0, 9000).selectExpr("id AS c_custkey").union(spark.sql("SELECT 50L")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.left_id: (r.lane, r.n, r.state) for r in plans.QUERIES["identifier_match_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i in range(0, 10_000, 50):
+        k, lane = (i + 5, "alias") if i % 3 == 0 else (i, "exact")
+        n = (k < 9000) + (k == 50)
+        want[i] = (lane if n else None, n, ("UNMATCHED", "MATCHED", "AMBIGUOUS")[n])
+    assert got == want
