@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +113,29 @@ def cover_density(text: Column, terms: Column) -> Column:
     return rank / (rank + 1)
 
 
+def cover_ranks(rows: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, cover): ``cover_density`` of rows with words and terms (arrays), in one pass over the
+    words of each row, for whole texts as queries. R6."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks = []
+            for words, terms in zip(batch.column("words").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                last, asked, start, rank = OrderedDict(), set(terms), -1, 0.0
+                for i, w in enumerate(words):
+                    if w in asked:
+                        last[w] = i
+                        last.move_to_end(w)
+                        a = next(iter(last.values()))
+                        if len(last) == len(asked) and a > start:
+                            start, rank = a, rank + 1.0 / (i - a + 1)
+                ranks.append(round(rank / (rank + 1), 6))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_id", "doc_id", "score")), pa.array(ranks, pa.float64())], names=["query_id", "doc_id", "score", "cover"])
+
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ("query_id", "doc_id", "score")) + ", cover double")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

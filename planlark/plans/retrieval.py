@@ -38,6 +38,26 @@ def lexical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lexical_lane(table(spark, sf_dir, "documents"), q)
 
 
+@query("""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM documents),
+    q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')) AS t FROM benchmark),
+    i AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), f AS (SELECT term, count(*) AS df FROM i GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+    x AS (SELECT item_id, len(t) AS k, unnest(t) AS term FROM q),
+    m AS (SELECT x.item_id, i.doc_id, max(x.k) AS k, round(sum(1 + ln((n.n + 1)::DOUBLE / (f.df + 1))), 6) AS score FROM x JOIN f ON f.term = x.term JOIN i ON i.term = x.term CROSS JOIN n GROUP BY 1, 2 HAVING count(*) = max(x.k)),
+    p AS (SELECT m.item_id, m.doc_id, m.k, unnest(d.w) AS term, unnest(range(len(d.w))) AS i FROM m JOIN d ON d.doc_id = m.doc_id),
+    o AS (SELECT p.* FROM p JOIN x ON x.item_id = p.item_id AND x.term = p.term),
+    l AS (SELECT a.item_id, a.doc_id, a.k, a.i AS b, z.term, max(z.i) AS s FROM o a JOIN o z ON a.item_id = z.item_id AND a.doc_id = z.doc_id AND z.i <= a.i GROUP BY 1, 2, 3, 4, 5),
+    c AS (SELECT item_id, doc_id, b, min(s) AS a FROM l GROUP BY 1, 2, 3 HAVING count(*) = max(k)), v AS (SELECT item_id, doc_id, a, min(b) AS b FROM c GROUP BY 1, 2, 3),
+    r AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (b - a + 1)) AS r FROM v GROUP BY 1, 2)
+    SELECT m.item_id AS query_id, m.doc_id, round(m.score + round(r / (r + 1), 6), 6) AS score, round(r / (r + 1), 6) AS cover FROM m JOIN r ON r.item_id = m.item_id AND r.doc_id = m.doc_id""")
+def lexical_documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with every word of a whole benchmark item, by inverse frequency plus cover density."""
+    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = L.lexical_lane(d, q).join(q.select(F.col("id").alias("query_id"), F.array_distinct(L.words_of(F.col("text"))).alias("terms")), "query_id")
+    ranks = L.cover_ranks(found.join(d.select("doc_id", L.words_of(F.col("text")).alias("words")), "doc_id"))
+    return ranks.withColumn("score", F.round(F.col("score") + F.col("cover"), 6))
+
+
 @query("""
     WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)
     SELECT left_id, right_id, 'dense' AS lane, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM p) WHERE rank <= 5""")
