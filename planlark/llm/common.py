@@ -41,6 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What an Arrow batch holds at most, in rows and bytes: a Python worker has a few batches of texts in memory at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches; smaller bounds that it already has are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if not now or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 #: A group is hot when it has at least 1 / HOT_SHARE of all rows; there can be no more than HOT_SHARE such groups.
 HOT_SHARE = 1000
 

@@ -2,6 +2,9 @@
 
 Each round joins every node to the least node around it; the links stay in tables, and only their number and a check
 sum come to the driver. Rounds grow with the logarithm of the longest chain.
+
+Skew: the centre of a star may have a third of all nodes around it. Each node's least neighbour comes from a partial
+aggregate that is written, so the join back is a plain sort-merge join whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """links: (a long, b long). Returns (node, component) for each node with a link; component is its smallest node."""
 
     def least(both: DataFrame) -> DataFrame:
-        mins = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(mins, "u")
+        mins = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        return both.join(mins.hint("merge"), "u")
 
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None

@@ -4,37 +4,42 @@ A document's set holds its distinct five-word shingles, as 64-bit hashes. Two se
 share one of the first n / 4 + 1 elements of each, in any order that all sets follow. Here common shingles come last,
 and hashes decide the rest.
 
-1. Each text gives its set's size and hash; equal sets are one class from here on (copies cost nothing further).
+1. Each text gives its set's size and hash; equal sets are one class from here on (copies cost nothing further). The
+   hash has 128 bits, of which 64 name the class; where two sets share a name, one takes its other half.
    The same pass counts shingles that recur within a task; the most frequent ones (HEAVY_MAX at most) form the tail of
-   the order. They only shape the order, so any such list gives the same links.
+   the order. They only shape the order and the dealing, so any such list gives the same links.
 2. Each class posts its prefix; postings meet by shingle. Pairs pass the length and position bounds to be candidates.
-   A shingle of up to SMALL classes gives all its pairs; one of more gives pairs with three leaders. A sketch of each
-   set (the parity of its elements in up to SKETCH_BITS bits) then drops pairs whose sketches differ in more bits than
-   similar sets can differ in elements; two sets never differ in fewer elements than their sketches in bits.
-3. Candidates are verified: for a class and its partners, the partners' ordered sets form a trie (sorted, each path
-   going on from the depth that it shares with the one before). Overlaps are counted once for a shared path, and a
-   subtree is left when the elements that remain cannot reach the bound.
-4. Links give components. Shingles with many classes then give every pair between different components, which is
-   verified in the same way, and the components are formed again. There the sketches travel with the postings, so pairs
-   without a chance never leave the task. Components are right without the pairs inside a component.
-5. ``links`` counts a class's similar classes, all of them: where two classes of one component share a shingle with many
-   classes, all pairs of that component are counted, in tiles of two blocks of its classes. Each class's text goes once
-   to each tile of its block, and a tile's overlaps come from products of 0/1 matrices. Elsewhere the links of 3 and 4
-   are all there are.
-
-Skew: copies are pre-aggregated; partners of a class are dealt in blocks of BLOCK; the last step deals the classes of a
-shingle in blocks of TILE, a task holding two of them, and emits no pair inside a component. What stays quadratic is a shingle shared by many classes that are unlike each
-other although it is among the rarest of each, and the count of links inside a large component (a number for each class
-and tile leaves the task, no pairs).
+   A shingle of up to SMALL classes gives all its pairs; one of more gives pairs with LEADERS leaders, and its postings
+   go on to step 3. A sketch of each set (the parity of its elements in up to SKETCH_BITS bits) then drops pairs whose
+   sketches differ in more bits than similar sets can differ in elements; two sets never differ in fewer elements than
+   their sketches in bits.
+3. The pairs that are left form neighbourhoods (components of candidates). The postings of shingles with many classes
+   are compared once more, by sketch, between neighbourhoods: a pair that has a chance unites two of them. So each pair
+   of similar sets lies inside one neighbourhood.
+4. Prefix-tree join: each class's text goes to its neighbourhood, and the ordered sets there form one trie. A walk over
+   the trie carries the overlaps with all sets of the neighbourhood at once, counts a shared path once, and leaves a
+   subtree when the elements that remain cannot reach the bound for any of them. It gives each class's number of links,
+   and links enough to connect what is connected; these give the components.
+
+Skew: copies are pre-aggregated. The postings of one shingle are dealt in blocks of about CROWD, whose leaders meet in a
+second round; step 3 deals its classes in blocks of TILE, a task holding two of them, and emits at most a pair for each
+union. A neighbourhood is dealt in blocks of at most TILE classes too, each text going once to each tile of its block.
+What stays quadratic is the work of counting links inside one neighbourhood, and step 3's comparison for a shingle
+shared by many classes that are unlike each other although it is among the rarest of each. Rows do not: no pairs leave
+a task but those that unite.
 
 Cases: null and empty texts, and texts without words, have an empty set, no link and their own id as component; texts of
-fewer than five words have one shingle; rows with one doc_id are one node; a null doc_id has a null component.
+fewer than five words have one shingle; a class is named by its smallest doc_id, so rows of one doc_id and different
+texts meet where that is the smallest of both; a null doc_id has a null component, and a set that only such rows have is
+no partner; repeated rows are reported each; very long texts are hashed in spans of SPAN bytes; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,43 +47,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlark.llm.bpe_chunks import BASE, INVERSE, mixed, powers
-from planlark.llm.common import join_groups, written
+from planlark.llm.common import bounded_batches, join_groups, written
 from planlark.llm.components import components
 
 WIDTH = 5
 HEAVY_MAX, HEAVY_LEAST = 100_000, 20
-SMALL, LEADERS, BLOCK, TILE = 12, 3, 256, 2048
-#: A block of a component's classes holds so many shingles at most, on average.
-TILE_SHINGLES = 1 << 22
+SMALL, LEADERS, CROWD, TILE = 12, 3, 4096, 1024
+#: A block of a neighbourhood's classes holds so many shingles at most, on average.
+TILE_SHINGLES = 1 << 20
 SKETCH_BITS = 1024
-#: Classes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle join.
-FEW_IDS = 2_000_000
+#: Texts are hashed in spans of so many bytes; a word of more than LONG bytes is hashed by itself.
+SPAN, LONG = 1 << 16, 1 << 12
+#: What a task remembers to post a class once; forgetting costs repeated postings only.
+SEEN_MAX = 200_000
+#: Two classes of one 64-bit name: expected once in 6e9 classes, so the list stays short.
+CLASHES_MAX = 100_000
 EMPTY = np.empty(0, dtype=np.uint64)
 
 
 class Shingler:
     def __init__(self):
-        self.up, self.down = powers(BASE, 1 << 14), powers(INVERSE, 1 << 14)
+        self.up, self.down = powers(BASE, SPAN + LONG), powers(INVERSE, SPAN + LONG)
         self.factors = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * BASE) | np.uint64(1)
 
-    def __call__(self, text: str) -> np.ndarray:
-        """The sorted set of shingle hashes."""
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        n = len(raw)
-        if not n:
-            return EMPTY
-        if n >= len(self.up):
-            self.up, self.down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
+    def words(self, raw: np.ndarray) -> np.ndarray:
+        """A hash of each word of the text's bytes."""
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            return EMPTY
-        low = raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32))
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-        words = mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        out = np.empty(len(starts), dtype=np.uint64)
+        bounds = np.append(np.searchsorted(starts, np.arange(0, len(raw), SPAN)), len(starts))
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if a == b:
+                continue
+            part = raw[k * SPAN : (k + 1) * SPAN + LONG]
+            part = part + (((part >= 65) & (part <= 90)) * np.uint8(32))
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], out=sums[1:])
+            s, size = starts[a:b] - k * SPAN, ends[a:b] - starts[a:b]
+            out[a:b] = mixed((sums[np.minimum(s + size, len(part))] - sums[s]) * self.down[s] + size.astype(np.uint64))
+            for i in a + np.flatnonzero(size > LONG):
+                word = bytes(raw[starts[i] : ends[i]]).lower()  # of bytes: A-Z alone
+                out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        """The sorted set of shingle hashes."""
+        words = self.words(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))
         m = len(words)
+        if not m:
+            return EMPTY
         width = min(m, WIDTH)
         out = np.full(m - width + 1, width, dtype=np.uint64)
         for k in range(width):
@@ -86,8 +104,23 @@ class Shingler:
         return np.unique(mixed(out))
 
 
-def class_hash(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names(hashes: np.ndarray) -> tuple[int, int]:
+    """The class's name, and the number that takes its place where another set has that name."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def class_hash(hashes: np.ndarray, clashes: dict[int, int]) -> int:
+    """clashes: for a name that several sets have, the second number of the set that keeps it."""
+    name, second = names(hashes)
+    return second if name in clashes and clashes[name] != second else name
+
+
+class Heavy(NamedTuple):
+    """The most frequent shingles, sorted, and the number of blocks in which each one's postings are dealt."""
+
+    values: np.ndarray
+    blocks: np.ndarray
 
 
 def ordered(hashes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -128,7 +161,7 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, sketch) of each document, and (null, count, shingle) of recurring shingles where ``shingle`` is set.
+    """(doc_id, n, cls, second, sketch) of each document, and (null, count, .., shingle) of recurring shingles.
 
     The sketch is given where a task first meets the class.
     """
@@ -147,68 +180,83 @@ def profile(docs: DataFrame) -> DataFrame:
                 values, n = values[top], n[top]
             return values, n
 
+        def rows(doc_id, n, cls, second, sketch, shingle):
+            return pa.RecordBatch.from_pydict({"doc_id": doc_id, "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "second": pa.array(second, pa.int64()), "sketch": pa.array(sketch, pa.binary()), "shingle": shingle})
+
         for batch in batches:
-            sizes, classes, sketches = [], [], []
+            sizes, classes, seconds, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingler(text or "")
+                name, second = names(h) if len(h) else (None, None)
+                fresh = len(h) and name ^ second not in seen
                 sizes.append(len(h))
-                classes.append(class_hash(h) if len(h) else None)
-                sketches.append(sketch_of(h) if len(h) and classes[-1] not in seen else None)
-                if len(h) and classes[-1] not in seen:
-                    seen.add(classes[-1])
+                classes.append(name)
+                seconds.append(second)
+                sketches.append(sketch_of(h) if fresh else None)
+                if fresh:
+                    seen.add(name ^ second)
                     held.append(h)
                     size += len(h)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     kept, counts = merged(kept, counts, held)
                     held, size = [], 0
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN_MAX:
                     seen.clear()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "cls": pa.array(classes, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "shingle": pa.nulls(len(sizes), pa.int64())})
+            yield rows(batch.column("doc_id"), sizes, classes, seconds, sketches, pa.nulls(len(sizes), pa.int64()))
         kept, counts = merged(kept, counts, held)
         more = counts > 2
-        k = int(more.sum())
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[more]), "cls": pa.nulls(k, pa.int64()), "sketch": pa.nulls(k, pa.binary()), "shingle": pa.array(kept[more].view(np.int64))})
+        none = [None] * int(more.sum())
+        yield rows(pa.nulls(len(none), pa.int64()), counts[more], none, none, none, pa.array(kept[more].view(np.int64)))
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, sketch binary, shingle long")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, second long, sketch binary, shingle long")
 
 
-def heavy_shingles(profiled: DataFrame) -> np.ndarray:
-    """The most frequent shingles, sorted: at most HEAVY_MAX numbers."""
+def heavy_shingles(profiled: DataFrame) -> Heavy:
+    """At most HEAVY_MAX shingles."""
     sums = profiled.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
-    rows = sums.orderBy(F.desc("n"), "shingle").limit(HEAVY_MAX).select("shingle").toPandas()
-    return np.sort(rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+    rows = sums.orderBy(F.desc("n"), "shingle").limit(HEAVY_MAX).toPandas()
+    values, n = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(values)
+    return Heavy(values[order], (-(-n // CROWD))[order])
 
 
-POSTING = "w long, cls long, n int, at int, before int"
+#: ``salt`` is 0 for a shingle whose postings are dealt together, else the block; ``before`` is the element before this one.
+POSTING = "w long, salt int, cls long, n int, at int, before long"
 
 
-def postings(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """A row per class (once a task) and element of its prefix; ``before`` is a hash of the element before it."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def postings(docs: DataFrame, heavy: Heavy, clashes: dict[int, int]) -> DataFrame:
+    """A row per class (once a task) and element of its prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast((heavy.values, heavy.blocks, clashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, blocks, clashes = shared.value
         shingler, seen, cols, size = Shingler(), set(), [], 0
 
         def out():
             w, cls, n, at, before = (np.concatenate(c) for c in zip(*cols, strict=True))
-            return pa.RecordBatch.from_pydict({"w": w.view(np.int64), "cls": cls, "n": n, "at": at, "before": before})
+            salt = np.zeros(len(w), dtype=np.int32)
+            if (blocks > 1).any():
+                k = np.minimum(np.searchsorted(values, w), len(values) - 1)
+                i = np.flatnonzero((values[k] == w) & (blocks[k] > 1))
+                salt[i] = 1 + (mixed(cls[i].view(np.uint64) ^ w[i]) % blocks[k[i]].astype(np.uint64)).astype(np.int32)
+            return pa.RecordBatch.from_pydict({"w": w.view(np.int64), "salt": salt, "cls": cls, "n": n, "at": at, "before": before.view(np.int64)})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 h = shingler(text or "")
-                if not len(h) or (c := class_hash(h)) in seen:
+                if not len(h) or (c := class_hash(h, clashes)) in seen:
                     continue
                 seen.add(c)
                 k = len(h) // 4 + 1
-                w = ordered(h, shared.value)[:k]
-                before = np.zeros(k, dtype=np.int32)
-                before[1:] = (w[:-1] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)  # the low half: sets are ordered by the high one
+                w = ordered(h, values)[:k]
+                before = np.zeros(k, dtype=np.uint64)
+                before[1:] = w[:-1]
                 cols.append((w, np.full(k, c, dtype=np.int64), np.full(k, len(h), dtype=np.int32), np.arange(k, dtype=np.int32), before))
                 size += k
-                if size > 200_000:
+                if size > 100_000:
                     yield out()
                     cols, size = [], 0
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN_MAX:
                 seen.clear()
         if cols:
             yield out()
@@ -216,19 +264,26 @@ def postings(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, POSTING)
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Batches cut where the (sorted) key changes, so that no run of a key is split."""
+def changes(cols: dict[str, np.ndarray], keys: tuple[str, ...]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; true for the first."""
+    out = np.ones(len(cols[keys[0]]), dtype=bool)
+    out[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)
+    return out
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[dict[str, np.ndarray]]:
+    """Batches cut where the (sorted) keys change, so that no run of a key is split."""
     rest: list[dict[str, np.ndarray]] = []
     glue = lambda parts: {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        change = np.flatnonzero(cols[key] != cols[key][-1])
-        if rest and cols[key][-1] == rest[-1][key][-1]:
+        starts = np.flatnonzero(changes(cols, keys))
+        last = int(starts[-1])
+        if rest and all(cols[k][0] == rest[-1][k][-1] for k in keys) and not last:
             rest.append(cols)
             continue
-        last = int(change[-1]) + 1 if len(change) else 0
         if rest or last:
             yield glue([*rest, {c: v[:last] for c, v in cols.items()}])
         rest = [{c: v[last:] for c, v in cols.items()}]
@@ -236,292 +291,321 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.n
         yield glue(rest)
 
 
+CANDIDATE = "a long, b long, w long, salt int, n int, at int, before long, leader boolean"
+
+
 def candidates(posted: DataFrame) -> DataFrame:
-    """(a, b) candidate pairs with w null; and the postings of crowded shingles with w set, as (cls, packed)."""
+    """(a, b) candidate pairs with w null; and the postings of crowded shingles, by class a, with w set.
+
+    ``leader`` marks the postings of the leaders of a shingle that is dealt in blocks: they meet in a round of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in runs(batches, "w"):
-            w, cls, n, at, before = (g[c] for c in ("w", "cls", "n", "at", "before"))
-            starts = np.flatnonzero(np.diff(w, prepend=w[0] - 1) != 0)
+        for g in runs(batches, "w", "salt"):
+            w, salt, cls, n, at, before = (g[c] for c in ("w", "salt", "cls", "n", "at", "before"))
+            starts = np.flatnonzero(changes(g, ("w", "salt")))
             size = np.diff(np.append(starts, len(w)))
-            small = np.repeat(size <= SMALL, size)
-            a, b = [], []
-            for k in range(1, min(SMALL, int(size.max(initial=1)))):
-                i = np.flatnonzero((w[:-k] == w[k:]) & small[:-k])
+            few = (size <= SMALL) & (salt[starts] == 0)
+            small = np.repeat(few, size)
+            a, b, leads = [], [], []
+            for k in range(1, min(SMALL, int(size[few].max(initial=1)))):
+                i = np.flatnonzero((w[:-k] == w[k:]) & small[:-k] & small[k:])
                 i = i[fits(n[i].astype(np.int64), at[i], n[i + k].astype(np.int64), at[i + k])]
                 i = i[(cls[i] != cls[i + k]) & ~((before[i] == before[i + k]) & (at[i] > 0) & (at[i + k] > 0))]
                 a.append(cls[i])
                 b.append(cls[i + k])
             crowded = ~small
-            for s, m in zip(starts[size > SMALL], size[size > SMALL], strict=True):
+            for s, m in zip(starts[~few], size[~few], strict=True):
                 of = slice(s, s + m)
                 most = np.maximum(n[of].min(), -(-3 * n[of].astype(np.int64) // 4))  # the smallest partner that it may have here
-                crowded[of] = 7 * (n[of].astype(np.int64) - at[of]) >= 3 * (n[of] + most)
+                crowded[of] = (7 * (n[of].astype(np.int64) - at[of]) >= 3 * (n[of] + most)) | (salt[s] > 0)
                 for lead in s + np.argsort(cls[of], kind="stable")[:LEADERS]:
                     ok = fits(n[of].astype(np.int64), at[of], int(n[lead]), int(at[lead])) & (cls[of] != cls[lead])
                     a.append(np.full(int(ok.sum()), cls[lead]))
                     b.append(cls[of][ok])
+                    if salt[s]:
+                        leads.append(lead)
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
             a, b = np.minimum(a, b), np.maximum(a, b)
             if len(a):
                 a, b = np.unique(np.stack([a, b]), axis=1)
-            none, k = pa.nulls(len(a), pa.int64()), int(crowded.sum())
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "w": none, "n": none.cast(pa.int32()), "at": none.cast(pa.int32()), "before": none.cast(pa.int32())})
-            yield pa.RecordBatch.from_pydict({"a": cls[crowded], "b": pa.nulls(k, pa.int64()), "w": w[crowded], "n": n[crowded], "at": at[crowded], "before": before[crowded]})
+            none, k, leader = pa.nulls(len(a), pa.int64()), int(crowded.sum()), np.zeros(len(w), dtype=bool)
+            leader[leads] = True
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "w": none, "salt": none.cast(pa.int32()), "n": none.cast(pa.int32()), "at": none.cast(pa.int32()), "before": none, "leader": pa.nulls(len(a), pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"a": cls[crowded], "b": pa.nulls(k, pa.int64()), "w": w[crowded], "salt": salt[crowded], "n": n[crowded], "at": at[crowded], "before": before[crowded], "leader": leader[crowded]})
 
-    dealt = posted.repartition("w").sortWithinPartitions("w")
-    return dealt.mapInArrow(run, "a long, b long, w long, n int, at int, before int")
+    dealt = posted.repartition("w", "salt").sortWithinPartitions("w", "salt")
+    return dealt.mapInArrow(run, CANDIDATE)
 
 
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches leave them a chance."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+    """(a, b) of the pairs whose sketches leave them a chance, as the classes' smallest doc_ids."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")), strict=True)
-            keep = [7 * apart(x, y) <= n + m for n, m, x, y in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = pa.array([7 * apart(x, y) <= n + m for n, m, x, y in rows], pa.bool_())
+            found = batch.filter(keep)
+            yield pa.RecordBatch.from_pydict({"a": found.column("rep_a"), "b": found.column("rep_b")})
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b").mapInArrow(run, "a long, b long")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
+def tiles(crowded: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings of shingles that several neighbourhoods share, with these and sketches, once for each tile of two blocks.
 
-def tiles(crowded: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Postings of shingles that several components share, with component and sketch, once for each tile of two blocks."""
-    named = written(crowded.join(comps.select("cls", F.col("component").alias("comp")).hint("merge"), "cls"), "crowded")
-    shared = named.groupBy("w").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
-    shared = shared.select("w", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    rows = named.join(shared.hint("merge"), "w").join(classes.select("cls", "sketch").hint("merge"), "cls")
+    Where a shingle's postings come in blocks, the join keeps them.
+    """
+    of = comps.filter("rep IS NOT NULL").select("cls", F.col("component").alias("comp"), "sketch")
+    named = written(crowded.join(of.select("cls", "comp").hint("merge"), "cls"), "crowded")
+    shared = named.groupBy("w").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("salt").alias("salts")).filter("least <> most")
+    shared = written(shared.select("w", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt")), "shared_shingles")
+    rows = named.join(shared.hint("merge"), ["w", "salt"]).join(of.select("cls", "sketch").hint("merge"), "cls")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tile = F.xxhash64("w", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.select(tile.alias("tile"), "cls", "n", "at", "before", "comp", "sketch", "block", (F.col("block") == F.col("other")).alias("inner"))
+    return rows.select("w", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n", "at", "before", "comp", "sketch", "block")
+
+
+class Unions:
+    """Groups of the numbers 0 to m - 1; unite() says whether two were apart."""
+
+    def __init__(self, m: int):
+        self.of = np.arange(m)
+
+    def unite(self, i: int, j: int) -> bool:
+        a, b = self.of[i], self.of[j]
+        if a == b:
+            return False
+        self.of[self.of == b] = a
+        return True
 
 
 def across(tiled: DataFrame) -> DataFrame:
-    """Every pair (a, b) of a tile between components that passes the bounds; blocks meet themselves in tiles of their own."""
+    """Pairs (a, b) of neighbourhoods to unite: some two of their sets, in one tile, pass the bounds and have a chance by sketch.
+
+    In a tile of two different blocks, pairs within a block are left to that block's own tile.
+    """
+    keys = ("w", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in runs(batches, "tile"):
-            starts = np.flatnonzero(np.diff(g["tile"], prepend=g["tile"][0] - 1) != 0)
-            for s, e in zip(starts, np.append(starts[1:], len(g["tile"])), strict=True):
-                cls, at, before, comp, block, inner, sketches = (g[c][s:e] for c in ("cls", "at", "before", "comp", "block", "inner", "sketch"))
-                n, size, levels = g["n"][s:e].astype(np.int64), np.array([len(x) for x in sketches]), {}
+        for g in runs(batches, *keys):
+            starts = np.flatnonzero(changes(g, keys))
+            a, b = [], []
+            for s, e in zip(starts, np.append(starts[1:], len(g["w"])), strict=True):
+                at, before, comp, block, sketches = (g[c][s:e] for c in ("at", "before", "comp", "block", "sketch"))
+                n, size, levels, inner = g["n"][s:e].astype(np.int64), np.array([len(x) for x in sketches]), {}, g["low"][s] == g["high"][s]
+                known, comp = np.unique(comp, return_inverse=True)
+                groups = Unions(len(known))
 
                 def level(width, sketches=sketches, levels=levels):
                     if width not in levels:
                         levels[width] = np.stack([folded(x if len(x) >= width else bytes(width), width) for x in sketches])
                     return levels[width]
 
-                for i in range(len(cls) - 1):
+                for i in range(e - s - 1):
                     rest = slice(i + 1, None)
-                    ok = fits(n[i], at[i], n[rest], at[rest]) & (comp[rest] != comp[i]) & (inner[i] | (block[rest] != block[i]))
+                    ok = fits(n[i], at[i], n[rest], at[rest]) & (groups.of[comp[rest]] != groups.of[comp[i]]) & (inner | (block[rest] != block[i]))
                     j = np.flatnonzero(ok & ~((before[rest] == before[i]) & (at[rest] > 0) & (at[i] > 0))) + i + 1
                     width = np.minimum(size[j], size[i])
                     for k in np.unique(width):
                         of = j[width == k]
                         bits = np.bitwise_count(level(k)[of] ^ level(k)[i]).sum(axis=1, dtype=np.int64)
-                        of = of[7 * bits <= n[of] + n[i]]
-                        if len(of):
-                            yield pa.RecordBatch.from_pydict({"a": np.minimum(cls[i], cls[of]), "b": np.maximum(cls[i], cls[of])})
-
-    return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
-
-
-def trie_matches(own: np.ndarray, partners: list[tuple[int, np.ndarray]]) -> list[int]:
-    """Partners similar to ``own`` (a sorted set). partners: (id, set in the common order)."""
-    n_own, found = len(own), []
-    path, counts = EMPTY, np.zeros(1, dtype=np.int64)
-    dead_depth, dead_size = 0, -1
-    for pid, h in sorted(partners, key=lambda p: p[1].astype(">u8").tobytes()):
-        n = min(len(path), len(h))
-        differ = np.flatnonzero(path[:n] != h[:n])
-        shared = int(differ[0]) if len(differ) else n
-        if dead_size >= 0 and shared >= dead_depth and len(h) <= dead_size:
+                        for x in np.unique(comp[of[7 * bits <= n[of] + n[i]]]):
+                            if groups.unite(comp[i], x):
+                                a.append(known[comp[i]])
+                                b.append(known[x])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+class Holders:
+    """For runs of elements: how many of them each set holds."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.m = len(sets)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(self.m), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        every, self.owner = every[order], owner[order]
+        self.values, self.first = np.unique(every, return_index=True)
+        self.count = np.diff(np.append(self.first, len(every)))
+        often = np.flatnonzero(8 * self.count > max(self.m, 32))  # held by many: a row of marks each
+        self.row = np.full(len(self.values), -1)
+        self.row[often] = np.arange(len(often))
+        self.marks = np.zeros((len(often), self.m), dtype=np.uint8)
+        for r, k in enumerate(often):
+            self.marks[r, self.owner[self.first[k] : self.first[k] + self.count[k]]] = 1
+
+    def of(self, elements: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.values, elements)
+        k = k[self.values[np.minimum(k, len(self.values) - 1)] == elements]
+        out, rows = np.zeros(self.m, dtype=np.int64), self.row[k]
+        if (rows >= 0).any():
+            out += self.marks[rows[rows >= 0]].sum(axis=0, dtype=np.int64)
+        k = k[rows < 0]
+        if len(k):
+            n = self.count[k]
+            at = np.arange(n.sum()) + np.repeat(self.first[k] - np.cumsum(n) + n, n)
+            out += np.bincount(self.owner[at], minlength=self.m)
+        return out
+
+
+def trie_join(owns: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a member, numbers of the owns similar to it), for members with any. Sets are in the common order.
+
+    The members form a trie: they are walked in the order of their paths, and counts stay known at the depth where the
+    next path leaves this one. Where no own set can reach the bound with the elements that remain, the subtree is left.
+    """
+    holders, n_own = Holders(owns), np.array([len(x) for x in owns], dtype=np.int64)
+    order = sorted(range(len(members)), key=lambda k: members[k].astype(">u8").tobytes())
+
+    def common(x: np.ndarray, y: np.ndarray) -> int:
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[:n] != y[:n])
+        return int(differ[0]) if len(differ) else n
+
+    stack = [(0, np.zeros(len(owns), dtype=np.int64))]
+    dead_depth, dead_size, shared = 0, -1, 0
+    for place, k in enumerate(order):
+        path = members[k]
+        ahead = common(path, members[order[place + 1]]) if place + 1 < len(order) else 0
+        while stack[-1][0] > shared:
+            stack.pop()
+        dead_size = dead_size if shared >= dead_depth else -1
+        shared = ahead
+        if len(path) <= dead_size:
             continue
-        dead_size = -1
-        shared = min(shared, len(counts) - 1)
-        at = np.minimum(np.searchsorted(own, h[shared:]), n_own - 1)
-        counts = np.concatenate([counts[: shared + 1], counts[shared] + np.cumsum(own[at] == h[shared:])])
-        path = h
-        # places where the elements that remain cannot reach the bound any more
-        lost = np.flatnonzero(7 * (counts - np.arange(len(counts))) + 4 * len(h) < 3 * n_own)
-        if len(lost):
-            dead_depth, dead_size = int(lost[0]), len(h)
-        elif similar(int(counts[-1]), n_own, len(h)):
-            found.append(pid)
-    return found
-
-
-def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of each wanted class, from the text of its first document."""
-    ids = written(wanted.join(classes, "cls").select("cls", F.col("rep").alias("doc_id")).distinct(), "wanted")
-    few = ids.count() <= FEW_IDS
-    found = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            keep = [class_hash(shingler(t or "")) == c for c, t in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield batch.select(["cls", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    # a doc_id may have several rows: those with this class's text, once
-    return found.select("cls", "text").mapInArrow(run, "cls long, text string").groupBy("cls").agg(F.first("text").alias("text"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    found = written(class_texts(docs, classes, wanted), "class_texts")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    own = dealt.select("a", "block").distinct().join(found.hint("merge"), F.col("a") == F.col("cls")).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
-    partner = dealt.join(found.hint("merge"), F.col("b") == F.col("cls")).select("a", "block", "b", "text")
+        depth, counts = stack[-1]
+        if ahead > depth:
+            depth, counts = ahead, counts + holders.of(path[depth:ahead])
+            stack.append((depth, counts))
+            if not (7 * (counts + len(path) - depth) >= 3 * (n_own + len(path))).any():
+                dead_depth, dead_size = depth, len(path)
+                continue
+        counts = counts + holders.of(path[depth:])
+        found = np.flatnonzero(7 * counts >= 3 * (n_own + len(path)))
+        if len(found):
+            yield k, found
+
+
+def joined(docs: DataFrame, comps: DataFrame, heavy: Heavy, clashes: dict[int, int]) -> DataFrame:
+    """Rows (cls, links, null) whose sum is each class's number of links, and rows (cls, 0, other) of links that connect
+    what is connected, by the smallest doc_ids of both."""
+    shared = docs.sparkSession.sparkContext.broadcast((heavy.values, clashes))
+    sizes = comps.filter("rep IS NOT NULL").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")
+    groups = written(sizes.select("component", "m", blocks.alias("blocks")), "neighbourhoods")
+    rows = join_groups(comps.filter("rep IS NOT NULL").select("component", "cls", "rep"), groups, "component", "m")
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "neighbours")
+    found = docs.join(rows, docs["doc_id"] == rows["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ("component", "low", "high")
+    dealt = found.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, key, own_set, partners = Shingler(), None, EMPTY, []
-
-        def matches(a):
-            return [(a, b) for b in trie_matches(own_set, partners)] if partners else []
+        values, clashes = shared.value
+        shingler, key, cls, rep, block, sets = Shingler(), None, [], [], [], []
+
+        def links() -> pa.RecordBatch:
+            m, inner, of = len(sets), key[1] == key[2], np.array(block)
+            degree, groups, edges = np.zeros(m, dtype=np.int64), Unions(m), []
+            low = np.flatnonzero(of == key[1])
+            high = low if inner else np.flatnonzero(of == key[2])
+            if len(low) and len(high):
+                for k, own in trie_join([sets[i] for i in low], [sets[i] for i in high]):
+                    i, own = high[k], low[own]
+                    own = own[own != i]
+                    degree[i] += len(own)
+                    if not inner:
+                        degree[own] += 1
+                    edges += [(i, j) for j in own[groups.of[own] != groups.of[i]] if groups.unite(i, j)]
+            a, b = zip(*edges, strict=True) if edges else ((), ())
+            ids = np.array(rep)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "cls": pa.array(cls + [cls[i] for i in a], pa.int64()),
+                    "links": pa.array([*degree, *[0] * len(a)], pa.int64()),
+                    "rep": pa.array([*ids, *ids[list(a)]] if a else ids, pa.int64()),
+                    "other": pa.array([None] * m + [int(ids[j]) for j in b], pa.int64()),
+                }
+            )
 
         for batch in batches:
-            pairs_out = []
-            for a, block, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b", "text")), strict=True):
-                if (a, block) != key:
-                    pairs_out += matches(key and key[0])
-                    key, partners = (a, block), []
-                if b is None:
-                    own_set = shingler(text or "")
-                else:
-                    partners.append((b, ordered(shingler(text or ""), shared.value)))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs_out], pa.int64()), "b": pa.array([p[1] for p in pairs_out], pa.int64())})
-        if key:
-            last = matches(key[0])
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in last], pa.int64()), "b": pa.array([p[1] for p in last], pa.int64())})
-
-    both = own.unionByName(partner).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return written(both.mapInArrow(run, "a long, b long"), "links")
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The number of common elements of every two sets, exactly."""
-    m = len(sets)
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), [len(x) for x in sets])
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    size = np.bincount(at)[at]
-    out = np.zeros((m, m), dtype=np.float32)  # exact below 2 ** 24
-    often = (size > 1) & (10 * size > m)
-    cols, col = np.unique(at[often], return_inverse=True)
-    of, bounds = owner[often], np.searchsorted(col, np.arange(0, len(cols) + 512, 512))
-    for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        x = np.zeros((m, 512), dtype=np.float32)
-        x[of[s:e], col[s:e] - 512 * k] = 1
-        out += x @ x.T
-    rare, flat = ~often, out.reshape(-1)
-    at, owner, size = at[rare], owner[rare], size[rare]
-    for k in range(1, int(size.max(initial=0))):
-        more = size > k
-        at, owner, size = at[more], owner[more], size[more]
-        i = np.flatnonzero(at[:-k] == at[k:])
-        np.add.at(flat, owner[i] * m + owner[i + k], np.float32(1))
-        np.add.at(flat, owner[i + k] * m + owner[i], np.float32(1))
-    return out
+            for *place, b, c, r, text in zip(*(batch.column(x).to_pylist() for x in (*keys, "block", "cls", "rep", "text")), strict=True):
+                if place != key and sets:
+                    yield links()
+                    cls, rep, block, sets = [], [], [], []
+                key = place
+                if cls and cls[-1] == c:
+                    continue  # the doc_id has several rows
+                h = shingler(text or "")
+                if len(h) and class_hash(h, clashes) == c:
+                    cls.append(c)
+                    rep.append(r)
+                    block.append(b)
+                    sets.append(ordered(h, values))
+        if sets:
+            yield links()
 
+    ordered_rows = dealt.repartition(*keys).sortWithinPartitions(*keys, "cls")
+    return ordered_rows.mapInArrow(run, "cls long, links long, rep long, other long")
 
-def tile_degrees(sets: list[np.ndarray], block: np.ndarray) -> np.ndarray:
-    """For each set the number of similar ones: of the other block, or of its own where there is one block."""
-    n, common, inner = np.array([len(x) for x in sets], dtype=np.int64), overlaps(sets), block.min() == block.max()
-    found = np.zeros(len(sets), dtype=np.int64)
-    for s in range(0, len(sets), 256):
-        of = slice(s, s + 256)
-        ok = 7 * common[of] >= 3 * (n[of, None] + n)
-        if inner:
-            ok[np.arange(len(ok)), np.arange(s, s + len(ok))] = False
-        else:
-            ok &= block[of, None] != block
-        found[of] = ok.sum(axis=1)
-    return found
-
-
-def inner_degrees(docs: DataFrame, classes: DataFrame, comps: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(cls, counted): all similar classes of each class whose component has a crowded shingle in several of its classes."""
-    met = crowded.join(comps.select("cls", "component").hint("merge"), "cls").groupBy("w", "component").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
-    some = met.filter("least <> most").select("component").distinct()
-    sizes = comps.join(classes.select("cls", "n").hint("merge"), "cls").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")
-    groups = written(sizes.join(some.hint("merge"), "component").select("component", "m", blocks.alias("blocks")), "counted_components")
-    rows = written(join_groups(comps.select("cls", "component"), groups, "component", "m"), "counted_classes")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    placed = class_texts(docs, classes, rows.select("cls")).join(rows.hint("merge"), "cls")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tile = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    inner = F.col("block") == F.col("other")
-    dealt = placed.select(tile.alias("tile"), "cls", "block", inner.alias("inner"), "text").repartition("tile").sortWithinPartitions("tile")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, key, held = Shingler(), None, []
+def classes_of(sets: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(cls, rep, members, n, sketch), and the names that several sets have; these are apart in the classes."""
+    classes = lambda rows: rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.min("second").alias("second"), F.max("second").alias("most"))
+    found = written(classes(sets), "classes")
+    twice = found.filter("second <> most").select("cls", "second").limit(CLASHES_MAX + 1).collect()
+    if len(twice) > CLASHES_MAX:
+        raise ValueError(f"more than {CLASHES_MAX} classes share their name with another")
+    return found.drop("second", "most"), {r.cls: r.second for r in twice}
 
-        def counted() -> pa.RecordBatch:
-            cls, block, inner, sets = zip(*held, strict=True)
-            # a tile of two blocks of which one is empty has no pair of its own
-            alone = not any(inner) and len(set(block)) == 1
-            found = np.zeros(len(cls), dtype=np.int64) if alone else tile_degrees(list(sets), np.array(block))
-            return pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "links": found})
-
-        for batch in batches:
-            for tile, cls, block, inner, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "cls", "block", "inner", "text")), strict=True):
-                if tile != key and held:
-                    yield counted()
-                    held.clear()
-                key = tile
-                held.append((cls, block, inner, shingler(text or "")))
-        if held:
-            yield counted()
 
-    return written(dealt.mapInArrow(run, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("counted")), "counted")
+def renamed(sets: DataFrame, clashes: dict[int, int]) -> DataFrame:
+    """The sets with the names that class_hash() gives; unchanged where no name is shared, which is the common case."""
+    if not clashes:
+        return sets
+    known = sets.sparkSession.createDataFrame([*clashes.items()], "cls long, keeps long")
+    other = F.col("keeps").isNotNull() & (F.col("keeps") != F.col("second"))
+    return sets.join(F.broadcast(known), "cls", "left").withColumn("cls", F.when(other, F.col("second")).otherwise(F.col("cls"))).drop("keeps")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, links): class_id is the smallest doc_id with an equal set, links the
     number of other sets that are similar enough."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiled = written(profile(docs), "profile")
-    sets = profiled.filter("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "sketch")
+    sets = profiled.filter("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "second", "sketch")
     heavy = heavy_shingles(profiled)
-    classes = written(sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    met = written(candidates(postings(docs, heavy)), "candidates")
-    pairs = written(promising(met.filter("w IS NULL").select("a", "b").distinct(), classes), "pairs")
-    links = verified(pairs, docs, classes, heavy)
-    comps = class_components(links, classes)
-    crowded = met.filter("w IS NOT NULL").select("w", F.col("a").alias("cls"), "n", "at", "before")
-    is_crowded = not crowded.isEmpty()
-    if is_crowded:
-        more = written(across(tiles(crowded, comps, classes)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    classes, clashes = classes_of(sets.filter("cls IS NOT NULL"))
+    if clashes:
+        sets = renamed(sets, clashes)
+        classes, _ = classes_of(sets.filter("cls IS NOT NULL"))
+    met = written(candidates(postings(docs, heavy, clashes)), "candidates")
+    pairs = met.filter("w IS NULL").select("a", "b")
+    leaders = met.filter("leader").select("w", F.lit(0).alias("salt"), F.col("a").alias("cls"), "n", "at", "before")
+    pairs = pairs.unionByName(candidates(leaders).filter("w IS NULL").select("a", "b")).distinct()
+    comps = class_components(written(promising(pairs, classes), "pairs"), classes)
+    crowded = met.filter("w IS NOT NULL").select("w", "salt", F.col("a").alias("cls"), "n", "at", "before")
+    if not crowded.isEmpty():
+        more = written(across(tiles(crowded, comps)).distinct(), "unions")
         if not more.isEmpty():
-            links = written(links.unionByName(verified(more, docs, classes, heavy)), "links")
-            comps = class_components(links, classes)
-    degrees = links.select(F.col("a").alias("cls")).unionAll(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-    if not is_crowded:
-        counted = degrees.select("cls", F.col("links").alias("counted"))
-    else:
-        counted = inner_degrees(docs, classes, comps, crowded)
-    found = comps.join(degrees, "cls", "left").join(counted, "cls", "left")
-    groups = written(found.select("cls", "members", "component", "rep", F.coalesce("counted", "links", F.lit(0)).alias("links")), "groups")
-    linked = join_groups(sets.filter("cls IS NOT NULL").drop("sketch"), groups, "cls", "members")
+            named = components(more).select(F.col("node").alias("component"), F.col("component").alias("united"))
+            comps = written(comps.join(named.hint("merge"), "component", "left").withColumn("component", F.coalesce("united", "component")).drop("united"), "neighbourhood_of")
+    found = written(joined(docs, comps, heavy, clashes), "joined")
+    degrees = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    comps = class_components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), classes)
+    groups = written(comps.join(degrees.hint("merge"), "cls", "left").select("cls", "members", "component", "rep", F.coalesce("links", F.lit(0)).alias("links")), "groups")
+    linked = join_groups(sets.filter("cls IS NOT NULL").drop("sketch", "second"), groups, "cls", "members")
     cols = ["doc_id", "n_shingles"]
     alone = sets.filter("cls IS NULL").select(*cols, F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
     return linked.select(*cols, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.col("rep").alias("class_id"), "links").unionByName(alone)
 
 
 def class_components(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, rep, members, component) of every class."""
-    of = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"))
-    named = links.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    found = components(named)
-    joined = classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
-    return written(joined.select("cls", "rep", "members", F.coalesce("component", "rep").alias("component")), "components")
+    """The classes with their component; links: (a, b) by smallest doc_ids."""
+    joined = classes.join(components(links).hint("merge"), F.col("rep") == F.col("node"), "left")
+    return written(joined.withColumn("component", F.coalesce("component", "rep")).drop("node"), "components")
 
 
 def op4_ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:

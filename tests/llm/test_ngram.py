@@ -134,14 +134,41 @@ def test_links_of_a_large_family(spark, monkeypatch):
     want = links_by_all_pairs(rows)
     assert max(want.values()) > 50
     assert links_found(spark, rows) == want
-    monkeypatch.setattr(ngram_join, "TILE", 16)  # components of many blocks
+    monkeypatch.setattr(ngram_join, "TILE", 16)  # neighbourhoods of many blocks
+    monkeypatch.setattr(ngram_join, "CROWD", 16)  # shingles of many blocks
     assert links_found(spark, rows) == want
+    assert found(spark, rows) == brute(rows)
 
 
-def test_overlaps_against_sets():
+def test_trie_join_against_sets():
     draw = random.Random(5)
-    for m, top in ((1, 5), (2, 3), (40, 60), (130, 4000)):
+    for m, top in ((1, 5), (2, 3), (40, 60), (130, 400)):
         plain = [set(draw.sample(range(top), draw.randrange(1, min(top, 50)))) for _ in range(m)]
-        got = ngram_join.overlaps([np.array(sorted(x), dtype=np.uint64) for x in plain])
-        assert all(got[i, j] == len(plain[i] & plain[j]) for i, j in combinations(range(m), 2))
-        assert (got == got.T).all()
+        plain += [x | {draw.randrange(top)} for x in plain]
+        sets = [np.array(sorted(x), dtype=np.uint64) for x in plain]
+        got = {(k, j) for k, own in ngram_join.trie_join(sets[: m + m // 2], sets) for j in own}
+        want = {(k, j) for k in range(len(sets)) for j in range(m + m // 2) if 100 * len(plain[k] & plain[j]) >= 75 * len(plain[k] | plain[j])}
+        assert got == want
+
+
+def test_long_texts_are_hashed_alike_wherever_their_words_lie():
+    shingler, draw = ngram_join.Shingler(), random.Random(6)
+    words = ["".join(draw.choice("abcXYZé") for _ in range(draw.randrange(1, 30))) for _ in range(12_000)] + ["x" * 70_000, "Y" * 5000, "z"]
+    got = shingler.words(np.frombuffer(" \n".join(words).encode(), dtype=np.uint8))
+    alone = {w: shingler.words(np.frombuffer(w.encode(), dtype=np.uint8))[0] for w in words}
+    assert [alone[w] for w in words] == got.tolist()
+    assert len(set(alone.values())) == len({"".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words})
+
+
+def test_two_sets_of_one_name(spark):
+    x, y = np.array([1, 2], dtype=np.uint64), np.array([3, 4], dtype=np.uint64)
+    (name, second), (_, other) = ngram_join.names(x), ngram_join.names(y)
+    assert ngram_join.class_hash(x, {name: second}) == name
+    assert ngram_join.class_hash(x, {name: other}) == second
+    rows = [(1, 2, name, second, b"a"), (2, 2, name, other, b"b"), (3, 2, 7, 8, b"c")]
+    sets = spark.createDataFrame(rows, "doc_id long, n_shingles long, cls long, second long, sketch binary")
+    _, clashes = ngram_join.classes_of(sets)
+    keeps = min(second, other)
+    assert clashes == {name: keeps}
+    got = {r.doc_id: r.cls for r in ngram_join.renamed(sets, clashes).collect()}
+    assert got == {1: name if second == keeps else second, 2: name if other == keeps else other, 3: 7}
