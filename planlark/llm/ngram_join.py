@@ -43,7 +43,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlark.llm.bpe_chunks import BASE, INVERSE, mixed, powers
@@ -54,7 +54,9 @@ WIDTH = 5
 HEAVY_MAX, HEAVY_LEAST = 100_000, 20
 SMALL, LEADERS, CROWD, TILE = 12, 3, 4096, 1024
 #: A block of a neighbourhood's classes holds so many shingles at most, on average.
-TILE_SHINGLES = 1 << 20
+TILE_SHINGLES = 1 << 22
+#: Classes whose place is broadcast (some 40 bytes each) to the scan of the texts; more meet them in a sort-merge join.
+FEW_IDS = 500_000
 SKETCH_BITS = 1024
 #: Texts are hashed in spans of so many bytes; a word of more than LONG bytes is hashed by itself.
 SPAN, LONG = 1 << 16, 1 << 12
@@ -217,11 +219,25 @@ def heavy_shingles(profiled: DataFrame) -> Heavy:
     rows = sums.orderBy(F.desc("n"), "shingle").limit(HEAVY_MAX).toPandas()
     values, n = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64)
     order = np.argsort(values)
-    return Heavy(values[order], (-(-n // CROWD))[order])
+    return Heavy(values[order], np.minimum(-(-n // CROWD), (1 << SALT_BITS) - 1)[order])
 
 
-#: ``salt`` is 0 for a shingle whose postings are dealt together, else the block; ``before`` is the element before this one.
-POSTING = "w long, salt int, cls long, n int, at int, before long"
+#: ``place`` packs the set's size, the element's place in it and the salt, which is 0 for a shingle whose postings are
+#: dealt together, else the block; ``before`` is the element before this one.
+POSTING = "w long, cls long, place long, before long"
+N_BITS, AT_BITS, SALT_BITS = 26, 24, 14
+
+
+def packed(n: np.ndarray, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (n.astype(np.int64) << (AT_BITS + SALT_BITS)) | (at.astype(np.int64) << SALT_BITS) | salt
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> (AT_BITS + SALT_BITS), (place >> SALT_BITS) & ((1 << AT_BITS) - 1), place & ((1 << SALT_BITS) - 1)
+
+
+def salt_of(place: str) -> Column:
+    return F.col(place).bitwiseAND((1 << SALT_BITS) - 1)
 
 
 def postings(docs: DataFrame, heavy: Heavy, clashes: dict[int, int]) -> DataFrame:
@@ -234,12 +250,12 @@ def postings(docs: DataFrame, heavy: Heavy, clashes: dict[int, int]) -> DataFram
 
         def out():
             w, cls, n, at, before = (np.concatenate(c) for c in zip(*cols, strict=True))
-            salt = np.zeros(len(w), dtype=np.int32)
+            salt = np.zeros(len(w), dtype=np.int64)
             if (blocks > 1).any():
                 k = np.minimum(np.searchsorted(values, w), len(values) - 1)
                 i = np.flatnonzero((values[k] == w) & (blocks[k] > 1))
-                salt[i] = 1 + (mixed(cls[i].view(np.uint64) ^ w[i]) % blocks[k[i]].astype(np.uint64)).astype(np.int32)
-            return pa.RecordBatch.from_pydict({"w": w.view(np.int64), "salt": salt, "cls": cls, "n": n, "at": at, "before": before.view(np.int64)})
+                salt[i] = 1 + (mixed(cls[i].view(np.uint64) ^ w[i]) % blocks[k[i]].astype(np.uint64)).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"w": w.view(np.int64), "cls": cls, "place": packed(n, at, salt), "before": before.view(np.int64)})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -251,7 +267,7 @@ def postings(docs: DataFrame, heavy: Heavy, clashes: dict[int, int]) -> DataFram
                 w = ordered(h, values)[:k]
                 before = np.zeros(k, dtype=np.uint64)
                 before[1:] = w[:-1]
-                cols.append((w, np.full(k, c, dtype=np.int64), np.full(k, len(h), dtype=np.int32), np.arange(k, dtype=np.int32), before))
+                cols.append((w, np.full(k, c, dtype=np.int64), np.full(k, len(h), dtype=np.int64), np.arange(k), before))
                 size += k
                 if size > 100_000:
                     yield out()
@@ -291,7 +307,7 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[dict[str, np
         yield glue(rest)
 
 
-CANDIDATE = "a long, b long, w long, salt int, n int, at int, before long, leader boolean"
+CANDIDATE = "a long, b long, w long, place long, before long, leader boolean"
 
 
 def candidates(posted: DataFrame) -> DataFrame:
@@ -302,7 +318,8 @@ def candidates(posted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in runs(batches, "w", "salt"):
-            w, salt, cls, n, at, before = (g[c] for c in ("w", "salt", "cls", "n", "at", "before"))
+            w, salt, cls, place, before = (g[c] for c in ("w", "salt", "cls", "place", "before"))
+            n, at, _ = unpacked(place)
             starts = np.flatnonzero(changes(g, ("w", "salt")))
             size = np.diff(np.append(starts, len(w)))
             few = (size <= SMALL) & (salt[starts] == 0)
@@ -310,17 +327,17 @@ def candidates(posted: DataFrame) -> DataFrame:
             a, b, leads = [], [], []
             for k in range(1, min(SMALL, int(size[few].max(initial=1)))):
                 i = np.flatnonzero((w[:-k] == w[k:]) & small[:-k] & small[k:])
-                i = i[fits(n[i].astype(np.int64), at[i], n[i + k].astype(np.int64), at[i + k])]
+                i = i[fits(n[i], at[i], n[i + k], at[i + k])]
                 i = i[(cls[i] != cls[i + k]) & ~((before[i] == before[i + k]) & (at[i] > 0) & (at[i + k] > 0))]
                 a.append(cls[i])
                 b.append(cls[i + k])
             crowded = ~small
             for s, m in zip(starts[~few], size[~few], strict=True):
                 of = slice(s, s + m)
-                most = np.maximum(n[of].min(), -(-3 * n[of].astype(np.int64) // 4))  # the smallest partner that it may have here
-                crowded[of] = (7 * (n[of].astype(np.int64) - at[of]) >= 3 * (n[of] + most)) | (salt[s] > 0)
+                most = np.maximum(n[of].min(), -(-3 * n[of] // 4))  # the smallest partner that it may have here
+                crowded[of] = (7 * (n[of] - at[of]) >= 3 * (n[of] + most)) | (salt[s] > 0)
                 for lead in s + np.argsort(cls[of], kind="stable")[:LEADERS]:
-                    ok = fits(n[of].astype(np.int64), at[of], int(n[lead]), int(at[lead])) & (cls[of] != cls[lead])
+                    ok = fits(n[of], at[of], n[lead], at[lead]) & (cls[of] != cls[lead])
                     a.append(np.full(int(ok.sum()), cls[lead]))
                     b.append(cls[of][ok])
                     if salt[s]:
@@ -331,10 +348,10 @@ def candidates(posted: DataFrame) -> DataFrame:
                 a, b = np.unique(np.stack([a, b]), axis=1)
             none, k, leader = pa.nulls(len(a), pa.int64()), int(crowded.sum()), np.zeros(len(w), dtype=bool)
             leader[leads] = True
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "w": none, "salt": none.cast(pa.int32()), "n": none.cast(pa.int32()), "at": none.cast(pa.int32()), "before": none, "leader": pa.nulls(len(a), pa.bool_())})
-            yield pa.RecordBatch.from_pydict({"a": cls[crowded], "b": pa.nulls(k, pa.int64()), "w": w[crowded], "salt": salt[crowded], "n": n[crowded], "at": at[crowded], "before": before[crowded], "leader": leader[crowded]})
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "w": none, "place": none, "before": none, "leader": pa.nulls(len(a), pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"a": cls[crowded], "b": pa.nulls(k, pa.int64()), "w": w[crowded], "place": place[crowded], "before": before[crowded], "leader": leader[crowded]})
 
-    dealt = posted.repartition("w", "salt").sortWithinPartitions("w", "salt")
+    dealt = posted.repartition("w", salt_of("place")).withColumn("salt", salt_of("place")).sortWithinPartitions("w", "salt")
     return dealt.mapInArrow(run, CANDIDATE)
 
 
@@ -358,12 +375,12 @@ def tiles(crowded: DataFrame, comps: DataFrame) -> DataFrame:
     Where a shingle's postings come in blocks, the join keeps them.
     """
     of = comps.filter("rep IS NOT NULL").select("cls", F.col("component").alias("comp"), "sketch")
-    named = written(crowded.join(of.select("cls", "comp").hint("merge"), "cls"), "crowded")
+    named = written(crowded.withColumn("salt", salt_of("place")).join(of.select("cls", "comp").hint("merge"), "cls"), "crowded")
     shared = named.groupBy("w").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("salt").alias("salts")).filter("least <> most")
     shared = written(shared.select("w", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt")), "shared_shingles")
     rows = named.join(shared.hint("merge"), ["w", "salt"]).join(of.select("cls", "sketch").hint("merge"), "cls")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("w", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n", "at", "before", "comp", "sketch", "block")
+    return rows.select("w", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "place", "before", "comp", "sketch", "block")
 
 
 class Unions:
@@ -392,8 +409,9 @@ def across(tiled: DataFrame) -> DataFrame:
             starts = np.flatnonzero(changes(g, keys))
             a, b = [], []
             for s, e in zip(starts, np.append(starts[1:], len(g["w"])), strict=True):
-                at, before, comp, block, sketches = (g[c][s:e] for c in ("at", "before", "comp", "block", "sketch"))
-                n, size, levels, inner = g["n"][s:e].astype(np.int64), np.array([len(x) for x in sketches]), {}, g["low"][s] == g["high"][s]
+                place, before, comp, block, sketches = (g[c][s:e] for c in ("place", "before", "comp", "block", "sketch"))
+                n, at, _ = unpacked(place)
+                size, levels, inner = np.array([len(x) for x in sketches]), {}, g["low"][s] == g["high"][s]
                 known, comp = np.unique(comp, return_inverse=True)
                 groups = Unions(len(known))
 
@@ -424,7 +442,7 @@ class Holders:
 
     def __init__(self, sets: list[np.ndarray]):
         self.m = len(sets)
-        every, owner = np.concatenate(sets), np.repeat(np.arange(self.m), [len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(self.m, dtype=np.int32), [len(x) for x in sets])
         order = np.argsort(every, kind="stable")
         every, self.owner = every[order], owner[order]
         self.values, self.first = np.unique(every, return_index=True)
@@ -497,7 +515,8 @@ def joined(docs: DataFrame, comps: DataFrame, heavy: Heavy, clashes: dict[int, i
     groups = written(sizes.select("component", "m", blocks.alias("blocks")), "neighbourhoods")
     rows = join_groups(comps.filter("rep IS NOT NULL").select("component", "cls", "rep"), groups, "component", "m")
     rows = written(rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "neighbours")
-    found = docs.join(rows, docs["doc_id"] == rows["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    few = rows.count() <= FEW_IDS
+    found = docs.join(F.broadcast(rows) if few else rows.hint("merge"), docs["doc_id"] == rows["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ("component", "low", "high")
     dealt = found.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "rep", "text")
 
@@ -583,10 +602,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes, _ = classes_of(sets.filter("cls IS NOT NULL"))
     met = written(candidates(postings(docs, heavy, clashes)), "candidates")
     pairs = met.filter("w IS NULL").select("a", "b")
-    leaders = met.filter("leader").select("w", F.lit(0).alias("salt"), F.col("a").alias("cls"), "n", "at", "before")
+    leaders = met.filter("leader").select("w", F.col("a").alias("cls"), (F.col("place") - salt_of("place")).alias("place"), "before")
     pairs = pairs.unionByName(candidates(leaders).filter("w IS NULL").select("a", "b")).distinct()
     comps = class_components(written(promising(pairs, classes), "pairs"), classes)
-    crowded = met.filter("w IS NOT NULL").select("w", "salt", F.col("a").alias("cls"), "n", "at", "before")
+    crowded = met.filter("w IS NOT NULL").select("w", F.col("a").alias("cls"), "place", "before")
     if not crowded.isEmpty():
         more = written(across(tiles(crowded, comps)).distinct(), "unions")
         if not more.isEmpty():
