@@ -216,8 +216,8 @@ class Page:
         self.weigh(lambda e: False)
         most = self.stack[0].score
         main = {id(e) for e in self.elements if e.named and e.holds and e.score >= SHARE * most}
-        if not self.weigh(lambda e: e.named and id(e) not in main):
-            self.weigh(lambda e: False)
+        # where nothing is left, first those come back that hold such an element, then all
+        _ = self.weigh(lambda e: e.named and id(e) not in main) or self.weigh(lambda e: e.named and not e.holds) or self.weigh(lambda e: False)
         self.containers = [c for c in self.containers if c.kept]
 
     def weigh(self, ruled) -> bool:

@@ -7,8 +7,8 @@ into the shared folder (whole or not at all, under names that a repeated task re
 that a reader's task holds one archive of bounded size (a single larger record makes a larger archive).
 
 Cases: a null html is an empty payload; payloads of fewer than ``min_bytes`` bytes are never revisits; each row is a
-capture, and those of one id and payload are numbered by url, the number ending the record's id from the second on
-(``write_archives`` alone takes rows equal in id, url and payload as one unless ``repeats`` is set); a null url gives an empty target; an empty table gives no archive and no row.
+capture, and those of one id and payload are numbered by url, the number ending the record's id from the second on; a
+null url gives an empty target; further columns are ignored; an empty table gives no archive and no row.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planlark.llm.common import put_file, work_path, written
+from planlark.llm.common import bounded_batches, put_file, work_path, written
 
 ROLL_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"  # the tables hold no capture time
@@ -46,8 +46,9 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """For each page id and digest: the id of the page whose response holds the payload, null where it is its own."""
     own = written(pages.select("page_id", F.octet_length("html").cast("long").alias("n"), base32_sha1(F.col("html").cast("binary")).alias("digest")), "payloads")
     heads = own.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n_pages")).filter("n_pages > 1")
+    heads = written(heads, "heads")  # so that the join below is one that Spark splits where a payload is hot
     pairs = own.select("page_id", "digest").distinct()
-    return pairs.join(heads.select("digest", "head"), "digest", "left").select("page_id", "digest", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")).alias("refers_to"))
+    return pairs.join(heads.select("digest", "head").hint("merge"), "digest", "left").select("page_id", "digest", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")).alias("refers_to"))
 
 
 def record(kind: str, rid: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -72,11 +73,8 @@ def capture(page_id: int, url: str, html: bytes, digest: str, refers_to: int | N
     return ask + main + meta
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, repeats: bool = False) -> DataFrame:
-    """Write the captures of (page_id, url, html) below ``path``; returns a manifest (archive, captures).
-
-    Rows equal in all three are a capture each with ``repeats``, one capture without.
-    """
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
+    """Write the captures of (page_id, url, html) below ``path``; returns a manifest (archive, captures)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     decided = revisits(pages, min_bytes)
     key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), "digest")
@@ -86,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, repeats: boo
     dealt = both.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("url"))).select("page_id", "url", "html", "digest", "refers_to", "number")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, parts, n, size, last, held = TaskContext.get().partitionId(), 0, 0, 0, None, []
+        part, parts, n, size, held = TaskContext.get().partitionId(), 0, 0, 0, []
 
         def done() -> pa.RecordBatch:
             put_file(f"{path}/part-{part:06d}-{parts:05d}.warc.gz", b"".join(held))
@@ -94,9 +92,6 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, repeats: boo
 
         for batch in batches:
             for page_id, url, html, digest, refers_to, number in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "number")), strict=True):
-                if (page_id, digest, url) == last and not repeats:
-                    continue
-                last = (page_id, digest, url)
                 held.append(capture(page_id, url, html.encode(), digest, refers_to, number))
                 n, size = n + 1, size + len(held[-1])
                 if size >= ROLL_BYTES:
@@ -168,18 +163,21 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: request, response (or revisit) and metadata of one concurrent-to identifier."""
-    whole = F.struct(*[c for c in records.columns if c != "capture"])
-    of = lambda *kinds: F.max_by(F.when(F.col("record_type").isin(*kinds), whole), F.when(F.col("record_type").isin(*kinds), F.col("record_id")))
-    return records.groupBy("capture").agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
+    """One nested row per capture: the requests, the responses (or revisits) and the metadata of one concurrent-to
+    identifier, each an array by record id; none is left out."""
+    whole = F.struct("record_id", *[c for c in records.columns if c not in ("capture", "record_id")])
+    of = lambda *kinds: F.array_sort(F.collect_list(F.when(F.col("record_type").isin(*kinds), whole)), lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0))
+    others = F.when(~F.col("record_type").isin("request", "response", "revisit", "metadata"), whole)
+    return records.groupBy("capture").agg(of("request").alias("requests"), of("response", "revisit").alias("responses"), of("metadata").alias("metadata"), F.collect_list(others).alias("others"))
 
 
 def op10_warc(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    bounded_batches(spark)
     path = work_path(spark, "warc")
-    manifest = write_archives(pages, path, min_bytes, repeats=True)
+    manifest = write_archives(pages, path, min_bytes)
     if manifest.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    rows = captures(read_records(spark, path)).filter(F.col("response").isNotNull())
+    rows = captures(read_records(spark, path)).select(F.explode("responses").alias("response"), F.try_element_at("metadata", F.lit(1)).alias("metadata"))
     return rows.select(
         F.col("response.page_id").alias("page_id"),
         F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),

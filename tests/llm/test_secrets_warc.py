@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -77,6 +78,58 @@ def test_models_tell_random_from_identifiers(spark):
     assert sum(r.n > 0 for r in found if r.doc_id >= 1000) <= 4
 
 
+def markov_by_hand(text, ratios):
+    """Added spans by plain loops."""
+    free = list(text)
+    for a, _, b in base(text):
+        free[a:b] = " " * (b - a)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{14,}", "".join(free)):
+        at = [secrets.ALPHABET.index(c) + 1 for c in m[0]]
+        r = sum(ratios[a * secrets.SIDE + b] for a, b in zip(at, at[1:], strict=False))
+        if r >= secrets.MIN_RATIO and r >= secrets.MIN_MEAN * len(m[0]):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_added_spans_by_brute_force_and_their_recall(spark):
+    """Bare keys of 16 to 40 characters planted in documents: found where the plain loops find them, and nearly all are."""
+    draw, planted = random.Random(9), {}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(150).collect()
+    rows = []
+    for r in docs:
+        words = (r.text or "").split(" ")
+        at = draw.randrange(len(words) + 1)
+        key = "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(draw.randrange(16, 41)))
+        extra = draw.choice(["", "password=" + key, "0123456789abcdef" * 2 + key])
+        rows.append((r.doc_id, " ".join([*words[:at], extra, key, *words[at:]])))
+        planted[r.doc_id] = sum(len(w) + 1 for w in words[:at]) + len(extra) + 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ratios = secrets.fit(secrets.labelled_samples(frame, 2000))
+    ratios = [float(f"{x:.6f}") for x in ratios]
+    found = {r.doc_id: r.all for r in secrets.scan(frame, ratios).select("doc_id", "all").collect()}
+    hits = added = 0
+    for i, text in rows:
+        got = [(s.start, s.kind, s.end) for s in found[i] if s.kind == 3]
+        assert got == markov_by_hand(text, ratios)
+        hits += any(a <= planted[i] < b for a, _, b in got)
+        added += sum(not a <= planted[i] < b for a, _, b in got)
+    assert hits >= 0.9 * len(rows)
+    assert added <= 0.7 * len(rows)  # the keys after hex digits, and keys that the documents hold themselves
+
+
+def test_long_tokens_take_time_in_proportion(spark):
+    draw = random.Random(10)
+    token = "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(400_000))
+    many = "password=abcdef1 " * 20_000
+    docs = spark.createDataFrame([(1, token), (2, many), (3, "x")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.op7_secrets(spark, docs).collect()}
+    assert time.time() - began < 90
+    assert got[1].spans == "markov:0:400000" and got[2].n_assign == 20_000
+    assert got[2].spans.split(",")[-1] == f"assign:{17 * 19_999}:{17 * 19_999 + 16}"
+
+
 PAGES = [
     (1, "http://a.example/x", "<p>one</p>"), (2, "http://a.example/y", "<p>one</p>"), (3, None, None), (4, "http://b.example/", ""), (5, "http://c.example/é ü", "é漢🙂" * 50),
     (6, "http://d.example", "big " * 300_000), (2, "http://a.example/y", "<p>one</p>"), (None, "http://n.example", "null id"),
@@ -102,15 +155,28 @@ def test_round_trip(spark):
 def test_transactions_are_whole(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     path = work_path(spark, "warc-test")
-    assert warc.write_archives(pages, path, min_bytes=1).agg(F.sum("captures")).first()[0] == 7
+    assert warc.write_archives(pages, path, min_bytes=1).agg(F.sum("captures")).first()[0] == len(PAGES)
     rows = warc.captures(warc.read_records(spark, path, payloads=True)).collect()
-    assert len(rows) == 7
-    by_id = {r.response.page_id: r for r in rows}
-    assert all(r.request.concurrent_to == r.response.record_id == r.metadata.concurrent_to for r in rows)
-    assert by_id[6].response.payload.decode() == "big " * 300_000
-    assert (by_id[1].response.record_type, by_id[1].response.refers_to, by_id[1].metadata.payload_bytes) == ("revisit", 2, 10)
-    assert by_id[3].response.record_type == by_id[4].response.record_type == "response"  # below min_bytes
-    assert by_id[5].response.target_uri == "http://c.example/éü"
+    assert len(rows) == len(PAGES)
+    assert all(len(r.requests) == len(r.responses) == len(r.metadata) == 1 and not r.others for r in rows)
+    assert all(r.requests[0].concurrent_to == r.responses[0].record_id == r.metadata[0].concurrent_to for r in rows)
+    by_id = {r.responses[0].page_id: r.responses[0] for r in rows}
+    assert by_id[6].payload.decode() == "big " * 300_000
+    assert (by_id[1].record_type, by_id[1].refers_to) == ("revisit", 2)
+    assert {r.metadata[0].payload_bytes for r in rows if r.responses[0].page_id == 1} == {10}
+    assert by_id[3].record_type == by_id[4].record_type == "response"  # below min_bytes
+    assert by_id[5].target_uri == "http://c.example/éü"
+
+
+def test_further_records_of_a_capture_are_kept(spark):
+    path = work_path(spark, "warc-test")
+    near = [("WARC-Concurrent-To", "<urn:page:1:D>")]
+    parts = [warc.record(kind, f"urn:page:1:D:{kind}{k}", near, b"x") for kind, n in (("request", 2), ("metadata", 3), ("resource", 1)) for k in range(n)]
+    put_file(f"{path}/a.warc.gz", b"".join([*parts, warc.capture(1, "http://x.example", b"p", "D", None)]))
+    (row,) = warc.captures(warc.read_records(spark, path)).collect()
+    assert [len(x) for x in (row.requests, row.responses, row.metadata, row.others)] == [3, 1, 4, 1]
+    ids = [r.record_id for r in row.metadata]
+    assert ids == sorted(ids)
 
 
 def test_damaged_archives_are_refused(spark):
@@ -141,7 +207,7 @@ def test_a_record_for_every_row(spark):
         want[(i, len((h or "").encode()), digest(h), "response" if back is None else "revisit", back)] += 1
     assert got == want
     path = work_path(spark, "warc-test")
-    assert warc.write_archives(pages, path, repeats=True).agg(F.sum("captures")).first()[0] == len(rows)
+    assert warc.write_archives(pages, path).agg(F.sum("captures")).first()[0] == len(rows)
     records = warc.read_records(spark, path).collect()
     assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
     found = Counter((r.page_id, r.target_uri) for r in records if r.record_type in ("response", "revisit"))

@@ -44,6 +44,23 @@ def test_folding_and_exceptions():
     assert toxicity.Lexicon({}).evidence("anything") == 0
 
 
+def test_letters_that_look_alike_and_phrases_in_four_languages():
+    for written in ("іdіоt", "ιdιοt", "𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "1d10t", "i\u200bdiot", "ＩＤＩＯＴ"):
+        assert toxicity.fold(written) == "idiot", written
+    lex = toxicity.Lexicon({"clown": 4.0, "stupide": 4.0, "payaso": 4.0, "dumme": 4.0})
+    for phrase in ("a clown  fish swims", "le poisson\nclown", "une question stupide", "el pez payaso", "Dumme Frage"):
+        assert lex.evidence(phrase) == 0, phrase
+    for text in ("you clown", "quel clown stupide", "dumme Leute"):
+        assert lex.evidence(text) > 0, text
+
+
+def test_a_labelled_id_teaches_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, 10).collect()
+    assert sorted(r.toxic for r in rows) == [0, 1]
+
+
 def test_toxicity_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "bad " * 50_000, 1), (3, "bad", 1), (None, "bad", 1)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
