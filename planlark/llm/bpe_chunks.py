@@ -1,22 +1,25 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over 32 code points cuts every text into chunks whose borders depend on content alone, so texts that
-share a passage share its chunks. A chunk is encoded once where it is met again: its inner words are encoded, and the
-broken words at its two ends are kept as text. Joins are repaired: the end of one chunk and the start of the next are
-glued and encoded anew, and the glue grows over chunks without a white space until it lies between two white spaces,
-where the tokenizer's pattern never lets a token cross; from there on the ids agree with those of the whole text.
+share a passage share its chunks. A chunk is encoded once where it is met again; its encoding is kept without the broken
+words at its two ends. Joins are repaired by encoding a window anew, by the library: the broken words between two chunks
+(over chunks without white space, until there is one) and one whole word on either side. Where the window's ids agree
+exactly with those of the two chunks in these whole words, what lies between belongs to the text; where they do not,
+the window grows to the whole text.
+
+Why agreement in a whole word is enough: the tokenizer's pattern drops white space and never lets a token cross it, so
+ids on either side of an agreed word cannot depend on each other. This is checked on a probe when a tokenizer is loaded.
 
 Dealing: documents are dealt by their smallest chunk hash, so near copies meet in one task and reuse chunks there. A
 task that reads more than ``NEAR`` documents with one hash deals the rest by its own number: a group of copies that
-holds a third of all rows is spread over as many tasks as read it. Inside a task both memos (chunks, words) are bounded.
-Sharing is thus within a task (chunks of one document family), not over the cluster: one dictionary for all chunks
-would have to move every id twice.
-
-The tokenizer must not let tokens cross a space or line end (true of patterns that drop white space), and must decode
-by joining tokens with a space (no decoder). Both are checked when it is loaded.
-
-Cases: a null text is empty (no ids, empty decoded text); a text without white space is one glue; repeated rows are
-encoded each; an empty table gives no rows; further columns are ignored.
+holds a third of all rows is spread over as many tasks as read it. The memos of a worker (words, chunks, windows) are
+bounded. Sharing is thus within a task (chunks of one document family), not over the cluster: one dictionary for all
+chunks would have to move every text and every id once more, beyond the disk that the check tool grants.
+``reuse()`` measures what that leaves: chunks, those that a worker encoded, and distinct ones over all documents.
+
+Cases: a null text is empty (no ids, empty decoded text); a text without white space is one window; a text with
+separators that Python takes for white space is encoded by the library; very long texts are cut in spans of SPAN code
+points; repeated rows are encoded each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planlark.llm.common import bounded_batches
+
 WINDOW, MASK = 32, (1 << 8) - 1  # a cut each 256 code points or so
 NEAR = 2
-MAX_WORDS, MAX_CHUNK_CHARS = 500_000, 12_000_000
+SPAN = 1 << 16
+#: Bounds of a worker's memos: words, and characters of chunks and windows (some 60 MB in all).
+MAX_WORDS, MAX_CHUNK_CHARS = 150_000, 3_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = re.compile(r"[ \n]")
@@ -59,28 +66,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Roller:
-    """Rolling hashes of all windows of a text by prefix sums, and the cuts that they make."""
+    """Rolling hashes of all windows of a text by prefix sums, span by span, and the cuts that they make."""
 
     def __init__(self):
-        self.up, self.down = powers(BASE, 1 << 12), powers(INVERSE, 1 << 12)
+        self.up, self.down = powers(BASE, SPAN + WINDOW), powers(INVERSE, SPAN + WINDOW)
 
     def cuts(self, text: str) -> tuple[list[int], int]:
         """Ends of the chunks, and the text's smallest hash at a cut (of the text itself, if it has none)."""
-        n = len(text)
-        if n <= WINDOW:
-            return ([n] if n else []), hash_of(text)
-        if n > len(self.up):
-            self.up, self.down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.up[:n])
-        windows = sums[WINDOW - 1 :].copy()
-        windows[1:] -= sums[: n - WINDOW]
-        hashes = mixed(windows * self.down[: n - WINDOW + 1])
-        at = np.flatnonzero((hashes & np.uint64(MASK)) == 0)
-        if not len(at):
-            return [n], hash_of(text)
-        ends = (at + WINDOW).tolist()
-        return ends if ends[-1] == n else [*ends, n], int(hashes[at].min() >> np.uint64(1))
+        n, ends, least = len(text), [], None
+        for base in range(0, n - WINDOW + 1, SPAN):
+            chars = np.frombuffer(text[base : base + SPAN + WINDOW - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.up[: len(chars)])
+            windows = sums[WINDOW - 1 :].copy()
+            windows[1:] -= sums[: len(chars) - WINDOW]
+            hashes = mixed(windows * self.down[: len(windows)])
+            at = np.flatnonzero((hashes & np.uint64(MASK)) == 0)
+            if len(at):
+                ends += (base + at + WINDOW).tolist()
+                low = int(hashes[at].min() >> np.uint64(1))
+                least = low if least is None else min(least, low)
+        if n and (not ends or ends[-1] != n):
+            ends.append(n)
+        return ends, hash_of(text) if least is None else least
 
 
 def hash_of(text: str) -> int:
@@ -126,8 +133,9 @@ class Encoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.model = self.tokenizer.model
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple] = {}
-        self.held, self.met, self.reused = 0, 0, 0
+        self.chunks: dict[str, Chunk] = {}
+        self.windows: dict[str, array] = {}
+        self.held, self.met, self.encoded, self.grown = 0, 0, 0, 0
         self.roller = Roller()
 
     def library(self, text: str) -> list[int]:
@@ -166,70 +174,104 @@ class Encoder:
         ends, _ = self.roller.cuts(text)
         return [text[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
-    def prepare(self, chunk: str) -> tuple:
-        """(words before encoding, head, tail), or a glue of a chunk without white space."""
-        first = SPACE.search(chunk)
+    def prepare(self, text: str) -> Chunk:
+        first = SPACE.search(text)
         if first is None:
-            return (None, chunk, "")
-        last = max(chunk.rfind(" "), chunk.rfind("\n"))
-        return (chunk[first.start() : last + 1].split(), chunk[: first.start()], chunk[last + 1 :])
+            return Chunk(text, "", None, "", "", None, None)
+        last = max(text.rfind(" "), text.rfind("\n"))
+        inner = text[first.start() : last + 1]
+        words = inner.split()
+        if not words:
+            return Chunk(text[: first.start()], text[last + 1 :], words, inner, inner, None, None)
+        left, right = inner[: inner.index(words[0]) + len(words[0])], inner[inner.rindex(words[-1]) :]
+        return Chunk(text[: first.start()], text[last + 1 :], words, left, right, None, None)
+
+    def repaired(self, left: Chunk | None, glue: str, right: Chunk | None, window: str) -> array | None:
+        """Ids of the glue between two chunks, from its window; None where the window does not agree with them."""
+        ids, known = self.windows[window], self.words
+        before = known[left.words[-1]][0] if left is not None and left.words else b""
+        after = known[right.words[0]][0] if right is not None and right.words else b""
+        raw = ids.tobytes()
+        if len(before) + len(after) > len(raw) or not raw.startswith(before) or not raw.endswith(after):
+            return None
+        return ids[len(before) // 4 : len(ids) - len(after) // 4]
+
+    def whole(self, text: str) -> tuple[bytes, str]:
+        ids = self.library(text)
+        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         if self.held > MAX_CHUNK_CHARS:
-            self.chunks, self.held = {}, 0
+            self.chunks, self.windows, self.held = {}, {}, 0
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        plans, fresh, whole = [], {}, {}
-        for k, text in enumerate(texts):
+        plans, fresh = [], {}
+        for text in texts:
             if any(c in text for c in SEPARATORS):
-                ids = self.library(text)
-                whole[k] = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]))
-                text = ""
-            chunks = self.chunked(text)
-            self.met += len(chunks)
-            for c in chunks:
-                if c not in self.chunks and c not in fresh:
-                    fresh[c] = self.prepare(c)
-            plans.append(chunks)
-        self.reused += sum(map(len, plans)) - len(fresh)
-        words = {w for inner, _, _ in fresh.values() if inner for w in inner}
-        glued = []
-        for chunks in plans:
-            glue, glues = "", []
-            for c in chunks:
-                inner, head, tail = fresh.get(c) or self.chunks[c]
-                glue += head
-                if inner is not None:
-                    glues.append(glue)
-                    glue = tail
-            glues.append(glue)
-            words.update(w for g in glues for w in g.split())
-            glued.append(glues)
+                plans.append(None)
+                continue
+            found = []
+            for c in self.chunked(text):
+                chunk = self.chunks.get(c)
+                if chunk is None:
+                    chunk = self.chunks[c] = fresh[c] = self.prepare(c)
+                    self.held += len(c) + 300
+                found.append(chunk)
+            self.met += len(found)
+            plans.append(joins(found))
+        self.encoded += len(fresh)
+        words = {w for c in fresh.values() if c.words for w in c.words}
+        windows = {w for joined in plans if joined for _, _, _, w in joined if w and w not in self.windows}
+        words.update(side.words[k] for joined in plans if joined for left, _, right, _ in joined for side, k in ((left, -1), (right, 0)) if side is not None and side.words)
         self.learn(words)
+        asked = [*windows]
+        for w, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False) if asked else (), strict=True):
+            self.windows[w] = array("I", e.ids)
+            self.held += len(w) + 200
         known = self.words
-        for c, (inner, head, tail) in fresh.items():
-            pairs = None if inner is None else [known[w] for w in inner]
-            self.chunks[c] = (pairs if pairs is None else (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])), head, tail)
-            self.held += len(c) + 150
-        out = []
-        for chunks, glues in zip(plans, glued, strict=True):
-            ids, names, k = [], [], 0
-            for c in chunks:
-                inner = self.chunks[c][0]
-                if inner is None:
-                    continue
-                pairs = [known[w] for w in glues[k].split()]
-                ids += [*(p[0] for p in pairs), inner[0]]
-                names += [*(p[1] for p in pairs), inner[1]]
-                k += 1
-            pairs = [known[w] for w in glues[k].split()]
-            ids += [p[0] for p in pairs]
-            names += [p[1] for p in pairs]
-            out.append((b"".join(ids), " ".join(filter(None, names))))
-        for k, got in whole.items():
-            out[k] = got
-        return out
+        for c in fresh.values():
+            if c.words is not None:
+                pairs = [known[w] for w in c.words]
+                c.ids, c.names = b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])
+        return [self.whole(text) if joined is None else self.assembled(text, joined) for text, joined in zip(texts, plans, strict=True)]
+
+    def assembled(self, text: str, joined: list) -> tuple[bytes, str]:
+        ids, names, every = [], [], self.names
+        for left, glue, right, window in joined:
+            if window:
+                between = self.repaired(left, glue, right, window)
+                if between is None:
+                    self.grown += 1
+                    return self.whole(text)
+                ids.append(between.tobytes())
+                names.append(" ".join([every[i] for i in between]))
+            if right is not None:
+                ids.append(right.ids)
+                names.append(right.names)
+        return b"".join(ids), " ".join(filter(None, names))
+
+
+class Chunk:
+    """Broken words at both ends, the whole words between (None where there is no white space), with the margins that
+    windows take in, and their encoding."""
+
+    __slots__ = ("head", "tail", "words", "left", "right", "ids", "names")
+
+    def __init__(self, *parts):
+        self.head, self.tail, self.words, self.left, self.right, self.ids, self.names = parts
+
+
+def joins(chunks: list[Chunk]) -> list[tuple[Chunk | None, str, Chunk | None, str]]:
+    """(chunk before, broken words, chunk after, window) of each join; the ends of a text are joins with nothing."""
+    out, before, glue = [], None, ""
+    for c in chunks:
+        glue += c.head
+        if c.words is not None:
+            out.append((before, glue, c, (before.right if before else "") + glue + c.left if glue else ""))
+            before, glue = c, c.tail
+    out.append((before, glue, None, (before.right if before else "") + glue if glue else ""))
+    return out
 
 
 @contextlib.contextmanager
@@ -275,10 +317,11 @@ def dealt(docs: DataFrame) -> DataFrame:
                 seen[k] = seen.get(k, 0) + 1
                 key.append(k)
                 salt.append(0 if seen[k] <= NEAR else own + 1)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": batch.column("text"), "key": pa.array(key, pa.int64()), "salt": pa.array(salt, pa.int32())})
 
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(keys, "doc_id long, text string, key long, salt int")
     return keyed.repartition("key", "salt").select("doc_id", "text")
 
@@ -319,5 +362,22 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return dealt(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def reuse(docs: DataFrame, path: str) -> dict[str, int]:
+    """Chunks met in all texts, those that workers encoded, distinct ones, and texts whose windows grew to the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder(path)
+        for batch in batches:
+            for _, found in groups_of(batch):
+                met, encoded, grown = enc.met, enc.encoded, enc.grown
+                enc.encode_many(found)
+                hashes = [hash_of(c) for t in found for c in enc.chunked(t)]
+                yield pa.RecordBatch.from_pydict({"met": [enc.met - met], "encoded": [enc.encoded - encoded], "grown": [enc.grown - grown], "hashes": pa.array([hashes], pa.list_(pa.int64()))})
+
+    counted = dealt(docs).mapInArrow(run, "met long, encoded long, grown long, hashes array<long>")
+    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "encoded", "grown")]).first()
+    return {**sums.asDict(), "distinct": counted.select(F.explode("hashes").alias("h")).distinct().count()}
+
+
 def op2_bpe(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     return digests(docs, path)

@@ -74,9 +74,13 @@ def lower_ascii(text: str | Column) -> Column:
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def put_file(path: str, data: bytes) -> None:
     """Write a file whole or not at all, so that a repeated task leaves the same file."""
-    fs, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, at = file_system(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     part = f"{at}.{uuid.uuid4().hex[:8]}.part"
     with fs.open_output_stream(part) as out:
@@ -84,6 +88,21 @@ def put_file(path: str, data: bytes) -> None:
     fs.move(part, at)
 
 
+def get_file(path: str) -> bytes:
+    fs, at = file_system(path)
+    with fs.open_input_stream(at) as data:
+        return data.read()
+
+
+def move_file(old: str, new: str) -> None:
+    """Rename a file; a repeated task finds it renamed already."""
+    fs, at = file_system(old)
+    to = file_system(new)[1]
+    if fs.get_file_info(at).type == pafs.FileType.NotFound and fs.get_file_info(to).type == pafs.FileType.File:
+        return
+    fs.move(at, to)
+
+
 def batches_of(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -2,19 +2,26 @@
 
 A labelled table trains a Gaussian classifier over a few character statistics; it predicts each document's posterior
 over domains. With n tokens and posterior p, a document at rate r counts n * r * p in expectation. Projected gradient
-steps fit rates r >= floor so that the domains' expected totals match their targets, staying near 1: the step of each
-document is p . z, where z solves the domains' own small system (the Gram matrix of n * p * p), so steps are well
-scaled at any size. Each step reads (doc_id, n, p) and sums one number a domain; only those numbers come to the driver.
+steps fit rates r >= floor so that the domains' expected totals match their targets, staying near 1.
+
+The least squares: with A r the totals, t the targets and M = sum of n p p' (the domains' Gram matrix), the objective is
+(A r - t)' M^-1 (A r - t) / 2. Rates are measured by the inner product sum of n r s, which is diagonal, so clipping at the
+floor is the projection in it. There the gradient of a document is p . M^-1 (A r - t), and A M^-1 A' is the identity, so
+the gradient has Lipschitz constant 1: steps of length 1 never raise the objective and converge to its least value over
+the bounds, whichever of them bind. Each step reads (doc_id, n, p) and sums one number a domain; only those numbers come
+to the driver. Steps end when the targets are reached or when the objective falls no more: then the targets are out of
+reach, and what remains of each is in the result (``domain_error``), as it is if ``steps`` run out.
 
 Everything is built-in functions. Rates are folded into one expression over the steps so far, and written every
 FOLD steps, so the plan stays short.
 
-Sizes: the classifier takes at most ``max_rows`` labelled documents (those of smallest hash); domains are few (at most
-MAX_DOMAINS, checked).
+Sizes: the classifier takes at most ``max_rows`` labelled documents (those of smallest hash); of more than MAX_DOMAINS
+domains the rarer ones (ties by name) are one domain, ``other``.
 
 Cases: a null or empty text has no tokens, the priors as posterior, and rate 1 or what its domain needs; null labels
-are left out; with no labelled rows there is one domain and every rate is the same; repeated rows are fitted each;
-further columns are ignored. A domain without any expected token cannot reach a positive target: its error is left.
+are left out; a labelled doc_id of several languages takes the first by name; with no labelled rows there is one domain
+and every rate is the same; repeated rows are fitted each; very long texts count in full; further columns are ignored;
+an empty table gives no rows. A domain without any expected token cannot reach a positive target: its error is left.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from planlark.functions.rational import let
 from planlark.llm.common import written
 
 MAX_DOMAINS, FOLD = 64, 6
+#: The objective falls no more when a step takes less than this part of it.
+STALL = 1e-8
 #: Classes of characters whose share tells languages and junk apart.
 CLASSES = ("[äöüßÄÖÜ]", "[éèêçàâîôûœÉÈÊÇÀ]", "[ñóíáúÑÓÍÁÚ¿¡]", "[#%&*$|@<>]", "[0-9]")
 N_FEATURES = len(CLASSES) + 2
@@ -62,11 +71,14 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataF
 
 def classifier(measures: DataFrame, domains: DataFrame) -> list[tuple[str, float, list[float], list[float]]]:
     """(domain, log prior, means, variances), by name."""
-    both = measures.join(F.broadcast(domains.dropDuplicates(["doc_id"])), "doc_id").filter("n > 0")
+    named = domains.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    both = measures.join(F.broadcast(named), "doc_id").filter("n > 0")
     stats = [f(F.col("x")[k]).alias(f"{name}{k}") for k in range(N_FEATURES) for name, f in (("m", F.avg), ("v", F.var_pop))]
-    rows = both.groupBy("domain").agg(F.count("*").alias("rows"), *stats).orderBy("domain").limit(MAX_DOMAINS + 1).collect()
-    if len(rows) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    every = both.groupBy("domain").agg(F.count("*").alias("rows"))
+    kept = [r["domain"] for r in every.orderBy(F.desc("rows"), "domain").limit(MAX_DOMAINS + 1).collect()]
+    if len(kept) > MAX_DOMAINS:
+        both = both.withColumn("domain", F.when(F.col("domain").isin(kept[: MAX_DOMAINS - 1]), F.col("domain")).otherwise(F.lit("other")))
+    rows = both.groupBy("domain").agg(F.count("*").alias("rows"), *stats).orderBy("domain").collect()
     total = sum(r["rows"] for r in rows)
     return [(r["domain"], math.log(r["rows"] / total), [r[f"m{k}"] for k in range(N_FEATURES)], [r[f"v{k}"] + 0.05 for k in range(N_FEATURES)]) for r in rows]
 
@@ -93,7 +105,7 @@ def soft_members(docs: DataFrame, domains: DataFrame) -> tuple[DataFrame, list[s
     return written(joint, "members"), [m[0] for m in model] or ["all"]
 
 
-def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: int = 40, within: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
+def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: int = 500, within: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, p, rate), and the totals reached. targets: expected tokens of each domain."""
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
@@ -104,13 +116,14 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, step
             matrix[i, j] = matrix[j, i] = gram[f"g{i}_{j}"] or 0.0
     matrix += np.eye(k) * max(1e-9 * np.trace(matrix), 1e-9)
     goal = np.array(targets, dtype=float)
-    base, rate, reached = members.withColumn("rate", F.lit(1.0)), F.col("rate"), goal
-    for step in range(steps):
+    base, rate, reached, loss = members.withColumn("rate", F.lit(1.0)), F.col("rate"), goal, np.inf
+    for step in range(steps + 1):
         row = base.agg(*[F.sum(F.col("n") * p[i] * rate).alias(f"s{i}") for i in range(k)]).first()
         reached = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-        if np.abs(reached - goal).max() <= within * max(goal.sum(), 1.0):
+        z, before = np.linalg.solve(matrix, reached - goal), loss
+        loss = float((reached - goal) @ z) / 2
+        if step == steps or np.abs(reached - goal).max() <= within * max(goal.sum(), 1.0) or loss > before * (1 - STALL):
             break
-        z = np.linalg.solve(matrix, reached - goal)
         rate = F.greatest(F.lit(float(floor)), rate - sum((p[i] * float(z[i]) for i in range(1, k)), p[0] * float(z[0])))
         if (step + 1) % FOLD == 0:
             base, rate = written(base.withColumn("rate", rate), "rates"), F.col("rate")
@@ -138,13 +151,17 @@ def op3_mixing(spark: SparkSession, docs: DataFrame, labels: DataFrame, power: f
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     members, names = soft_members(docs, labelled_domains(docs, labels, max_rows))
     totals = expected_totals(members, len(names))
-    rates, _ = fit_rates(members, list(tempered(totals, power) * totals.sum()))
+    goal = tempered(totals, power) * totals.sum()
+    rates, reached = fit_rates(members, list(goal))
+    error = (reached - goal) / max(goal.sum(), 1.0)
     best = F.array_max("p")
+    at = F.array_position("p", best).cast("int")
     return rates.select(
         "doc_id",
-        F.element_at(F.array(*map(F.lit, names)), F.array_position("p", best).cast("int")).alias("domain"),
+        F.element_at(F.array(*map(F.lit, names)), at).alias("domain"),
         F.round(best, 6).alias("posterior"),
         F.col("n").alias("n_tokens"),
         F.round("rate", 6).alias("rate"),
         copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        F.element_at(F.array(*[F.lit(round(float(e), 6)) for e in error]), at).alias("domain_error"),
     )

@@ -8,8 +8,9 @@ its ids and one over its words.
 
 Flow: documents are encoded once and their ids written as a table (16 bits an id); ids are counted (the counts, one a
 vocabulary entry, come to the driver); the table is dealt by ranges of doc_id and each task writes files of ROLL ids.
-A manifest with a row per file gives each file's first place by a running sum. Files are then read back by Spark's
-binary file source, decoded and checked in tasks.
+Running sums over the files' sizes give each file's first place, which becomes its name. The folder needs nothing else to
+be read: shares.bin is the table of frequencies, each file holds that table's checksum, its documents' ids and sizes,
+and its name says where it begins. Files are read back by Spark's binary file source, decoded and checked in tasks.
 
 Cases: a null text is empty and still has the end id; a null doc_id comes first; rows with one doc_id keep one order
 (by their ids) and are reported each; an empty table gives no file and no row; further columns are ignored.
@@ -31,15 +32,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlark.llm.bpe_chunks import TAIL, groups_of, ids_of_piece, no_cycles
-from planlark.llm.common import put_file, work_path, written
+from planlark.llm.common import bounded_batches, get_file, move_file, put_file, work_path, written
 
 LANES, BLOCK, EVERY, ROLL = 1024, 1 << 18, 128, 1 << 22
 SCALE = 20
 LOW = np.uint64(1 << 31)
-MAGIC = b"PLRANS01"
+MAGIC = b"PLRANS02"
 END = 0
 SAFE = re.compile(r" (?<=\S )(?=\S)")  # a space between two other characters: no token crosses it but as its first byte
-MAX_PIECES, SHORT = 2_400_000, 9
+#: Bytes that a worker's memo of pieces may take, by MEMO_ENTRY for an entry besides its characters; then pieces of more
+#: than SHORT characters go, and all of them if that is not half.
+MEMO_BYTES, MEMO_ENTRY, SHORT = 300 << 20, 190, 9
 
 
 class Pieces:
@@ -54,10 +57,12 @@ class Pieces:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that the memo lacks, each once; the pattern cuts between a letter and the mark after it."""
         memo, model = self.memo, self.model
+        self.held += sum(map(len, pieces)) + MEMO_ENTRY * len(pieces)
         cut, ask = [], set(TAIL)
         for p in pieces:
             if p[-1] in TAIL and p[-2:-1].isalpha():
@@ -88,10 +93,11 @@ class Pieces:
         return [first, *[" " + x for x in rest]] if first else []
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MAX_PIECES:
+        if self.held > MEMO_BYTES:
             self.memo = {p: v for p, v in self.memo.items() if len(p) <= SHORT}
-        if len(self.memo) > MAX_PIECES // 2:
-            self.memo = {}
+            self.held = len(self.memo) * (MEMO_ENTRY + SHORT)
+            if self.held > MEMO_BYTES // 2:
+                self.memo, self.held = {}, 0
         get = self.memo.get
         split = [self.split(t) for t in texts]
         found = [[*map(get, ps)] for ps in split]
@@ -118,6 +124,7 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
                     got = pieces.ids(found)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "ids": pa.array([i + end for i in got], pa.binary())})
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -150,6 +157,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 class Table:
     def __init__(self, share: np.ndarray):
         self.share = share.astype(np.uint64)
+        self.crc = zlib.crc32(share.astype("<u4").tobytes())
         self.first = (np.cumsum(share) - share).astype(np.uint64)
         self.limit = self.share << np.uint64(63 - SCALE)
         self.symbol = np.repeat(np.arange(len(share), dtype=np.uint16), share)
@@ -217,7 +225,7 @@ def encode_file(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, ta
     blocks = [encode_block(ids[a : a + BLOCK], table) for a in range(0, len(ids), BLOCK)]
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     index = known.tobytes() + np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + np.array(sizes, dtype="<i8").tobytes()
-    head = MAGIC + struct.pack("<QQI", len(doc_ids), len(blocks), zlib.crc32(index))
+    head = MAGIC + struct.pack("<QQII", len(doc_ids), len(blocks), zlib.crc32(index), table.crc)
     return head + index + np.array([len(b) for b in blocks], dtype="<u8").tobytes() + b"".join(blocks)
 
 
@@ -226,12 +234,14 @@ def decode_file(data: bytes, table: Table) -> Iterator[tuple[int | None, np.ndar
     view = memoryview(data)
     if bytes(view[:8]) != MAGIC:
         raise ValueError("not a file of this format")
-    n, n_blocks, crc = struct.unpack_from("<QQI", view, 8)
-    index = view[28 : 28 + 17 * n]
+    n, n_blocks, crc, table_crc = struct.unpack_from("<QQII", view, 8)
+    if table_crc != table.crc:
+        raise ValueError("not the table of this file")
+    index = view[32 : 32 + 17 * n]
     if zlib.crc32(index) != crc:
         raise ValueError("damaged index")
     known, doc_ids, sizes = np.frombuffer(index[:n], np.uint8), np.frombuffer(index[n : 9 * n], "<i8"), np.frombuffer(index[9 * n :], "<i8")
-    at = 28 + 17 * n + 8 * n_blocks
+    at = 32 + 17 * n + 8 * n_blocks
     held, left = [], 0
     for k in range(n):
         while left < sizes[k]:
@@ -245,7 +255,7 @@ def decode_file(data: bytes, table: Table) -> Iterator[tuple[int | None, np.ndar
 
 
 def write_files(tokens: DataFrame, share: np.ndarray, path: str) -> DataFrame:
-    """Files below ``path``; returns the manifest (file, part, seq, n_ids, start)."""
+    """Files below ``path``, named by their first places; returns the manifest (file, n_ids, start)."""
     put_file(f"{path}/shares.bin", share.astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +263,7 @@ def write_files(tokens: DataFrame, share: np.ndarray, path: str) -> DataFrame:
         doc_ids, sizes, held, n = [], [], [], 0
 
         def done() -> pa.RecordBatch:
-            name = f"part-{part:06d}-{seq:05d}.rans"
+            name = f"part-{part:06d}-{seq:05d}.part"
             put_file(f"{path}/{name}", encode_file(doc_ids, sizes, np.frombuffer(b"".join(held), dtype="<u2"), table))
             return pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([n], pa.int64())})
 
@@ -271,28 +281,40 @@ def write_files(tokens: DataFrame, share: np.ndarray, path: str) -> DataFrame:
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     manifest = written(ordered.mapInArrow(run, "file string, part int, seq int, n_ids long"), "rans_manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file of ROLL ids
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    placed = manifest.withColumn("own", own).join(parts, "part").select("file", "n_ids", (F.col("base") + F.col("own")).alias("start"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f"{start:020d}.rans" for start in batch.column("start").to_pylist()]
+            for old, new in zip(batch.column("file").to_pylist(), names, strict=True):
+                move_file(f"{path}/{old}", f"{path}/{new}")
+            yield pa.RecordBatch.from_pydict({"file": names, "n_ids": batch.column("n_ids"), "start": batch.column("start")})
+
+    return written(placed.mapInArrow(name, "file string, n_ids long, start long"), "rans_files")
 
 
-def read_files(spark: SparkSession, path: str, share: np.ndarray) -> DataFrame:
-    """(file, doc_id, place, n_tokens, ids_crc32) of each document, from the files alone; place counts within the file."""
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the folder alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(share)
+        table = None
         for batch in batches:
+            table = table or Table(np.frombuffer(get_file(f"{path}/shares.bin"), dtype="<u4").astype(np.int64))
             for name, data in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                docs, places, sizes, crcs, at = [], [], [], [], 0
+                docs, places, sizes, crcs, at = [], [], [], [], int(name.removesuffix(".rans"))
                 for d, ids in decode_file(data.as_py(), table):
                     docs.append(d)
                     places.append(at)
                     sizes.append(len(ids))
                     crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     at += len(ids)
-                yield pa.RecordBatch.from_pydict({"file": [name] * len(docs), "doc_id": pa.array(docs, pa.int64()), "place": pa.array(places, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(places, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.rans").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_rans(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
@@ -301,6 +323,5 @@ def op9_rans(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     if not share.any():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = work_path(spark, "rans")
-    manifest = write_files(tokens, share, files)
-    rows = read_files(spark, files, share).join(manifest.select("file", F.col("start").alias("base")), "file")
-    return rows.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    write_files(tokens, share, files)
+    return read_files(spark, files)

@@ -49,8 +49,8 @@ def test_random_characters_equal_the_library(library):
 
 def test_documents_equal_the_library_and_chunks_are_reused(library):
     enc = check(library, document_texts())
-    assert enc.reused > 0
-    assert enc.met > enc.reused
+    assert 0 < enc.encoded < enc.met
+    assert enc.grown == 0
 
 
 def test_query_over_small_rows(spark, library):
@@ -73,3 +73,32 @@ def test_query_over_documents(spark, library):
     for i, t in texts.items():
         ids, _ = expected(library, t)
         assert got[i] == (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest())
+
+
+def test_windows_that_do_not_agree_grow(library):
+    """A text whose window is falsified is encoded as a whole."""
+    enc, text = bpe_chunks.Encoder(PATH), "the quick brown fox jumps over the lazy dog " * 40
+    want = library.encode(text, add_special_tokens=False).ids
+    enc.encode_many([text])
+    for window in enc.windows:
+        enc.windows[window] = enc.windows[window][::-1]
+    ((ids, _),) = enc.encode_many([text])
+    assert [*memoryview(ids).cast("I")] == want
+    assert enc.grown == 1
+
+
+def test_cuts_do_not_depend_on_spans():
+    roller, draw = bpe_chunks.Roller(), random.Random(3)
+    text = "".join(draw.choice("abcdefgh é🙂") for _ in range(200_000))
+    ends, least = roller.cuts(text)
+    parts = [roller.cuts(text[a : a + 70_000])[0] for a in range(0, 200_000, 60_000)]
+    known = {a + e for a, found in zip(range(0, 200_000, 60_000), parts, strict=True) for e in found[:-1]}
+    assert set(ends[:-1]) <= known
+    assert ends[-1] == len(text) and least >= 0
+
+
+def test_reuse_is_measured(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = bpe_chunks.reuse(docs, PATH)
+    assert got["distinct"] <= got["encoded"] < got["met"]
+    assert got["grown"] == 0

@@ -90,22 +90,44 @@ def test_rates_meet_targets(spark):
     assert all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
 
 
-def test_rates_equal_a_dense_projected_gradient(spark):
-    """The same iteration over the dense matrix in numpy."""
-    draw = np.random.default_rng(0)
-    n, p = draw.integers(1, 100, 60), draw.dirichlet([0.4, 0.4, 0.4], 60)
-    goal = (n @ p)[[1, 2, 0]]
-    df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(60)], "doc_id long, n long, p array<double>")
-    rates, reached = mixing.fit_rates(df, list(goal), steps=200)
+def least_objective(n, p, goal, floor):
+    """Cyclic coordinate descent over the rates: another way to the same least squares."""
     a = n[:, None] * p
-    r, matrix = np.ones(60), a.T @ p
-    for _ in range(200):
-        if np.abs(r @ a - goal).max() <= 1e-6 * goal.sum():
-            break
-        r = np.maximum(0, r - p @ np.linalg.solve(matrix, r @ a - goal))
-    got = np.array([x.rate for x in rates.orderBy("doc_id").collect()])
-    assert np.abs(got - r).max() < 1e-3
-    assert np.abs(reached - goal).max() <= 1e-4 * goal.sum()
+    weight = np.linalg.inv(a.T @ p)
+    r = np.ones(len(n))
+    gap = r @ a - goal
+    for _ in range(3000):
+        for d in range(len(n)):
+            step = (a[d] @ weight @ gap) / (a[d] @ weight @ a[d])
+            new = max(floor, r[d] - step)
+            gap += (new - r[d]) * a[d]
+            r[d] = new
+    return gap @ weight @ gap / 2
+
+
+def test_rates_reach_the_least_objective(spark):
+    """Against coordinate descent, with targets in reach and out of reach (the floor binds)."""
+    draw = np.random.default_rng(0)
+    n, p = draw.integers(1, 100, 40), draw.dirichlet([0.4, 0.4, 0.4], 40)
+    totals = n @ p
+    df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(40)], "doc_id long, n long, p array<double>")
+    weight = np.linalg.inv((n[:, None] * p).T @ p)
+    for goal, floor, within_reach in ((totals[[1, 2, 0]], 0.0, True), (totals * [1.5, 0.4, 1.0], 0.8, False)):
+        rates, reached = mixing.fit_rates(df, list(goal), floor=floor)
+        rows = rates.orderBy("doc_id").collect()
+        assert min(r.rate for r in rows) >= floor
+        assert np.allclose(sum(r.n * r.rate * np.array(r.p) for r in rows), reached)
+        loss, best = (reached - goal) @ weight @ (reached - goal) / 2, least_objective(n, p, goal, floor)
+        assert loss <= best * 1.001 + 1e-6 * goal.sum()
+        assert (np.abs(reached - goal).max() <= 1e-4 * goal.sum()) == within_reach
+
+
+def test_more_domains_than_the_most_are_folded(spark):
+    names = [f"d{k % (mixing.MAX_DOMAINS + 6):03d}" for k in range(400)]
+    measures = spark.createDataFrame([(i, 5, [float(i % 7)] * mixing.N_FEATURES) for i in range(400)], "doc_id long, n long, x array<double>")
+    model = mixing.classifier(measures, spark.createDataFrame([*enumerate(names)], "doc_id long, domain string"))
+    assert len(model) == mixing.MAX_DOMAINS
+    assert model[-1][0] == "other"
 
 
 def test_mixing_cases(spark):
