@@ -16,15 +16,18 @@ and hashes decide the rest.
 3. The pairs that are left form neighbourhoods (components of candidates). The postings of shingles with many classes
    are compared once more, by sketch, between neighbourhoods: a pair that has a chance unites two of them. So each pair
    of similar sets lies inside one neighbourhood.
-4. Prefix-tree join: each class's text goes to its neighbourhood, and the ordered sets there form one trie. A walk over
-   the trie carries the overlaps with all sets of the neighbourhood at once, counts a shared path once, and leaves a
+4. Prefix-tree join: each class's text goes to its neighbourhood, once, and the ordered sets there form one trie. A walk
+   over the trie carries the overlaps with all sets of the neighbourhood at once, counts a shared path once, and leaves a
    subtree when the elements that remain cannot reach the bound for any of them. It gives each class's number of links,
-   and links enough to connect what is connected; these give the components.
+   and links enough to connect what is connected; these give the components. In a neighbourhood too large for one task
+   each set is written as its difference from the first one, L: with D the elements of A or L that the other lacks, and
+   m those of L that A lacks, the overlap of A and B is |L| - m(A) - m(B) + |D(A) and D(B)|. So the differences, which
+   are short among near copies, form the tries, in tiles of two blocks.
 
 Skew: copies are pre-aggregated. The postings of one shingle are dealt in blocks of about CROWD, whose leaders meet in a
 second round; step 3 deals its classes in blocks of TILE, a task holding two of them, and emits at most a pair for each
-union. A neighbourhood is dealt in blocks of at most TILE classes too, each text going once to each tile of its block.
-What stays quadratic is the work of counting links inside one neighbourhood, and step 3's comparison for a shingle
+union. The differences of a large neighbourhood are dealt in blocks of TILE classes too, each going once to each tile of
+its block. What stays quadratic is the work of counting links inside one neighbourhood, and step 3's comparison for a shingle
 shared by many classes that are unlike each other although it is among the rarest of each. Rows do not: no pairs leave
 a task but those that unite.
 
@@ -54,7 +57,7 @@ WIDTH = 5
 HEAVY_MAX, HEAVY_LEAST = 100_000, 20
 SMALL, LEADERS, CROWD, TILE = 12, 3, 4096, 1024
 #: A block of a neighbourhood's classes holds so many shingles at most, on average.
-TILE_SHINGLES = 1 << 22
+TILE_SHINGLES = 1 << 20
 #: Classes whose place is broadcast (some 40 bytes each) to the scan of the texts; more meet them in a sort-merge join.
 FEW_IDS = 500_000
 SKETCH_BITS = 1024
@@ -468,105 +471,187 @@ class Holders:
         return out
 
 
-def trie_join(owns: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of a member, numbers of the owns similar to it), for members with any. Sets are in the common order.
+class Sets(NamedTuple):
+    """Element arrays in the common order, with the sizes of the sets that they stand for, and what these lack of a common base."""
+
+    elements: list[np.ndarray]
+    n: np.ndarray
+    lack: np.ndarray
+
+    @staticmethod
+    def plain(elements: list[np.ndarray]) -> Sets:
+        return Sets(elements, np.array([len(x) for x in elements], dtype=np.int64), np.zeros(len(elements), dtype=np.int64))
+
+    def part(self, at: np.ndarray) -> Sets:
+        return Sets([self.elements[i] for i in at], self.n[at], self.lack[at])
+
+
+def trie_join(owns: Sets, members: Sets, base: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a member, numbers of the owns similar to it), for members with any.
 
     The members form a trie: they are walked in the order of their paths, and counts stay known at the depth where the
     next path leaves this one. Where no own set can reach the bound with the elements that remain, the subtree is left.
+    ``base`` is the size of the common base where the elements are differences from it.
     """
-    holders, n_own = Holders(owns), np.array([len(x) for x in owns], dtype=np.int64)
-    order = sorted(range(len(members)), key=lambda k: members[k].astype(">u8").tobytes())
+    holders, paths = Holders(owns.elements), members.elements
+    need = 3 * owns.n + 7 * owns.lack - 7 * base
+    length = np.array([len(x) for x in paths], dtype=np.int64)
+    slack = 7 * length - 3 * members.n - 7 * members.lack
+    order = sorted(range(len(paths)), key=lambda k: paths[k].astype(">u8").tobytes())
 
     def common(x: np.ndarray, y: np.ndarray) -> int:
         n = min(len(x), len(y))
         differ = np.flatnonzero(x[:n] != y[:n])
         return int(differ[0]) if len(differ) else n
 
-    stack = [(0, np.zeros(len(owns), dtype=np.int64))]
-    dead_depth, dead_size, shared = 0, -1, 0
+    stack = [(0, np.zeros(len(owns.n), dtype=np.int64))]
+    dead_depth, dead_slack, shared = 0, None, 0
     for place, k in enumerate(order):
-        path = members[k]
-        ahead = common(path, members[order[place + 1]]) if place + 1 < len(order) else 0
+        path = paths[k]
+        ahead = common(path, paths[order[place + 1]]) if place + 1 < len(order) else 0
         while stack[-1][0] > shared:
             stack.pop()
-        dead_size = dead_size if shared >= dead_depth else -1
+        if shared < dead_depth:
+            dead_slack = None
         shared = ahead
-        if len(path) <= dead_size:
+        if dead_slack is not None and slack[k] <= dead_slack:
             continue
         depth, counts = stack[-1]
         if ahead > depth:
-            depth, counts = ahead, counts + holders.of(path[depth:ahead])
+            counts = counts + holders.of(path[depth:ahead])
+            depth = ahead
             stack.append((depth, counts))
-            if not (7 * (counts + len(path) - depth) >= 3 * (n_own + len(path))).any():
-                dead_depth, dead_size = depth, len(path)
+            if not (7 * (counts - depth) + slack[k] >= need).any():
+                dead_depth, dead_slack = depth, slack[k]
                 continue
         counts = counts + holders.of(path[depth:])
-        found = np.flatnonzero(7 * counts >= 3 * (n_own + len(path)))
+        found = np.flatnonzero(7 * counts >= need + 3 * members.n[k] + 7 * members.lack[k])
         if len(found):
             yield k, found
 
 
+JOINED = "cls long, links long, rep long, other long, component long, n long, lack long, base long, delta binary"
+
+
+def tile_links(cls: list[int], rep: list[int], sets: Sets, low: np.ndarray, high: np.ndarray, base: int = 0) -> pa.RecordBatch:
+    """Rows (cls, links) for the pairs of a low and a high class (of all classes, if both are the same), and rows
+    (cls, 0, rep, other) of links that connect what is connected."""
+    inner, degree, groups, edges = low is high, np.zeros(len(cls), dtype=np.int64), Unions(len(cls)), []
+    if len(low) and len(high):
+        for k, own in trie_join(sets.part(low), sets.part(high), base):
+            i, own = high[k], low[own]
+            own = own[own != i]
+            degree[i] += len(own)
+            if not inner:
+                degree[own] += 1
+            edges += [(i, j) for j in own[groups.of[own] != groups.of[i]] if groups.unite(i, j)]
+    k = len(cls) + len(edges)
+    none = {c: pa.nulls(k, pa.int64()) for c in ("component", "n", "lack", "base")}
+    return pa.RecordBatch.from_pydict(
+        {
+            "cls": pa.array(cls + [cls[i] for i, _ in edges], pa.int64()),
+            "links": pa.array([*degree, *[0] * len(edges)], pa.int64()),
+            "rep": pa.array(rep + [rep[i] for i, _ in edges], pa.int64()),
+            "other": pa.array([None] * len(cls) + [rep[j] for _, j in edges], pa.int64()),
+            **none,
+            "delta": pa.nulls(k, pa.binary()),
+        }
+    )
+
+
 def joined(docs: DataFrame, comps: DataFrame, heavy: Heavy, clashes: dict[int, int]) -> DataFrame:
-    """Rows (cls, links, null) whose sum is each class's number of links, and rows (cls, 0, other) of links that connect
-    what is connected, by the smallest doc_ids of both."""
+    """Rows (cls, links) whose sum is each class's number of links, and rows (cls, 0, rep, other) of links that connect
+    what is connected, by the smallest doc_ids of both. Further columns are of large neighbourhoods on their way."""
     shared = docs.sparkSession.sparkContext.broadcast((heavy.values, clashes))
-    sizes = comps.filter("rep IS NOT NULL").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")
-    groups = written(sizes.select("component", "m", blocks.alias("blocks")), "neighbourhoods")
-    rows = join_groups(comps.filter("rep IS NOT NULL").select("component", "cls", "rep"), groups, "component", "m")
-    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "neighbours")
+    named = comps.filter("rep IS NOT NULL").select("component", "cls", "rep", "n")
+    sizes = named.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
+    chunks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")
+    groups = written(sizes.select("component", "m", chunks.alias("chunks")), "neighbourhoods")
+    rows = written(join_groups(named.drop("n"), groups, "component", "m").drop("m"), "neighbours")
     few = rows.count() <= FEW_IDS
-    found = docs.join(F.broadcast(rows) if few else rows.hint("merge"), docs["doc_id"] == rows["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ("component", "low", "high")
-    dealt = found.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "rep", "text")
+    first = (F.col("rep") == F.col("component")) & (F.col("chunks") > 1)  # goes to every chunk
+    own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    placed = rows.select("*", first.alias("first"), own.alias("own"))
+    found = docs.join(F.broadcast(placed) if few else placed.hint("merge"), docs["doc_id"] == placed["rep"])
+    found = found.withColumn("chunk", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
+    dealt = found.select("component", "chunk", (~F.col("first")).alias("later"), "cls", "rep", (F.col("chunks") > 1).alias("large"), (F.col("chunk") == F.col("own")).alias("mine"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, clashes = shared.value
-        shingler, key, cls, rep, block, sets = Shingler(), None, [], [], [], []
+        shingler, key, last, cls, rep, sets, base = Shingler(), None, None, [], [], [], None
 
         def links() -> pa.RecordBatch:
-            m, inner, of = len(sets), key[1] == key[2], np.array(block)
-            degree, groups, edges = np.zeros(m, dtype=np.int64), Unions(m), []
-            low = np.flatnonzero(of == key[1])
-            high = low if inner else np.flatnonzero(of == key[2])
-            if len(low) and len(high):
-                for k, own in trie_join([sets[i] for i in low], [sets[i] for i in high]):
-                    i, own = high[k], low[own]
-                    own = own[own != i]
-                    degree[i] += len(own)
-                    if not inner:
-                        degree[own] += 1
-                    edges += [(i, j) for j in own[groups.of[own] != groups.of[i]] if groups.unite(i, j)]
-            a, b = zip(*edges, strict=True) if edges else ((), ())
-            ids = np.array(rep)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "cls": pa.array(cls + [cls[i] for i in a], pa.int64()),
-                    "links": pa.array([*degree, *[0] * len(a)], pa.int64()),
-                    "rep": pa.array([*ids, *ids[list(a)]] if a else ids, pa.int64()),
-                    "other": pa.array([None] * m + [int(ids[j]) for j in b], pa.int64()),
-                }
-            )
+            every = np.arange(len(cls))
+            return tile_links(cls, rep, Sets.plain(sets), every, every)
 
         for batch in batches:
-            for *place, b, c, r, text in zip(*(batch.column(x).to_pylist() for x in (*keys, "block", "cls", "rep", "text")), strict=True):
-                if place != key and sets:
-                    yield links()
-                    cls, rep, block, sets = [], [], [], []
-                key = place
-                if cls and cls[-1] == c:
-                    continue  # the doc_id has several rows
+            deltas = []
+            for component, chunk, later, c, r, large, mine, text in zip(*(batch.column(x).to_pylist() for x in batch.schema.names), strict=True):
+                if (component, chunk) != key:
+                    if sets:
+                        yield links()
+                    key, last, cls, rep, sets, base = (component, chunk), None, [], [], [], None
                 h = shingler(text or "")
-                if len(h) and class_hash(h, clashes) == c:
+                if last == c or not len(h) or class_hash(h, clashes) != c:
+                    continue  # the doc_id has several rows
+                last = c
+                if not large:
                     cls.append(c)
                     rep.append(r)
-                    block.append(b)
                     sets.append(ordered(h, values))
+                    continue
+                if base is None and not later:
+                    base = h
+                if mine:
+                    delta = np.setxor1d(base, h, assume_unique=True)
+                    lack = (len(delta) + len(base) - len(h)) // 2
+                    deltas.append((c, r, component, len(h), lack, len(base), ordered(delta, values).tobytes()))
+            if deltas:
+                names = ("cls", "rep", "component", "n", "lack", "base")
+                cols = {x: pa.array(v, pa.int64()) for x, v in zip(names, [*zip(*deltas, strict=True)][:6], strict=True)}
+                none = pa.nulls(len(deltas), pa.int64())
+                found = {**cols, "links": none, "other": none, "delta": pa.array([d[6] for d in deltas], pa.binary())}
+                yield pa.RecordBatch.from_pydict({x.split()[0]: found[x.split()[0]] for x in JOINED.split(", ")})
         if sets:
             yield links()
 
-    ordered_rows = dealt.repartition(*keys).sortWithinPartitions(*keys, "cls")
-    return ordered_rows.mapInArrow(run, "cls long, links long, rep long, other long")
+    out = written(dealt.repartition("component", "chunk").sortWithinPartitions("component", "chunk", "later", "cls").mapInArrow(run, JOINED), "joined")
+    deltas = out.filter("delta IS NOT NULL")
+    return out if deltas.isEmpty() else out.filter("delta IS NULL").unionByName(written(large_links(deltas), "joined_large"))
+
+
+def large_links(deltas: DataFrame) -> DataFrame:
+    """As joined(), for classes given by their differences from the first set of their neighbourhood."""
+    sizes = deltas.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("delta") / 8).alias("n"))
+    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")
+    groups = written(sizes.select("component", blocks.alias("blocks")), "large_neighbourhoods")
+    few = groups.count() <= FEW_IDS
+    rows = deltas.join(F.broadcast(groups) if few else groups.hint("merge"), "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ("component", "low", "high")
+    dealt = rows.select("component", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "rep", "n", "lack", "base", "delta")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> pa.RecordBatch:
+            block, cls, rep, n, lack, base, delta = zip(*held, strict=True)
+            sets = Sets([np.frombuffer(d, dtype=np.uint64) for d in delta], np.array(n, dtype=np.int64), np.array(lack, dtype=np.int64))
+            low = np.flatnonzero(np.array(block) == key[1])
+            high = low if key[1] == key[2] else np.flatnonzero(np.array(block) == key[2])
+            return tile_links([*cls], [*rep], sets, low, high, base[0])
+
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in batch.schema.names), strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield links()
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield links()
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, JOINED)
 
 
 def classes_of(sets: DataFrame) -> tuple[DataFrame, dict[int, int]]:

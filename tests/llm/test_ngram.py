@@ -141,12 +141,12 @@ def test_links_of_a_large_family(spark, monkeypatch):
 
 
 def test_trie_join_against_sets():
-    draw = random.Random(5)
+    draw, plainly = random.Random(5), ngram_join.Sets.plain
     for m, top in ((1, 5), (2, 3), (40, 60), (130, 400)):
         plain = [set(draw.sample(range(top), draw.randrange(1, min(top, 50)))) for _ in range(m)]
         plain += [x | {draw.randrange(top)} for x in plain]
         sets = [np.array(sorted(x), dtype=np.uint64) for x in plain]
-        got = {(k, j) for k, own in ngram_join.trie_join(sets[: m + m // 2], sets) for j in own}
+        got = {(k, j) for k, own in ngram_join.trie_join(plainly(sets[: m + m // 2]), plainly(sets)) for j in own}
         want = {(k, j) for k in range(len(sets)) for j in range(m + m // 2) if 100 * len(plain[k] & plain[j]) >= 75 * len(plain[k] | plain[j])}
         assert got == want
 
