@@ -67,13 +67,16 @@ def format_inches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || ' 1/2"' WHEN 1 THEN p_size || ' 3/4"' WHEN 2 THEN p_size || ' 1/4"' ELSE p_size || '"+6"' END AS token,
-        CASE p_partkey % 4 WHEN 2 THEN CAST(p_size * 25 AS VARCHAR) END AS mm, p_partkey % 4 = 3 AS compound, CASE WHEN p_partkey % 4 = 0 AND p_size > 1000 THEN 'x' END AS refusal FROM part""")
+        CASE p_partkey % 4 WHEN 2 THEN CAST(p_size * 25 AS VARCHAR) END AS mm, p_partkey % 4 = 3 AS compound,
+        CASE WHEN p_partkey % 5 = 0 THEN 'denominator' WHEN p_partkey % 12 >= 8 THEN 'improper' WHEN p_partkey % 12 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'squeezed' END AS refusal FROM part""")
 def canonical_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trailing note, a hyphen for a space, a dual label, and two dimensions in one text."""
+    """A trailing note, a hyphen for a space, a dual label, two dimensions in one text, and the first fraction that is refused."""
     k, a = F.col("p_partkey") % 4, F.col("p_size")
     token = F.when(k == 0, text(a, '-1/2"')).when(k == 1, text(a, ' 3/4" (VIF)')).when(k == 2, text(a * 25, "mm [", a, ' 1/4"]')).otherwise(text(a, '"+6"'))
+    k5, k12, k7 = (F.col("p_partkey") % n for n in (5, 12, 7))
+    several = text("1/2 x ", a, " ", k12, "/", F.when(k5 == 0, 7).otherwise(8), F.when((k7 == 0) & (k12 != 0), " x 163/8").otherwise(""))
     c = U.canonical_notation(token)
-    return table(spark, sf_dir, "part").select("p_partkey", c["token"].alias("token"), c["mm"].alias("mm"), U.is_compound(token).alias("compound"), U.fraction_refusal(token, True).alias("refusal"))
+    return table(spark, sf_dir, "part").select("p_partkey", c["token"].alias("token"), c["mm"].alias("mm"), U.is_compound(token).alias("compound"), U.fraction_refusal(several, True).alias("refusal"))
 
 
 @query("""

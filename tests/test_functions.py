@@ -55,6 +55,11 @@ def test_format_and_refusals(spark):
     got = column(spark, [(85, 2), (-7, 2), (3, 4), (0, 5), (12, 4)], U.format_inches, "struct<num:bigint,den:bigint>")
     assert got == ["42 1/2", "-3 1/2", "3/4", "0", "3"]
     assert column(spark, ["163/8", "16 3/8", "5/3", "9/8", "x"], lambda c: U.fraction_refusal(c, True)) == ["squeezed", None, "denominator", "improper", None]
+    assert column(spark, ["1/2 x 9/8", "1/2 - 3/4", "1/2/3", "12 - 5/8", "5 163/8", "1/2 x 163/8"], lambda c: U.fraction_refusal(c, True)) == ["improper", None, None, None, "improper", "squeezed"]
+    assert column(spark, ["9/0", "3/7", "8/7"], lambda c: U.fraction_refusal(c, False)) == [None, None, "improper"]
+    token = column(spark, ["3'-6 1/2\"", "25-1/2\"", "984 mm [38 3/4]", "6\" (typ) (VIF)", "984MM[38 3/4\"]", "x"], U.canonical_notation)
+    assert [(t["token"], t["mm"]) for t in token] == [("3'-6 1/2\"", None), ('25 1/2"', None), ('38 3/4"', "984"), ('6" (typ)', None), ('38 3/4"', "984"), ("x", None)]
+    assert column(spark, ['6" + 3"', "6 + 3", '6"–3'], U.is_compound) == [True, False, True]
     assert column(spark, ["984 [38 3/4]", "984", "984 [39 3/4]", "x"], U.check_dual) == ["consistent_within_rounding", "not_corroborated", "inconsistent", None]
 
 
