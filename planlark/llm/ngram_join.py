@@ -10,9 +10,9 @@ and hashes decide the rest.
    the order. They only shape the order and the dealing, so any such list gives the same links.
 2. Each class posts its prefix; postings meet by shingle. Pairs pass the length and position bounds to be candidates.
    A shingle of up to SMALL classes gives all its pairs; one of more gives pairs with LEADERS leaders, and its postings
-   go on to step 3. A sketch of each set (the parity of its elements in up to SKETCH_BITS bits) then drops pairs whose
-   sketches differ in more bits than similar sets can differ in elements; two sets never differ in fewer elements than
-   their sketches in bits.
+   go on to step 3. A sketch of each set (the parity of its elements in a number of bits that follows its size) then drops
+   pairs whose sketches differ in more bits than similar sets can differ in elements; two sets never differ in fewer
+   elements than their sketches in bits.
 3. The pairs that are left form neighbourhoods (components of candidates). The postings of shingles with many classes
    are compared once more, by sketch, between neighbourhoods: a pair that has a chance unites two of them. So each pair
    of similar sets lies inside one neighbourhood.
@@ -148,8 +148,12 @@ def similar(common: int, n_a: int, n_b: int) -> bool:
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """Parities of the elements in some eight bits an element, SKETCH_BITS at most."""
-    bits = min(SKETCH_BITS, max(64, 1 << (8 * len(hashes) - 1).bit_length()))
+    """Parities of the elements in some eight bits an element, up to SKETCH_BITS, and one to two bits from there on.
+
+    A bit an element is enough to tell: sets of similarity 0.6 or less differ in more bits on average than similar ones can.
+    """
+    n = len(hashes)
+    bits = max(64, min(SKETCH_BITS, 1 << (8 * n - 1).bit_length()), 1 << (n - 1).bit_length())
     parity = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
