@@ -9,8 +9,8 @@ The least squares: with A r the totals, t the targets and M = sum of n p p' (the
 floor is the projection in it. There the gradient of a document is p . M^-1 (A r - t), and A M^-1 A' is the identity, so
 the gradient has Lipschitz constant 1: steps of length 1 never raise the objective and converge to its least value over
 the bounds, whichever of them bind. Each step reads (doc_id, n, p) and sums one number a domain; only those numbers come
-to the driver. Steps end when the targets are reached or when the objective falls no more: then the targets are out of
-reach, and what remains of each is in the result (``domain_error``), as it is if ``steps`` run out.
+to the driver. Steps end when the targets are reached, when the objective hardly falls (then the targets are out of
+reach), or after ``steps`` of them; what remains of each target is in the result (``domain_error``) in every case.
 
 Everything is built-in functions. Rates are folded into one expression over the steps so far, and written every
 FOLD steps, so the plan stays short.
@@ -36,8 +36,6 @@ from planlark.functions.rational import let
 from planlark.llm.common import written
 
 MAX_DOMAINS, FOLD = 64, 6
-#: The objective falls no more when a step takes less than this part of it.
-STALL = 1e-8
 #: Classes of characters whose share tells languages and junk apart.
 CLASSES = ("[äöüßÄÖÜ]", "[éèêçàâîôûœÉÈÊÇÀ]", "[ñóíáúÑÓÍÁÚ¿¡]", "[#%&*$|@<>]", "[0-9]")
 N_FEATURES = len(CLASSES) + 2
@@ -105,8 +103,11 @@ def soft_members(docs: DataFrame, domains: DataFrame) -> tuple[DataFrame, list[s
     return written(joint, "members"), [m[0] for m in model] or ["all"]
 
 
-def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: int = 500, within: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, p, rate), and the totals reached. targets: expected tokens of each domain."""
+def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: int = 40, within: float = 1e-6, stall: float = 1e-3) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, p, rate), and the totals reached. targets: expected tokens of each domain.
+
+    Steps end when all totals are ``within`` that share of their sum, or when one takes less than the part ``stall`` off
+    the objective."""
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
     gram = members.agg(*[F.sum(F.col("n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
@@ -122,7 +123,7 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, step
         reached = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
         z, before = np.linalg.solve(matrix, reached - goal), loss
         loss = float((reached - goal) @ z) / 2
-        if step == steps or np.abs(reached - goal).max() <= within * max(goal.sum(), 1.0) or loss > before * (1 - STALL):
+        if step == steps or np.abs(reached - goal).max() <= within * max(goal.sum(), 1.0) or loss > before * (1 - stall):
             break
         rate = F.greatest(F.lit(float(floor)), rate - sum((p[i] * float(z[i]) for i in range(1, k)), p[0] * float(z[0])))
         if (step + 1) % FOLD == 0:

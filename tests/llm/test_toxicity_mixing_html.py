@@ -113,12 +113,12 @@ def test_rates_reach_the_least_objective(spark):
     df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(40)], "doc_id long, n long, p array<double>")
     weight = np.linalg.inv((n[:, None] * p).T @ p)
     for goal, floor, within_reach in ((totals[[1, 2, 0]], 0.0, True), (totals * [1.5, 0.4, 1.0], 0.8, False)):
-        rates, reached = mixing.fit_rates(df, list(goal), floor=floor)
+        rates, reached = mixing.fit_rates(df, list(goal), floor=floor, steps=120, stall=1e-7)
         rows = rates.orderBy("doc_id").collect()
         assert min(r.rate for r in rows) >= floor
         assert np.allclose(sum(r.n * r.rate * np.array(r.p) for r in rows), reached)
         loss, best = (reached - goal) @ weight @ (reached - goal) / 2, least_objective(n, p, goal, floor)
-        assert loss <= best * 1.001 + 1e-6 * goal.sum()
+        assert loss <= best * 1.005 + 1e-6 * goal.sum()
         assert (np.abs(reached - goal).max() <= 1e-4 * goal.sum()) == within_reach
 
 
