@@ -122,3 +122,14 @@ def utc_day(ts: Column) -> Column:
 
 def json_numbers(text: Column, path: str) -> Column:
     return F.get_json_object(text, path).cast("long")
+
+
+def json_contains(text: Column, *wanted: str) -> Column:
+    """Whether a JSON array of texts holds all that is wanted; null for what is no array."""
+    found = F.from_json(text, "array<string>")
+    return F.when(found.isNotNull(), F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), found)) == 0)
+
+
+def name_key(text: Column) -> Column:
+    """A name that compares: without outer blanks and case; null stays null."""
+    return F.lower(F.btrim(text))

@@ -48,25 +48,28 @@ def independence_key(extractor: Column, version: Column, vendors: dict[str, str]
 def corroborate(candidates: DataFrame, label: str) -> DataFrame:
     """(label, status, readers, values): consensus of the readings of one label. C3, A22.
 
-    candidates: label, extractor, key (independence), value, unit, semantic, stacked. One grouped stage, all partial.
+    candidates: label, extractor, key (independence), value, unit, semantic, stacked. Only
+    the two counts that are returned are distinct counts; elsewhere the least and the greatest tell whether there are several.
     """
     valued = F.col("value").isNotNull()
     n = lambda c: F.count_distinct(F.when(valued, F.col(c)))
+    several = lambda c: F.coalesce(F.min(F.when(valued, F.col(c))) < F.max(F.when(valued, F.col(c))), F.lit(False))
     found = candidates.groupBy(label).agg(
         F.coalesce(F.bool_or("stacked"), F.lit(False)).alias("stacked"),
         F.count_if(valued).alias("readings"),
         n("extractor").alias("readers"),
-        n("key").alias("keys"),
-        n("unit").alias("units"),
+        several("key").alias("independent"),
+        several("unit").alias("units"),
         n("value").alias("values"),
-        n("semantic").alias("semantics"),
+        several("semantic").alias("semantics"),
+        F.count_if(valued & F.col("semantic").isNotNull()).alias("typed"),
         F.count_if(valued & F.col("semantic").isNull()).alias("untyped"),
     )
     status = (
-        F.when(F.col("stacked") | (F.col("readings") < 2) | (F.col("readers") < 2) | (F.col("units") > 1), RAW)
+        F.when(F.col("stacked") | (F.col("readings") < 2) | (F.col("readers") < 2) | F.col("units"), RAW)
         .when(F.col("values") > 1, CONFLICTING)
-        .when(F.col("keys") < 2, RAW)
-        .when((F.col("semantics") == 1) & (F.col("untyped") == 0), CORROBORATED)
+        .when(~F.col("independent"), RAW)
+        .when(~F.col("semantics") & (F.col("typed") > 0) & (F.col("untyped") == 0), CORROBORATED)
         .otherwise(RAW)
     )
     return found.select(label, status.alias("status"), "readers", "values")

@@ -63,6 +63,11 @@ def localisation(pairs: DataFrame, percent: int) -> DataFrame:
     return unpivoted(pairs.agg(*conditional("localisation_rate", good, F.lit(True))), ["localisation_rate"])
 
 
+def mean_iou(pairs: DataFrame) -> DataFrame:
+    """(metric, pairs, value): the mean of common / joined over pairs that have an area. A16."""
+    return pairs.agg(F.lit("mean_iou").alias("metric"), F.count("*").alias("pairs"), F.round(F.avg(F.try_divide("common", "joined")), 6).alias("value"))
+
+
 def metric_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """better, worse, same; a lost measurement is worse, a new one better. M8."""
     a, b = before.select("metric", F.col("value").alias("was")), after.select("metric", F.col("value").alias("now"))

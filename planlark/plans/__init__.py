@@ -1,6 +1,6 @@
 """Every query of the package, by name."""
 
-from planlark.plans import geometry, reports, retrieval, streams, units, verdicts  # noqa: F401
+from planlark.plans import geometry, records, reports, retrieval, streams, units, verdicts  # noqa: F401
 from planlark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

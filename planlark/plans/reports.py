@@ -171,7 +171,7 @@ def rate_with_null_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN event_type = 'error' THEN 'not_priced' ELSE 'priced' END AS state FROM events WHERE event_type <> 'error'
     UNION ALL SELECT event_id, NULL, 'not_priced' FROM events WHERE event_type = 'error'""")
 def cost_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens priced at decimals per 1000, half up to micros; models without a price have no cost."""
+    """Tokens priced at decimals per 1000, half up to micros; models without a price have no cost."""
     from planlark.sources.io import price_frame
 
     prices = price_frame(spark, {m: ("0.003", "0.015") for m in ("click", "view", "signup", "purchase")})
@@ -233,7 +233,7 @@ def live_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT user_id, max(ts) AS last, max(ts) < TIMESTAMP '2024-01-30' AS stale FROM events GROUP BY user_id""")
 def stale_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 T5."""
+    """T5."""
     return T.stale_jobs(table(spark, sf_dir, "events"), "user_id", "ts", at("2024-01-30 00:01:00"), 60)
 
 

@@ -189,7 +189,7 @@ def corroborated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT l_orderkey, l_linenumber, CASE WHEN NOT (l_returnflag IN ('A', 'N')) THEN 'NOT_QUALIFIED' WHEN NOT (l_tax > 0.02 OR l_linestatus = 'F') THEN 'NOT_QUALIFIED' WHEN l_suppkey % 9 = 0 THEN 'ADVISORY' WHEN l_quantity > 45 THEN 'NO_VALUE' WHEN l_partkey % 20 = 0 THEN 'UNKNOWN_UNIT' END AS refusal FROM lineitem""")
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may enter a verdict; the first failing reason is named."""
+    """What may enter a verdict; the first failing reason is named."""
     status = F.when(F.col("l_returnflag") == "A", E.CORROBORATED).when(F.col("l_returnflag") == "N", E.CONFIRMED).otherwise(E.CONFLICTING)
     authority = F.when(F.col("l_suppkey") % 9 == 0, "ADVISORY").otherwise("AUTHORITATIVE")
     value, unit = F.when(F.col("l_quantity") <= 45, F.col("l_quantity")), F.when(F.col("l_partkey") % 20 == 0, "yd").otherwise("in")
@@ -229,7 +229,7 @@ def combined_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH a AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS t FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS t FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1, 2)
     SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber, a.t AS a_text, b.t AS b_text, coalesce(a.t = b.t, FALSE) AS agree FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
 def paired_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two readers by position, who agree only on the same text."""
+    """Two readers by position, who agree only on the same text."""
     l = table(spark, sf_dir, "lineitem")
     of = lambda k: l.filter(F.col("l_suppkey") % 2 == k).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("t"))
     return E.paired_answers(of(0), of(1), ["l_orderkey"], "l_linenumber", "t")

@@ -19,7 +19,7 @@ VERDICT = "CASE WHEN {} THEN 'PASS' ELSE 'FAIL' END"
     SELECT o_orderkey, CAST(lines AS BIGINT) AS lines, CASE WHEN lines IS NULL THEN 'NOT_FOUND' WHEN abs(CAST(round(o_totalprice * 100) AS BIGINT) - lines) <= 2000000 THEN 'PASS' ELSE 'FAIL' END AS outcome
     FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def order_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's total against the sum of its lines; no line is NOT_FOUND before any verdict."""
+    """An order's total against the sum of its lines; no line is NOT_FOUND before any verdict."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("lines"))
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     no = F.lit(False)
@@ -184,7 +184,7 @@ def variant_applicability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN p.name = 'gap' AND c.c_mktsegment = 'BUILDING' THEN 'GLOBAL=2' WHEN p.name = 'depth' AND c.c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'GLOBAL=24' ELSE '' END AS shadowed
     FROM (SELECT DISTINCT c_mktsegment FROM customer) c CROSS JOIN (VALUES ('gap', 2), ('depth', 24)) p(name, v)""")
 def parameter_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GLOBAL under PROJECT under RUN, and what each value shadows."""
+    """E5: GLOBAL under PROJECT under RUN, and what each value shadows."""
     projects = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project")).distinct()
     everywhere = projects.select("project", F.inline(F.array(*[F.struct(F.lit("GLOBAL").alias("layer"), F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in (("gap", 2), ("depth", 24))])))
     own = projects.filter(F.col("project").isin("BUILDING", "MACHINERY")).select("project", F.lit("PROJECT").alias("layer"), F.lit("depth").alias("name"), F.lit(25).alias("value"))

@@ -20,10 +20,12 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     return reader.option("recursiveFileLookup", True).parquet(path)
 
 
-def drain(query_of: Callable[[], object], limit_s: int = 600) -> None:
+def drain(query_of: Callable[[], object], limit_s: int | None = None) -> None:
     """Run a stream over what is there now, and end."""
     q = query_of()
-    if not q.awaitTermination(limit_s):
+    if limit_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(limit_s):
         q.stop()
         raise TimeoutError("the stream has not ended")
     if q.exception():
@@ -46,16 +48,19 @@ def once(stream: DataFrame, key: list[str], at: str, late: str) -> DataFrame:
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def append_new(batch: DataFrame, sink: str, key: list[str]) -> None:
-    """foreachBatch sink with an exactly-once effect: keys that the sink has are left out. T3."""
+def append_new(batch: DataFrame, sink: str, key: list[str], number: int) -> None:
+    """foreachBatch sink with an exactly-once effect: each batch has its own folder, which a retry writes anew, and keys
+    that other batches have put are left out. T3."""
     from pyspark.errors import AnalysisException
+    from pyspark.sql.types import LongType, StructField, StructType
 
     try:
-        known = batch.sparkSession.read.parquet(sink).select(*key)
-        batch = batch.join(known, key, "left_anti")
-    except AnalysisException:  # the sink is not there yet
-        pass
-    batch.dropDuplicates(key).write.mode("append").parquet(sink)
+        known = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(sink)
+        batch = batch.join(known.filter(F.col("batch") != number).select(*key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # the first batch has no sink yet
+            raise
+    batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
 
 def stuck(rows: DataFrame, at: str, now: Column, minutes: int, done: Column) -> DataFrame:
