@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, rans_store, secrets, toxicity, warc
+from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, prefix_trie, rans_store, secrets, toxicity, warc
 from planlark.llm.common import LOWER, UPPER, table
 
 
@@ -56,6 +56,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10_warc(spark, table(spark, sf_dir, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13_trie(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_rans": op9_rans,
     "op10_warc": op10_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +102,38 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN d.page_id = g.head THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN d.page_id = g.head THEN NULL ELSE g.head END AS refers_to
         FROM d JOIN g ON d.payload_digest = g.pd""",
+    "op13_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS from_id,
+                xor(4294967295, list_reduce(
+                    list_prepend(4294967295::BIGINT, list_transform(range(1, CAST(length(conv_id::VARCHAR) AS BIGINT) + 1), lambda i: ascii(substr(conv_id::VARCHAR, CAST(i AS INTEGER), 1))::BIGINT)),
+                    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 9 AS h
+            FROM t GROUP BY conv_id),
+        c AS (SELECT o.conv_id, o.from_id, o.h, least(o.h, coalesce(f.n, 0)) AS taken, least(o.h, coalesce(f.n, 0)) + greatest(o.n - o.h, 0) AS len
+            FROM own o LEFT JOIN own f ON f.conv_id = o.from_id),
+        r AS (
+            SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.from_id AND t.pos <= c.h
+            UNION ALL SELECT c.conv_id, t.pos - c.h + c.taken, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+        p AS (
+            SELECT conv_id, pos AS depth, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY pos) AS path, strlen(text) AS bytes FROM r
+            UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+        m AS (SELECT p.conv_id AS member, p.depth, c.len, p.bytes, min(p.conv_id) OVER (PARTITION BY p.path) AS conv_id FROM p JOIN c ON c.conv_id = p.conv_id),
+        n AS (
+            SELECT conv_id, depth, count(*) AS n_convs, max(bytes) AS bytes, max(len) = depth AS leaf,
+                sha256(coalesce(string_agg(member::VARCHAR, ',' ORDER BY member) FILTER (len = depth), '')) AS ends_sha256
+            FROM m GROUP BY conv_id, depth),
+        up AS (SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id FROM n JOIN m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+        kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+        sums AS (
+            SELECT m.conv_id, m.depth, count(*) FILTER (n.leaf) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+            FROM n JOIN m ON m.member = n.conv_id AND m.depth <= n.depth GROUP BY m.conv_id, m.depth)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children,
+            sums.n_leaves, CAST(sums.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN sums ON sums.conv_id = n.conv_id AND sums.depth = n.depth
+        LEFT JOIN up ON up.conv_id = n.conv_id AND up.depth = n.depth
+        LEFT JOIN kids ON kids.conv_id = n.conv_id AND kids.depth = n.depth""",
 }
