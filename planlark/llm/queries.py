@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, prefix_trie, rans_store, secrets, toxicity, warc
+from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, prefix_trie, rans_store, secrets, toxicity, warc, whitening
 from planlark.llm.common import LOWER, UPPER, table
 
 
@@ -56,6 +56,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10_warc(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11_whitening(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op13_trie(spark, table(spark, sf_dir, "conversations"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_rans": op9_rans,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
