@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, prefix_trie, rans_store, secrets, toxicity, warc, whitening
+from planlark.llm import bpe_chunks, exact_dedup, hamming, html_extract, mixing, ngram_join, prefix_trie, quality, rans_store, secrets, toxicity, warc, whitening
 from planlark.llm.common import LOWER, UPPER, table
 
 
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op11_whitening(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op12_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op13_trie(spark, table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rans": op9_rans,
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
+    "op12_quality": op12_quality,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
