@@ -12,6 +12,8 @@ from planlark.sources.work import written
 
 #: Fixed values (points): how near two boxes are one spot, and how large a box may be to be a spot.
 NEAR, SPOT = 18.0, 72.0
+#: About how many sightings one call folds, if its components are smaller.
+CALL = 5000
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -139,8 +141,8 @@ def _across(rows: list[dict], groups: Groups) -> None:
     known: list[dict] = [defaultdict(lambda: defaultdict(list)) for _ in range(4)]  # by strength: what is shared, then the answer's number
 
     def shared(r: dict) -> list:
-        words = (r["page"], r["words"]) if r["page"] is not None and r["words"] else None
-        return [r["record"] or None, r["label"], r["page"] if r["spot"] and r["page"] is not None else None, words]
+        given = [(r["record"],), (r["label"],), (r["page"], r["spot"] or None), (r["page"], r["words"])]
+        return [None if None in g or "" in g else (r["package"], *g) for g in given]
 
     for number, members in enumerate(by_answer.values()):
         linked = set()
@@ -163,7 +165,7 @@ def _across(rows: list[dict], groups: Groups) -> None:
 
 
 def folded_items(frame: pd.DataFrame) -> pd.DataFrame:
-    """One component's sightings with their items."""
+    """The items of some whole components."""
     rows = frame.astype(object).where(frame.notna(), None).sort_values(["at", "answer", "place"]).to_dict("records")
     groups = Groups([((r["answer"], r["round"]), r["carrier"]) for r in rows])
     _inside(rows, groups)
@@ -192,5 +194,7 @@ def entity_links(sightings: DataFrame) -> DataFrame:
     firsts = met.groupBy("hub").agg(F.min("sid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hub", "first")
     found = components(met.join(firsts, "hub").select(F.col("sid").alias("a"), F.col("first").alias("b"))).withColumnRenamed("node", "sid")
     both = rows.select("*", "box.*").drop("__hubs", "box").join(found.hint("merge"), "sid", "left")
-    folded = both.filter("component IS NOT NULL").groupBy("component").applyInPandas(folded_items, "sid long, item long")
+    # small components share a call, which else costs more than their fold
+    calls = F.pmod(F.xxhash64("component"), F.lit(rows.count() // CALL + 1))
+    folded = both.filter("component IS NOT NULL").groupBy(calls).applyInPandas(folded_items, "sid long, item long")
     return both.filter("component IS NULL").select("sid", F.col("sid").alias("item")).unionByName(folded)
