@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,3 +135,18 @@ def json_contains(text: Column, *wanted: str) -> Column:
 def name_key(text: Column) -> Column:
     """A name that compares: without outer blanks and case; null stays null."""
     return F.lower(F.btrim(text))
+
+
+def json_elements(text: Column, keep: Callable[[Column], Column]) -> Column:
+    """Every element of a JSON array that passes, as an array of VARIANT in the array's order. U28.
+
+    As a lax path does it, a value that is no array is an array of itself, and an element without what ``keep`` asks for
+    does not pass. Null and what is no JSON have no elements; the text is parsed once."""
+    doc = F.try_parse_json(text)
+    return F.filter(F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array(doc)), lambda e: doc.isNotNull() & F.coalesce(keep(e), F.lit(False)))
+
+
+def text_at(element: Column, path: str) -> Column:
+    """The text at a path of a VARIANT; null where there is none or it is no text."""
+    found = F.try_variant_get(element, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(element, path, "string"))

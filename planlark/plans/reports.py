@@ -305,11 +305,26 @@ def plan_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) >= 50""")
 def json_path_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A number from JSON text."""
+    """A number from JSON text."""
     k = S.json_numbers(F.col("props"), "$.k")
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k >= 50")
 
 
+@query("""
+    WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, CAST(props->>'$.k' AS BIGINT) AS k, ts FROM events)
+    SELECT user_id, CAST(day AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) - 1 AS place,
+        '{"cents":' || cents || ',"id":' || event_id || ',"props":{"k":' || k || '},"type":"' || event_type || '"}' AS found
+    FROM e WHERE (event_type = 'purchase' OR event_type = 'error') AND k >= 20""")
+def json_path_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the JSON array of a user's day, every element of two types whose props pass."""
+    e = table(spark, sf_dir, "events").withColumn("day", S.utc_day(F.col("ts")).cast("string"))
+    block = F.struct("ts", "event_id", cents("value").alias("cents"), F.col("event_id").alias("id"), F.from_json("props", "k long").alias("props"), F.col("event_type").alias("type"))
+    answers = e.groupBy("user_id", "day").agg(F.to_json(F.transform(F.array_sort(F.collect_list(block)), lambda b: b.dropFields("ts", "event_id"))).alias("blocks"))
+    keep = lambda b: S.text_at(b, "$.type").isin("purchase", "error") & (F.try_variant_get(b, "$.props.k", "long") >= 20)
+    found = answers.select("user_id", "day", F.posexplode(S.json_elements(F.col("blocks"), keep)).alias("place", "found"))
+    return found.select("user_id", "day", "place", F.to_json("found").alias("found"))
+
+
 @query("""
     SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT concat(user_id, '|', CAST(ts AS DATE))) FILTER (WHERE value > 10) AS active_days,
         min(ts) AS first_at, max(ts) AS last_at, median(CAST(round(value * 100) AS BIGINT))::DOUBLE AS median_cents FROM events GROUP BY event_type HAVING count(*) > 10""")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from planlark.operators import evidence as E
 from planlark.operators import relational as R
 from planlark.operators import retrieval as L
+from planlark.operators.text_index import TextIndex
 from planlark.plans.registry import query
 from planlark.sources.io import table
+from planlark.sources.work import work_path
 
 TRIGRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''),
     lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', CAST(i AS INTEGER), 3)))))"""
@@ -262,3 +264,36 @@ def approved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word, or a fragment as it stands."""
     return L.phrase_search(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), "Red ring", "ALL W")
+
+
+WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, source, {WORDS.format("text")} AS w, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT item_id, text, {WORDS.format("text")} AS w FROM benchmark),
+    q AS (SELECT item_id * 2 AS query_id, '"' || w[2] || ' ' || w[3] || '" ' || w[5] || ' -' || w[1] AS text FROM b UNION ALL SELECT item_id * 2 + 1, substr(text, 4, 14) FROM b),
+    a AS (
+        SELECT item_id * 2 AS query_id, 0 AS clause, FALSE AS without, [w[2], w[3]] AS words FROM b UNION ALL SELECT item_id * 2, 1, FALSE, [w[5]] FROM b UNION ALL SELECT item_id * 2, 2, TRUE, [w[1]] FROM b
+        UNION ALL SELECT query_id, clause, FALSE, words FROM (SELECT query_id, clause, {WORDS.format("token")} AS words FROM (
+            SELECT query_id, unnest(regexp_split_to_array(text, '\\s+')) AS token, unnest(range(len(regexp_split_to_array(text, '\\s+')))) AS clause FROM q WHERE query_id % 2 = 1)) WHERE len(words) > 0),
+    p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM d),
+    o AS (SELECT a.query_id, a.clause, a.without, p.doc_id, p.i AS s, p.i + len(a.words) - 1 AS e FROM a JOIN p ON p.term = a.words[1] JOIN d ON d.doc_id = p.doc_id WHERE list_slice(d.w, p.i + 1, p.i + len(a.words)) = a.words),
+    k AS (SELECT query_id, count(*) FILTER (WHERE NOT without) AS k FROM a GROUP BY 1),
+    m AS (SELECT o.query_id, o.doc_id FROM o JOIN k ON k.query_id = o.query_id GROUP BY 1, 2 HAVING NOT bool_or(o.without) AND count(DISTINCT o.clause) = max(k.k)),
+    l AS (SELECT x.query_id, x.doc_id, x.e, z.clause, max(z.s) AS s FROM (SELECT DISTINCT query_id, doc_id, e FROM o) x JOIN m ON m.query_id = x.query_id AND m.doc_id = x.doc_id JOIN o z ON z.query_id = x.query_id AND z.doc_id = x.doc_id AND z.e <= x.e GROUP BY 1, 2, 3, 4),
+    c AS (SELECT l.query_id, l.doc_id, l.e, min(l.s) AS a FROM l JOIN k ON k.query_id = l.query_id GROUP BY 1, 2, 3 HAVING count(*) = max(k.k)), v AS (SELECT query_id, doc_id, a, min(e) AS e FROM c GROUP BY 1, 2, 3),
+    asked AS (SELECT DISTINCT query_id, unnest(words) AS term FROM a WHERE NOT without),
+    n AS (SELECT v.query_id, v.doc_id, v.a, v.e, count(*) AS inside FROM v JOIN p ON p.doc_id = v.doc_id AND p.i BETWEEN v.a AND v.e JOIN asked ON asked.query_id = v.query_id AND asked.term = p.term GROUP BY 1, 2, 3, 4),
+    r AS (SELECT query_id, doc_id, sum(0.1::DOUBLE / (1 + e - a + 1 - inside)) AS rank FROM n GROUP BY 1, 2 UNION ALL SELECT q.query_id, d.doc_id, 0.0 FROM q JOIN d ON contains(d.t, lower(trim(q.text))))
+    SELECT r.query_id, d.source AS scope, r.doc_id AS id, round(max(r.rank), 6) AS rank FROM r JOIN d ON d.doc_id = r.doc_id GROUP BY 1, 2, 3""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents are indexed once by source, then two searches for each benchmark item: a phrase and a word
+    without another word, and a piece of the item's text that begins inside a word."""
+    index = TextIndex(spark, work_path(spark, "text_index"), 8)
+    index.build(table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("id"), "text"))
+    b = table(spark, sf_dir, "benchmark").withColumn("w", L.words_of(F.col("text")))
+    w = lambda i: F.element_at("w", i)
+    phrase = F.concat(F.lit('"'), w(2), F.lit(" "), w(3), F.lit('" '), w(5), F.lit(" -"), w(1))
+    asked = b.select((F.col("item_id") * 2).alias("query_id"), phrase.alias("text")).unionByName(b.select((F.col("item_id") * 2 + 1).alias("query_id"), F.substring("text", 4, 14).alias("text")))
+    return index.search(asked).withColumn("rank", F.round("rank", 6))

@@ -24,3 +24,11 @@ def test_json_arrays_and_names(spark):
     rows = spark.createDataFrame([('["a","b"]', " A b "), ("[]", ""), (None, None), ("{", "x")], "j string, n string")
     got = rows.select(S.json_contains(F.col("j"), "a").alias("one"), S.json_contains(F.col("j"), "a", "c").alias("two"), S.name_key(F.col("n")).alias("n")).collect()
     assert [tuple(r) for r in got] == [(True, False, "a b"), (False, False, ""), (None, None, None), (None, None, "x")]
+
+
+def test_json_elements(spark):
+    rows = [(1, '[{"type":"a","n":1},{"type":"b"},{"type":"a","n":"x"},5,"a",null,[{"type":"a"}],{"type":5}]'), (2, '{"type":"a"}'), (3, "[]"), (4, None), (5, "{"), (6, '"a"'), (7, "null")]
+    df = spark.createDataFrame(rows, "id long, j string")
+    found = S.json_elements(F.col("j"), lambda e: S.text_at(e, "$.type") == "a")
+    got = {r.id: r.f for r in df.select("id", F.transform(found, lambda e: F.to_json(e)).alias("f")).collect()}
+    assert got == {1: ['{"n":1,"type":"a"}', '{"n":"x","type":"a"}'], 2: ['{"type":"a"}'], 3: [], 4: [], 5: [], 6: [], 7: []}
