@@ -238,7 +238,7 @@ def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT 'identifier_precision', (SELECT count(*) FROM r WHERE p_partkey IN (SELECT p_partkey FROM g WHERE value > 10)), (SELECT count(*) FROM r))
     SELECT metric, num, den, round(num::DOUBLE / den, 6) AS value FROM m""")
 def reading_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings against gold; what was not read is wrong, and precision counts what was predicted."""
+    """M3 M4: readings against gold; what was not read is wrong, and precision counts what was predicted."""
     gold = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("value"), F.lit("in").alias("unit"))
     read = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").cast("int").alias("value"), F.max(F.when(F.col("l_tax") > 0.079, "mm").otherwise("in")).alias("unit"))
     return M.reading_metrics(gold, read, ["p_partkey"]).unionByName(M.match_precision(read, gold.filter("value > 10"), ["p_partkey"]))

@@ -171,7 +171,7 @@ def rate_with_null_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN event_type = 'error' THEN 'not_priced' ELSE 'priced' END AS state FROM events WHERE event_type <> 'error'
     UNION ALL SELECT event_id, NULL, 'not_priced' FROM events WHERE event_type = 'error'""")
 def cost_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens priced at decimals per 1000, half up to micros; models without a price have no cost."""
+    """Tokens priced at decimals per 1000, half up to micros; models without a price have no cost."""
     from planlark.sources.io import price_frame
 
     prices = price_frame(spark, {m: ("0.003", "0.015") for m in ("click", "view", "signup", "purchase")})
@@ -249,7 +249,7 @@ def outbox_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT event_id, user_id FROM events WHERE event_id > 900 ORDER BY event_id LIMIT 50""")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next rows of a log after an offset (the limit is the feature)."""
+    """The next rows of a log after an offset (the limit is the feature)."""
     return T.tail(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 900, 50)
 
 

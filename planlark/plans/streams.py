@@ -32,7 +32,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT event_type, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY event_type""")
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage kept by a stream; each batch replaces the whole small result (complete mode)."""
+    """Usage kept by a stream; each batch replaces the whole small result (complete mode)."""
     out, marks = scratch(spark, "usage"), scratch(spark, "marks")
     g = events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(cents("value")).alias("cents"))
     put = lambda df, _: df.write.mode("overwrite").parquet(out)

@@ -97,7 +97,7 @@ def revision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN p_partkey % 5 = 0 THEN 'assistant' WHEN p_partkey % 5 = 1 THEN 'chat' WHEN p_partkey % 5 = 2 THEN 'reading' ELSE 'other' END AS purpose,
         CASE WHEN p_partkey % 5 = 0 THEN 'anthropic' WHEN p_partkey % 2 = 0 THEN 'bedrock' ELSE 'unknown' END AS route FROM part""")
 def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawing references as first seen, room keys, and what a prompt's name says."""
+    """Drawing references as first seen, room keys, and what a prompt's name says."""
     k = F.col("p_partkey")
     note = F.when(k % 2 == 0, text("see ", F.col("p_size"), "/A-40", k % 10, " and 7 / s1, 7/S-1")).otherwise(F.lit("see 7/S1"))
     room = F.when(k % 2 == 0, "The Master Baths").otherwise("Kitchens room")

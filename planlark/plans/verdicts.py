@@ -155,24 +155,12 @@ def equal_share_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNAPSHOTS = [("R-S", "1.9.0", "SMALL", "Brand#2"), ("R-S", "1.10.0", "SMALL", "Brand#3"), ("R-SG", "2.0.0", "SMALL", None), ("R-L", "1.0.0", "LARGE", "Brand#1"), ("R-M", "0.9.1", "MEDIUM", None)]
 
 
-@query("""
-    SELECT p_partkey, CASE WHEN p_type = 'SMALL' AND p_brand = 'Brand#3' THEN 'R-S' WHEN p_type = 'SMALL' AND p_partkey % 17 <> 0 THEN 'R-SG' WHEN p_type = 'LARGE' AND p_brand = 'Brand#1' AND p_partkey % 17 <> 0 THEN 'R-L' WHEN p_type = 'MEDIUM' AND p_partkey % 17 <> 0 THEN 'R-M' END AS applies,
-        CASE WHEN p_type NOT IN ('SMALL', 'LARGE', 'MEDIUM') THEN 'NO_APPLICABLE_RULE' WHEN p_type = 'MEDIUM' THEN NULL WHEN p_partkey % 17 = 0 AND NOT (p_brand = 'Brand#3' AND FALSE) THEN 'REVIEW_REQUIRED' WHEN p_type = 'LARGE' AND p_brand <> 'Brand#1' THEN 'NO_APPLICABLE_RULE' END AS abstains
-    FROM part WHERE NOT (p_partkey % 17 = 0 AND (p_type = 'MEDIUM' OR (p_type = 'SMALL' AND p_brand = 'Brand#3')))""")
-def variant_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest snapshot of each rule by version number, a variant by brand or a global rule."""
-    snaps = spark.createDataFrame(SNAPSHOTS, "rule_id string, version string, product_type string, variant string")
-    p = table(spark, sf_dir, "part").filter(~((F.col("p_partkey") % 17 == 0) & ((F.col("p_type") == "MEDIUM") | ((F.col("p_type") == "SMALL") & (F.col("p_brand") == "Brand#3")))))
-    cases = p.select("p_partkey", F.col("p_type").alias("product_type"), F.when(F.col("p_partkey") % 17 != 0, F.col("p_brand")).alias("brand"))
-    return B.applicability(cases, snaps, "brand").select("p_partkey", "applies", "abstains")
-
-
 @query("""
     SELECT p_partkey, CASE WHEN p_type = 'MEDIUM' THEN 'R-M' WHEN p_partkey % 17 = 0 THEN NULL WHEN p_type = 'SMALL' AND p_brand = 'Brand#3' THEN 'R-S' WHEN p_type = 'SMALL' THEN 'R-SG' WHEN p_type = 'LARGE' AND p_brand = 'Brand#1' THEN 'R-L' END AS applies,
         CASE WHEN p_type NOT IN ('SMALL', 'LARGE', 'MEDIUM') THEN 'NO_APPLICABLE_RULE' WHEN p_type = 'MEDIUM' THEN NULL WHEN p_partkey % 17 = 0 THEN 'REVIEW_REQUIRED' WHEN p_type = 'LARGE' AND p_brand <> 'Brand#1' THEN 'NO_APPLICABLE_RULE' END AS abstains
     FROM part""")
-def variant_applicability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E3 E4 S2 over every part: an unknown brand takes a type's only global rule, and needs review where the type has variants."""
+def variant_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 E4 over every part: an unknown brand takes a type's only global rule, and needs review where the type has variants."""
     snaps = spark.createDataFrame(SNAPSHOTS, "rule_id string, version string, product_type string, variant string")
     cases = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("product_type"), F.when(F.col("p_partkey") % 17 != 0, F.col("p_brand")).alias("brand"))
     return B.applicability(cases, snaps, "brand").select("p_partkey", "applies", "abstains")
@@ -202,12 +190,13 @@ def every_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT i AS input, 'LIST' AS cardinality, string_agg(r, ',' ORDER BY r) AS rules FROM (VALUES ('pieces', 'R1'), ('pieces', 'R2'), ('fillers', 'R2')) t(i, r) GROUP BY i
-    UNION ALL SELECT 'width', 'SCALAR', 'R1,R3'""")
+    WITH i AS (SELECT p_partkey, p_brand || ' ' || p_size AS input, CASE WHEN p_size % 2 = 0 THEN 'LIST' ELSE 'SCALAR' END AS cardinality FROM part UNION ALL SELECT p_partkey, p_name, 'SCALAR' FROM part)
+    SELECT input, cardinality, string_agg('R' || p_partkey, ',' ORDER BY 'R' || p_partkey) AS rules FROM i GROUP BY input, cardinality""")
 def required_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E7."""
-    rows = [("R1", {"pieces": "LIST", "width": "SCALAR"}), ("R2", {"pieces": "LIST", "fillers": "LIST"}), ("R3", {"width": "SCALAR"})]
-    return B.required_inputs(spark.createDataFrame(rows, "rule_id string, inputs map<string,string>"))
+    """Which rules take which input; each part is a rule of two inputs."""
+    kind = F.when(F.col("p_size") % 2 == 0, "LIST").otherwise("SCALAR")
+    inputs = F.create_map(F.concat_ws(" ", "p_brand", "p_size"), kind, F.col("p_name"), F.lit("SCALAR"))
+    return B.required_inputs(table(spark, sf_dir, "part").select(F.concat(F.lit("R"), F.col("p_partkey")).alias("rule_id"), inputs.alias("inputs")))
 
 
 @query("""

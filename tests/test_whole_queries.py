@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_part_has_its_applicability(spark):
-    got = {r.p_partkey: (r.applies, r.abstains) for r in plans.QUERIES["variant_applicability_all"](spark, SF).collect()}
+    got = {r.p_partkey: (r.applies, r.abstains) for r in plans.QUERIES["variant_applicability"](spark, SF).collect()}
     parts = spark.read.parquet(f"{SF}/part.parquet").collect()
     assert set(got) == {r.p_partkey for r in parts}
     unknown = [r for r in parts if r.p_partkey % 17 == 0]
@@ -23,7 +23,7 @@ def test_every_part_has_its_applicability(spark):
 def test_customers_and_suppliers_of_any_key_meet(spark, tmp_path):
     spark.range(0, 200).selectExpr("id * 50 AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.range(0, 9000).selectExpr("id AS c_custkey").union(spark.sql("SELECT 50L")).write.parquet(f"{tmp_path}/customer.parquet")
-    got = {r.left_id: (r.lane, r.n, r.state) for r in plans.QUERIES["identifier_match_all"](spark, str(tmp_path)).collect()}
+    got = {r.left_id: (r.lane, r.n, r.state) for r in plans.QUERIES["identifier_match"](spark, str(tmp_path)).collect()}
     want = {}
     for i in range(0, 10_000, 50):
         k, lane = (i + 5, "alias") if i % 3 == 0 else (i, "exact")
@@ -38,7 +38,7 @@ def test_whole_items_are_asked_and_covers_ranked(spark, tmp_path):
     docs = [(i, " ".join(draw.choice("abcdefgx") for _ in range(draw.randrange(3, 40))) + draw.choice([" and", ""])) for i in range(60)] + [(60, None)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.query_id, r.doc_id): r.cover for r in plans.QUERIES["lexical_documents_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.query_id, r.doc_id): r.cover for r in plans.QUERIES["lexical_documents"](spark, str(tmp_path)).collect()}
     want = {}
     for q, text in items:
         asked = set(re.findall(r"\w+", text.lower()))
