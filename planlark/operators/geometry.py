@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planlark.operators.relational import inside
+
 
 def distinct_segments(df: DataFrame) -> DataFrame:
     """Segments (page, x0, y0, x1, y1) whatever their direction. G1."""
@@ -62,14 +64,51 @@ def chain_state(total: Column, parts: Column, n_parts: Column) -> Column:
 
 def containing_span(members: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """The shortest span (s_id, s0, s1) that holds each member (m_id, m0, m1): the most specific one; ties are unresolved.
-    Both sides meet on the keys (a line), so ranges are compared inside lines only. G8, J15."""
-    met = members.join(spans, keys).filter((F.col("s0") <= F.col("m0")) & (F.col("m1") <= F.col("s1")))
+    Members meet only spans that are near, by an interval index. G8, J15."""
+    met = inside(members, spans, keys, ("m0", "m1"), ("s0", "s1"))
     w = Window.partitionBy(*keys, "m_id").orderBy(F.col("s1") - F.col("s0"), "s_id")
     seen = met.withColumns({"__n": F.row_number().over(w), "__w": F.lead(F.col("s1") - F.col("s0")).over(w)}).filter("__n = 1")
     tie = F.coalesce(F.col("__w") == F.col("s1") - F.col("s0"), F.lit(False))
     return seen.select(*keys, "m_id", F.when(~tie, F.col("s_id")).alias("s_id"), F.when(tie, "tie").otherwise("contained").alias("state"))
 
 
+def resolved_spans(lines: DataFrame, items: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """What each dimension line measures: (keys, line, state, item, place), a row for each item of the answer. G8.
+
+    lines: keys (a page and axis), line, a, b; items: keys, item, x0, x1 along the axis, y0, y1 across. ``single``: the one
+    item that begins and ends where the line does, or of several the one that lies inside all others; ``run``: items side
+    by side, in order, that begin and end with the line. Else one row without an item that says why: ``ambiguous`` (several
+    line up, none is inside all others), ``none`` (fewer than two items within), ``short`` (they do not reach both ends),
+    ``overlap`` or ``gap`` (between neighbours, beyond the tolerance).
+
+    Items meet lines by the interval index; a line's items are walked in order by one window, never gathered.
+    Cases: ends in either order; a line of no items is ``none``; null ends are ``none``; keys compare as equals do.
+    """
+    t = F.lit(tolerance)
+    ends = lines.select(*keys, "line", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    wide = ends.withColumns({"__a": F.col("a") - t, "__b": F.col("b") + t}).filter("a IS NOT NULL AND b IS NOT NULL")
+    met = inside(items.select(*keys, "item", "x0", "x1", "y0", "y1"), wide, keys, ("x0", "x1"), ("__a", "__b"))
+    aligned = (F.abs(F.col("x0") - F.col("a")) <= t) & (F.abs(F.col("x1") - F.col("b")) <= t)
+    met = met.withColumn("aligned", aligned)
+    line, order = Window.partitionBy(*keys, "line"), Window.partitionBy(*keys, "line").orderBy("x0", "x1", "item")
+    of = lambda f, c: f(F.when(F.col("aligned"), F.col(c))).over(line)
+    inmost = F.col("aligned") & (F.col("x0") == of(F.max, "x0")) & (F.col("y0") == of(F.max, "y0")) & (F.col("x1") == of(F.min, "x1")) & (F.col("y1") == of(F.min, "y1"))
+    step = F.col("x0") - F.lag("x1").over(order)
+    walked = met.withColumns({"inmost": inmost, "step": step, "place": F.row_number().over(order)})
+    facts = walked.groupBy(*keys, "line").agg(
+        F.count_if("aligned").alias("n_aligned"), F.count_if("inmost").alias("n_inmost"), F.count("*").alias("n"), F.max(F.col("step") < -t).alias("over"), F.max(F.col("step") > t).alias("gap"),
+        ((F.abs(F.min("x0") - F.min("a")) <= t) & (F.abs(F.max_by("x1", F.struct("x0", "x1", "item")) - F.min("b")) <= t)).alias("reach"),
+    )
+    one = F.when(F.col("n_aligned") == 1, "single").when(F.col("n_inmost") == 1, "single").when(F.col("n_aligned") > 1, "ambiguous")
+    run = F.when(F.col("n") < 2, "none").when(~F.col("reach"), "short").when(F.col("over"), "overlap").when(F.col("gap"), "gap").otherwise("run")
+    states = facts.select(*keys, "line", F.coalesce(one, run).alias("state"), (F.col("n_aligned") == 1).alias("__only"))
+    both = walked.join(states, [*keys, "line"])
+    chosen = both.filter(((F.col("state") == "single") & F.when(F.col("__only"), F.col("aligned")).otherwise(F.col("inmost"))) | (F.col("state") == "run"))
+    found = chosen.select(*keys, "line", "state", "item", F.when(F.col("state") == "run", F.col("place")).otherwise(1).alias("place"))
+    rest = lines.select(*keys, "line").join(states, [*keys, "line"], "left").withColumn("state", F.coalesce("state", F.lit("none"))).filter(~F.col("state").isin("single", "run"))
+    return found.unionByName(rest.select(*keys, "line", "state"), allowMissingColumns=True)
+
+
 def assembly(members: DataFrame, keys: list[str], span0: str, span1: str) -> DataFrame:
     """Whether the members (a, b, id) of a span cover it: in order, no overlap, no gap, both ends, no id twice. G9."""
     w = Window.partitionBy(*keys).orderBy("a", "b", "id")

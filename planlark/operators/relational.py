@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planlark.sources.work import written
+
 
 def latest(df: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     """The first row of each key in the given order (one row a key). W1, W3."""
@@ -121,18 +123,52 @@ def nearest_with_margin(pairs: DataFrame, left_id: str, right_id: str, distance:
     return seen.filter("__n = 1").drop("__n").withColumn("state", F.when(clear, "MATCHED").otherwise("AMBIGUOUS"))
 
 
-def box_overlaps(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
-    """Overlapping boxes (l_id, x0..y1) and (r_id, ...) by a grid: both sides meet in shared cells, once per pair. J17."""
+def level_of(extent: Column) -> Column:
+    """The least power of two that an extent fits in: 0 for up to 1, 1 for up to 2, 2 for up to 4 and so on."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent.cast("double"), F.lit(1.0)))).cast("int"))
+
+
+def levels_in(df: DataFrame, level: Column) -> list[int]:
+    """The levels that occur: a few numbers, whatever the rows."""
+    return sorted(r[0] for r in df.select(level).distinct().collect() if r[0] is not None)
+
+
+def inside(members: DataFrame, spans: DataFrame, keys: list[str], member: tuple[str, str], span: tuple[str, str]) -> DataFrame:
+    """Pairs of equal keys whose member lies in the span, ends included, by an interval index. J15.
+
+    A span enters the two cells at most that it touches at its own level (cells as wide as the level's power of two); a
+    member looks into one cell of each level that spans have, so what meets is near, and a pair meets once."""
+    (m0, m1), (s0, s1) = member, span
+    level = level_of(F.col(s1) - F.col(s0))
+    known = spans.filter(F.col(s0) <= F.col(s1)).withColumn("__level", level)
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("__level"))).cast("long")
+    homes = known.withColumn("__cell", F.explode(F.sequence(cell(F.col(s0)), cell(F.col(s1)))))
+    levels = levels_in(known, F.col("__level"))
+    looks = members.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("__cell", cell(F.col(m0)))
+    met = looks.join(homes, [*keys, "__level", "__cell"])
+    return met.filter((F.col(s0) <= F.col(m0)) & (F.col(m1) <= F.col(s1))).drop("__level", "__cell")
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        span = lambda a, b: F.sequence(F.floor(F.col(f"{p}{a}") / cell), F.floor(F.col(f"{p}{b}") / cell))
-        return df.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
-    met = cells(left, "l_").join(cells(right, "r_"), ["cx", "cy"])
+def box_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Overlapping boxes (l_id, x0..y1) and (r_id, ...), once per pair, by grids of levels. J17.
+
+    A box lives in the grid whose cells its longer side just fits in, so in four cells at most, and looks into at most
+    four cells of each coarser grid that the other side has. A pair meets in the coarser one's grid, in the cell of the
+    overlap's first corner: one huge box costs four rows, not its area."""
+    levels = {p: levels_in(df, level_of(F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")))) for p, df in (("l_", left), ("r_", right))}
+
+    def cells(df: DataFrame, p: str, others: list[int]) -> DataFrame:
+        own = level_of(F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")))
+        coarser = F.filter(F.array(*[F.lit(n) for n in others]).cast("array<int>"), lambda n: n > F.col(f"{p}own"))
+        each = df.withColumn(f"{p}own", own).withColumn("level", F.explode(F.array_union(F.array(f"{p}own"), coarser)))
+        at = lambda c: F.floor(F.col(f"{p}{c}") / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+        return each.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+
+    met = cells(left, "l_", levels["r_"]).join(cells(right, "r_", levels["l_"]), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("l_own", "r_own"))
     x, y = F.greatest("l_x0", "r_x0"), F.greatest("l_y0", "r_y0")
     over = (x < F.least("l_x1", "r_x1")) & (y < F.least("l_y1", "r_y1"))
-    home = (F.col("cx") == F.floor(x / cell)) & (F.col("cy") == F.floor(y / cell))
-    return met.filter(over & home).drop("cx", "cy")
+    home = lambda c, v: F.col(c) == F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    return met.filter(over & home("cx", x) & home("cy", y)).drop("level", "cx", "cy", "l_own", "r_own")
 
 
 def unique_pairs(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -172,3 +208,32 @@ def trend(earlier: Column, later: Column, least: int = 3, material: float = 0.1)
     total, moved = earlier + later, later - earlier
     small = (earlier < least) & (later < least)
     return F.when(small | (total == 0), "steady").when(moved <= -material * total, "improving").when(moved >= material * total, "worsening").otherwise("steady")
+
+
+def exact_medians(df: DataFrame, keys: list[str], value: str, buckets: int = 4096) -> DataFrame:
+    """(keys, median double) of an integer column, nulls left out, without bringing a group together. A15.
+
+    Two ranks a group (one, if its size is odd) are narrowed to a value: each round counts the rows of a group's range in
+    buckets, with partial aggregation, and goes on in the bucket that holds the rank. A bucket is a ``buckets``-th of the
+    range, so 64 bits take six rounds, and a group costs a round as many counts as there are buckets at most."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("__v"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2).cast("long"), F.floor((F.col("n") + 2) / 2).cast("long")))
+    todo = written(sizes.select(*keys, "lo", "hi", F.explode(ranks).alias("rank")).withColumn("goal", F.col("rank")), "ranks")
+    on = [f"__k{i}" for i in range(len(keys))]
+    while todo.filter("lo < hi").take(1):
+        step = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1) / buckets).cast("long"))
+        open_ = todo.filter("lo < hi").withColumn("step", step)
+        names = open_.select(*[F.col(k).alias(n) for k, n in zip(keys, on, strict=True)], "rank", "lo", "hi", "goal", "step")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, on, strict=True)], F.col("__v").between(F.col("lo"), F.col("hi")))
+        bucket = F.floor((F.col("__v").cast("decimal(20,0)") - F.col("lo")) / F.col("step")).cast("long")
+        counts = rows.join(names, same).groupBy(*on, "rank", "lo", "hi", "goal", "step", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*on, "rank").orderBy("bucket"))
+        found = counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("n") < F.col("goal")))
+        low = F.col("lo").cast("decimal(20,0)") + (F.col("bucket").cast("decimal(10,0)") * F.col("step").cast("decimal(20,0)")).cast("decimal(20,0)")
+        narrowed = found.select(*[F.col(n).alias(k) for k, n in zip(keys, on, strict=True)], low.cast("long").alias("__lo"), F.least(F.col("hi").cast("decimal(20,0)"), (low + F.col("step") - 1).cast("decimal(20,0)")).cast("long").alias("hi"), (F.col("goal") - F.col("upto") + F.col("n")).alias("__goal"), F.col("rank").alias("__rank"))
+        back = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        joined = todo.alias("a").filter("lo < hi").join(narrowed.alias("b"), reduce(lambda x, y: x & y, back, F.col("a.rank") == F.col("b.__rank")))
+        after = joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("b.__lo").alias("lo"), F.col("b.hi").alias("hi"), F.col("a.rank").alias("rank"), F.col("b.__goal").alias("goal"))
+        todo = written(todo.filter("lo >= hi").unionByName(after), "ranks")
+    return todo.groupBy(*keys).agg((F.sum(F.col("lo").cast("decimal(20,0)")) / F.count("*")).cast("double").alias("median"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlark.functions import scalars as S
@@ -60,6 +60,25 @@ def containment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.containing_span(m, w, ["line"])
 
 
+@query(f"""
+    WITH {SPANS}, i AS (SELECT line AS page, line * 100 + id * 10 + row_number() OVER (PARTITION BY line, id ORDER BY a, b) AS item, a * 10 + id % 2 AS x0, b * 10 - id % 3 AS x1, 0 AS y0, b - a + id AS y1 FROM (SELECT DISTINCT * FROM s)),
+    l AS (SELECT o_orderkey AS page, a * 10 + b AS line, a * 10 AS a, b * 10 AS b FROM orders CROSS JOIN (VALUES (0, 3), (1, 4), (0, 6), (3, 6), (2, 4), (4, 5)) v(a, b)),
+    m AS (SELECT l.*, i.item, i.x0, i.x1, i.y0, i.y1, abs(i.x0 - l.a) <= 1 AND abs(i.x1 - l.b) <= 1 AS al FROM l JOIN i ON i.page = l.page AND i.x0 >= l.a - 1 AND i.x1 <= l.b + 1),
+    n AS (SELECT m.*, al AND NOT EXISTS (SELECT 1 FROM m z WHERE z.page = m.page AND z.line = m.line AND z.al AND z.item <> m.item AND NOT (z.x0 <= m.x0 AND z.x1 >= m.x1 AND z.y0 <= m.y0 AND z.y1 >= m.y1)) AS inm,
+        x0 - lag(x1) OVER w AS step, row_number() OVER w AS place FROM m WINDOW w AS (PARTITION BY page, line ORDER BY x0, x1, item)),
+    f AS (SELECT page, line, count(*) FILTER (WHERE al) AS na, count(*) FILTER (WHERE inm) AS ni, count(*) AS n, max(step < -1) AS over, max(step > 1) AS gap, abs(min(x0) - min(a)) <= 1 AND abs(arg_max(x1, (x0, x1, item)) - min(b)) <= 1 AS reach FROM n GROUP BY 1, 2),
+    s2 AS (SELECT l.page, l.line, coalesce(CASE WHEN na = 1 OR ni = 1 THEN 'single' WHEN na > 1 THEN 'ambiguous' WHEN n < 2 THEN 'none' WHEN NOT reach THEN 'short' WHEN over THEN 'overlap' WHEN gap THEN 'gap' WHEN n >= 2 THEN 'run' END, 'none') AS state FROM l LEFT JOIN f ON f.page = l.page AND f.line = l.line)
+    SELECT s2.page, s2.line, s2.state, n.item, CASE s2.state WHEN 'run' THEN n.place WHEN 'single' THEN 1 END AS place FROM s2 LEFT JOIN n ON n.page = s2.page AND n.line = s2.line AND (s2.state = 'run' OR (s2.state = 'single' AND n.inm))""")
+def dimension_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six lines of each order against its items: one item, a run of items side by side, or why not."""
+    w = Window.partitionBy("line", "id").orderBy("a", "b")
+    i = spans(spark, sf_dir).distinct().withColumn("item", F.col("line") * 100 + F.col("id") * 10 + F.row_number().over(w))
+    items = i.select(F.col("line").alias("page"), "item", (F.col("a") * 10 + F.col("id") % 2).alias("x0"), (F.col("b") * 10 - F.col("id") % 3).alias("x1"), F.lit(0).alias("y0"), (F.col("b") - F.col("a") + F.col("id")).alias("y1"))
+    drawn = F.array(*[F.struct(F.lit(a * 10 + b).alias("line"), F.lit(a * 10).alias("a"), F.lit(b * 10).alias("b")) for a, b in ((0, 3), (1, 4), (0, 6), (3, 6), (2, 4), (4, 5))])
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.inline(drawn))
+    return G.resolved_spans(lines, items, ["page"], 1)
+
+
 @query(f"""
     WITH {SPANS}, k AS (SELECT *, a - lag(b) OVER (PARTITION BY line ORDER BY a, b, id) AS step FROM s),
     g AS (SELECT line, count(*) AS members, bool_or(coalesce(step > 0, FALSE)) AS gap, bool_or(coalesce(step < 0, FALSE)) AS over, min(a) = 0 AS l, max(b) = 6 AS r, count(*) = count(DISTINCT id) AS once FROM k GROUP BY line)
@@ -94,7 +113,7 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select("id", "x0", "y0", (F.col("x0") + F.col("p_size")).alias("x1"), (F.col("y0") + F.col("p_size")).alias("y1"))
     side = lambda k, n: p.filter(F.col("id") % 2 == k).select(*[F.col(c).alias(f"{n}_{c}") for c in p.columns])
     box = lambda n: F.struct(*[F.col(f"{n}_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    found = R.box_overlaps(side(0, "l"), side(1, "r"), 64).withColumn("i", S.iou_parts(box("l"), box("r")))
+    found = R.box_overlaps(side(0, "l"), side(1, "r")).withColumn("i", S.iou_parts(box("l"), box("r")))
     return found.select("l_id", "r_id", F.col("i.common").alias("common"), F.col("i.joined").alias("joined"), (F.col("i.common") * 100 >= F.col("i.joined") * 50).alias("good"))
 
 
