@@ -133,10 +133,14 @@ def parse_dual(c: Column) -> Column:
 
     def read(token: Column) -> Column:
         dual, before, within = dual_parts(token)
-        single, inch = form(token) == WHOLE, parse_imperial(within)
-        mm = R.rational(number(numbers(F.when(single, token).when(dual, before)), 1))
-        refusal = F.when(token.isNull() | (token == ""), "empty").when(~single & ~dual, "unsupported").when(dual, F.when(inch["refusal"].isNotNull(), "alternate"))
-        return F.struct(mm.alias("mm"), F.when(dual, inch["value"]).alias("inch"), refusal.alias("refusal"))
+        single = form(token) == WHOLE
+        facts = F.struct(token.alias("token"), dual.alias("dual"), single.alias("single"), F.when(single, token).when(dual, before).alias("mm"), parse_imperial(within).alias("inch"))
+        return R.let(facts, parsed)
+
+    def parsed(x: Column) -> Column:
+        mm = R.rational(number(numbers(x["mm"]), 1))
+        refusal = F.when(x["token"].isNull() | (x["token"] == ""), "empty").when(~x["single"] & ~x["dual"], "unsupported").when(x["dual"], F.when(x["inch"]["refusal"].isNotNull(), "alternate"))
+        return F.struct(mm.alias("mm"), F.when(x["dual"], x["inch"]["value"]).alias("inch"), refusal.alias("refusal"))
 
     return R.let(F.trim(c), read)
 
@@ -250,11 +254,16 @@ def canonical_notation(c: Column) -> Column:
         left = F.substring_index(text, "[", 1)
         worded = form(left) == "#M"
         unworded = F.trim(F.when(worded, F.concat(F.try_element_at(numbers(left), F.lit(1)), F.substring(text, F.length(left) + 1, F.length(text)))).otherwise(text))
-        is_dual, mm, inch = dual_parts(unworded)
-        is_dual = is_dual & parse_dual(unworded)["refusal"].isNull()
-        token = F.when(is_dual, F.concat(F.rtrim(inch, F.lit('"')), F.lit('"'))).otherwise(text)
-        token = F.regexp_replace(without_note(F.trim(token)), r"(?<![\w'])([0-9]+)-(?=[0-9]+/[0-9])", "$1 ")
-        return F.struct(F.trim(token).alias("token"), F.when(is_dual, mm).alias("mm"))
+        return R.let2(text, unworded, labelled)
+
+    def labelled(text: Column, unworded: Column) -> Column:
+        dual, mm, inch = dual_parts(unworded)
+        facts = F.struct(text.alias("text"), (dual & parse_dual(unworded)["refusal"].isNull()).alias("dual"), mm.alias("mm"), inch.alias("inch"))
+        return R.let(facts, lambda x: noted(F.when(x["dual"], F.concat(F.rtrim(x["inch"], F.lit('"')), F.lit('"'))).otherwise(x["text"]), F.when(x["dual"], x["mm"])))
+
+    def noted(token: Column, mm: Column) -> Column:
+        bare = R.let(F.trim(token), without_note)
+        return F.struct(F.trim(F.regexp_replace(bare, r"(?<![\w'])([0-9]+)-(?=[0-9]+/[0-9])", "$1 ")).alias("token"), mm.alias("mm"))
 
     return R.let(plain_marks(c), read)
 

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlark.operators.relational import inside
+from planlark.functions import scalars as S
+from planlark.operators.relational import box_overlaps, inside
 
 
 def distinct_segments(df: DataFrame) -> DataFrame:
@@ -109,6 +110,42 @@ def resolved_spans(lines: DataFrame, items: DataFrame, keys: list[str], toleranc
     return found.unionByName(rest.select(*keys, "line", "state"), allowMissingColumns=True)
 
 
+def text_lines(texts: DataFrame, lines: DataFrame, keys: list[str], limit: float, margin: float) -> DataFrame:
+    """(keys, text, line, state): the dimension line that each number annotates, or why none. G7.
+
+    texts: keys (a page), text, x, y (the centre of its box), along (h or v, the way it reads), lx, ly (where its leader
+    lands, null without one); lines: keys, line, x0, y0, x1, y1. States: ``associated``; ``out_of_range`` (no line within the
+    limit); ``no_axis`` (one in range runs equally both ways); ``other_way`` (none in range runs as the text does);
+    ``ambiguous`` (the next is not farther than the nearest by more than the margin). With a leader the way does not matter.
+
+    Texts and lines meet in grids of levels, as boxes: a line costs four rows at most, however long it is, and a text four
+    for each coarser grid. Each text's few candidates are ranked by one window.
+    Cases: ends in either order; a line without length has no axis; a text without a place is out of range; ties of two
+    lines are ambiguous.
+    """
+    at = {"px": F.coalesce("lx", "x").cast("double"), "py": F.coalesce("ly", "y").cast("double")}
+    t = texts.select(*keys, "text", "along", F.col("lx").isNotNull().alias("led"), *[v.alias(k) for k, v in at.items()])
+    box = t.filter("px IS NOT NULL AND py IS NOT NULL").select(*keys, "text", "along", "led", "px", "py", *[(F.col(c) + d * limit).alias(f"l_{n}") for n, c, d in (("x0", "px", -1), ("y0", "py", -1), ("x1", "px", 1), ("y1", "py", 1))])
+    d = {c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")}
+    low = [f(d[a], d[b]).alias(f"r_{n}") for n, f, a, b in (("x0", F.least, "x0", "x1"), ("y0", F.least, "y0", "y1"), ("x1", F.greatest, "x0", "x1"), ("y1", F.greatest, "y0", "y1"))]
+    seg = lines.select(*keys, "line", *[v.alias(k) for k, v in d.items()], *low)
+    met = box_overlaps(box, seg, tuple(keys), touching=True)
+    wide, high = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    runs = F.when(wide > high, "h").when(high > wide, "v")
+    near = met.withColumns({"d2": S.segment_distance2(F.col("px"), F.col("py"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")]), "runs": runs}).filter(F.col("d2") <= limit * limit)
+    fits = F.col("led") | F.coalesce(F.col("runs") == F.col("along"), F.lit(False))
+    one = Window.partitionBy(*keys, "text")
+    seen = near.withColumn("fits", fits).withColumns({"no_axis": F.max(F.col("runs").isNull()).over(one), "n": F.count_if("fits").over(one)})
+    order = one.orderBy(F.desc("fits"), "d2", "line")
+    first = seen.withColumns({"k": F.row_number().over(order), "next": F.lead(F.when(F.col("fits"), F.col("d2"))).over(order)}).filter("k = 1")
+    excess = F.col("next") - F.col("d2") - margin * margin
+    close = F.col("next").isNotNull() & ((excess <= 0) | (excess * excess <= 4 * margin * margin * F.col("d2")))
+    state = F.when(~F.col("led") & F.col("no_axis"), "no_axis").when(F.col("n") == 0, "other_way").when(close, "ambiguous").otherwise("associated")
+    found = first.select(*keys, "text", "line", state.alias("state"))
+    both = texts.select(*keys, "text").join(found, [*keys, "text"], "left")
+    return both.select(*keys, "text", F.when(F.col("state") == "associated", F.col("line")).alias("line"), F.coalesce("state", F.lit("out_of_range")).alias("state"))
+
+
 def assembly(members: DataFrame, keys: list[str], span0: str, span1: str) -> DataFrame:
     """Whether the members (a, b, id) of a span cover it: in order, no overlap, no gap, both ends, no id twice. G9."""
     w = Window.partitionBy(*keys).orderBy("a", "b", "id")

@@ -149,8 +149,9 @@ def inside(members: DataFrame, spans: DataFrame, keys: list[str], member: tuple[
     return met.filter((F.col(s0) <= F.col(m0)) & (F.col(m1) <= F.col(s1))).drop("__level", "__cell")
 
 
-def box_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Overlapping boxes (l_id, x0..y1) and (r_id, ...), once per pair, by grids of levels. J17.
+def box_overlaps(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), touching: bool = False) -> DataFrame:
+    """Overlapping boxes (l_id, x0..y1) and (r_id, ...), once per pair, by grids of levels, of equal ``on`` if given;
+    boxes that only touch count with ``touching``, also those without an area. J17.
 
     A box lives in the grid whose cells its longer side just fits in, so in four cells at most, and looks into at most
     four cells of each coarser grid that the other side has. A pair meets in the coarser one's grid, in the cell of the
@@ -164,9 +165,10 @@ def box_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
         at = lambda c: F.floor(F.col(f"{p}{c}") / F.pow(F.lit(2.0), F.col("level"))).cast("long")
         return each.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
 
-    met = cells(left, "l_", levels["r_"]).join(cells(right, "r_", levels["l_"]), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("l_own", "r_own"))
+    met = cells(left, "l_", levels["r_"]).join(cells(right, "r_", levels["l_"]), [*on, "level", "cx", "cy"]).filter(F.col("level") == F.greatest("l_own", "r_own"))
     x, y = F.greatest("l_x0", "r_x0"), F.greatest("l_y0", "r_y0")
-    over = (x < F.least("l_x1", "r_x1")) & (y < F.least("l_y1", "r_y1"))
+    to_x, to_y = F.least("l_x1", "r_x1"), F.least("l_y1", "r_y1")
+    over = (x <= to_x) & (y <= to_y) if touching else (x < to_x) & (y < to_y)
     home = lambda c, v: F.col(c) == F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
     return met.filter(over & home("cx", x) & home("cy", y)).drop("level", "cx", "cy", "l_own", "r_own")
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planlark.sources.work import written
+
 LANE = ["left_id", "right_id", "lane", "score", "rank"]
 
 
@@ -69,13 +71,43 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))))
 
 
+def trigram_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, l, r): pairs of trigram sets that may reach the threshold t, each once.
+
+    Sets are sorted by how rare their trigrams are in both sides; a pair that reaches t shares one among the first
+    n - ceil(t n) + 1 of each, so only these are joined and common trigrams never meet, and t n <= m <= n / t for its
+    sizes. Sets of equal trigrams are one row until the end of the join."""
+    sets = lambda df: df.select("id", F.array_sort(trigrams(F.col("text"))).alias("g")).filter(F.size("g") > 0)
+    l, r = written(sets(left), "trigrams"), written(sets(right), "trigrams")
+    counts = written(l.select(F.explode("g").alias("gram")).unionAll(r.select(F.explode("g").alias("gram"))).groupBy("gram").count(), "trigram_counts")
+
+    def first(df: DataFrame, p: str) -> DataFrame:
+        kinds = df.select("g").distinct()
+        ranked_ = kinds.select("g", F.explode("g").alias("gram")).join(counts, "gram").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("o"))
+        n = F.size("o")
+        some = F.slice("o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+        return ranked_.select(F.col("g").alias(f"{p}"), F.explode(F.transform(some, lambda x: x["gram"])).alias("gram"))
+
+    nl, nr = F.size("l"), F.size("r")
+    alike = first(l, "l").join(first(r, "r"), "gram").filter((nr >= threshold * nl - 1e-9) & (nl >= threshold * nr - 1e-9)).select("l", "r").distinct()
+    return alike.join(l.select(F.col("id").alias("left_id"), F.col("g").alias("l")), "l").join(r.select(F.col("id").alias("right_id"), F.col("g").alias("r")), "r")
+
+
 def trigram_lane(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, score) of pairs that share a trigram and reach the threshold: an inverted join on trigrams,
-    so unlike pairs never meet; the common count is a partial sum. R5."""
-    grams = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), trigrams(F.col("text")).alias("g")).select(f"{p}_id", F.size("g").alias(f"{p}_n"), F.explode("g").alias("g"))
-    met = grams(left, "left").join(grams(right, "right"), "g").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("common"))
-    score = F.col("common") / (F.col("left_n") + F.col("right_n") - F.col("common"))
-    return met.filter(score >= threshold).select("left_id", "right_id", F.round(score, 6).alias("score"))
+    """(left_id, right_id, score) of pairs whose trigram sets are alike by the threshold or more. R5."""
+    common = F.size(F.array_intersect("l", "r"))
+    score = common / (F.size("l") + F.size("r") - common)
+    return trigram_candidates(left, right, threshold).filter(score >= threshold).select("left_id", "right_id", F.round(score, 6).alias("score"))
+
+
+def best_identifiers(subjects: DataFrame, identifiers: DataFrame, threshold: float) -> DataFrame:
+    """(subject, item, identifier, score): of each item's identifiers (item, text) the most like the subject's text
+    (subject, text); of ties the smaller text. R5."""
+    texts = lambda df: df.select(F.col("text").alias("id"), "text").filter("text IS NOT NULL").distinct()
+    pairs = trigram_lane(texts(subjects), texts(identifiers), threshold)
+    met = subjects.select("subject", F.col("text").alias("left_id")).join(pairs, "left_id").join(identifiers.select("item", F.col("text").alias("right_id")), "right_id")
+    best = met.groupBy("subject", "item").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("right_id").alias("identifier"))).alias("b"))
+    return best.select("subject", "item", "b.identifier", (-F.col("b.s")).alias("score"))
 
 
 def words_of(text: Column) -> Column:

@@ -79,6 +79,29 @@ def dimension_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolved_spans(lines, items, ["page"], 1)
 
 
+@query("""
+    WITH t AS (SELECT l_orderkey AS page, l_orderkey * 8 + l_linenumber AS text, max(l_partkey) * 37 % 200 AS x, max(l_suppkey) * 53 % 200 AS y, CASE WHEN max(l_tax) < 0.04 THEN 'v' ELSE 'h' END AS along,
+            CASE WHEN max(l_discount) > 0.08 THEN max(l_partkey) * 11 % 200 END AS lx, CASE WHEN max(l_discount) > 0.08 THEN 40 END AS ly FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    l AS (SELECT o_orderkey AS page, k AS line, k * 40 AS x0, o_custkey * 7 % 200 AS y0, CASE k WHEN 3 THEN k * 40 WHEN 4 THEN k * 40 - 50 ELSE k * 40 + 90 - k * 10 END AS x1, o_custkey * 7 % 200 + CASE k WHEN 3 THEN 120 WHEN 4 THEN -50 ELSE k END AS y1 FROM orders CROSS JOIN range(5) r(k)),
+    f AS (SELECT t.*, coalesce(lx, x)::DOUBLE AS px, coalesce(ly, y)::DOUBLE AS py, line, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x1 - x0)::DOUBLE AS dx, (y1 - y0)::DOUBLE AS dy, CASE WHEN abs(x1 - x0) > abs(y1 - y0) THEN 'h' WHEN abs(y1 - y0) > abs(x1 - x0) THEN 'v' END AS runs FROM t JOIN l ON l.page = t.page),
+    g AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS u FROM f),
+    d AS (SELECT *, (px - (x0 + u * dx)) * (px - (x0 + u * dx)) + (py - (y0 + u * dy)) * (py - (y0 + u * dy)) AS d2 FROM g),
+    n AS (SELECT *, lx IS NOT NULL OR coalesce(runs = along, FALSE) AS fits FROM d WHERE d2 <= 2500),
+    o AS (SELECT *, bool_or(runs IS NULL) OVER w AS na, count(*) FILTER (WHERE fits) OVER w AS k, row_number() OVER v AS r, lead(CASE WHEN fits THEN d2 END) OVER v AS nx FROM n WINDOW w AS (PARTITION BY page, text), v AS (PARTITION BY page, text ORDER BY fits DESC, d2, line)),
+    z AS (SELECT page, text, line, CASE WHEN lx IS NULL AND na THEN 'no_axis' WHEN k = 0 THEN 'other_way' WHEN nx IS NOT NULL AND sqrt(nx) - sqrt(d2) <= 4 THEN 'ambiguous' ELSE 'associated' END AS state FROM o WHERE r = 1)
+    SELECT t.page, t.text, CASE WHEN z.state = 'associated' THEN z.line END AS line, coalesce(z.state, 'out_of_range') AS state FROM t LEFT JOIN z ON z.page = t.page AND z.text = t.text""")
+def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a page and its dimension lines: flat ones, an upright one and one that runs equally both ways."""
+    top, led = lambda c, k, m: F.max(c) * k % m, F.max("l_discount") > 0.08
+    texts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("text")).agg(
+        top("l_partkey", 37, 200).alias("x"), top("l_suppkey", 53, 200).alias("y"), F.when(F.max("l_tax") < 0.04, "v").otherwise("h").alias("along"), F.when(led, top("l_partkey", 11, 200)).alias("lx"), F.when(led, 40).alias("ly")
+    )
+    y = F.col("o_custkey") * 7 % 200
+    drawn = [(F.lit(k * 40), y, F.lit(k * 40 if k == 3 else k * 40 - 50 if k == 4 else k * 40 + 90 - k * 10), y + {3: 120, 4: -50}.get(k, k)) for k in range(5)]
+    every = F.array(*[F.struct(F.lit(k).alias("line"), *[c.alias(n) for c, n in zip(cs, ("x0", "y0", "x1", "y1"), strict=True)]) for k, cs in enumerate(drawn)])
+    return G.text_lines(texts, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.inline(every)), ["page"], 50.0, 4.0)
+
+
 @query(f"""
     WITH {SPANS}, k AS (SELECT *, a - lag(b) OVER (PARTITION BY line ORDER BY a, b, id) AS step FROM s),
     g AS (SELECT line, count(*) AS members, bool_or(coalesce(step > 0, FALSE)) AS gap, bool_or(coalesce(step < 0, FALSE)) AS over, min(a) = 0 AS l, max(b) = 6 AS r, count(*) = count(DISTINCT id) AS once FROM k GROUP BY line)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlark.functions import scalars as S
+from planlark.functions import units as U
 from planlark.operators import evidence as E
 from planlark.operators import geometry as G
 from planlark.operators import metrics as M
@@ -154,3 +155,41 @@ def part_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", S.segment_distance2(d(size % 13), d(F.col("p_partkey") % 17), zero, zero, zero, F.lit(10.0)).alias("squared"), S.delay_seconds(size % 9 + 1).alias("wait"), minutes["low"].alias("low"), minutes["high"].alias("high"),
         S.idempotency_key(F.col("p_partkey"), F.when(size % 3 != 0, size)).alias("key"), S.json_contains(F.to_json(F.array("p_type", "p_brand")), "SMALL").alias("small"),
     )
+
+
+LABELS = ("914 [36]", '914mm [36"]', "920 [36]", '36"', "914 mm", "950 [36]", "914", "914 [36]", "915 [36]", '914 [36 1/2]')
+
+
+@query("""
+    WITH k(k, system, mm, inch, agree, unit) AS (VALUES (0, 'dual', 914, 36.0, TRUE, 'in'), (1, 'dual', 914, 36.0, TRUE, 'in'), (2, 'dual', 920, 36.0, TRUE, 'in'), (3, 'in', NULL, 36.0, FALSE, 'in'), (4, 'mm', NULL, 914.0, FALSE, 'mm'),
+        (5, 'dual', 950, 36.0, FALSE, 'in'), (7, 'dual', 914, 36.0, TRUE, 'in'), (8, 'dual', 915, 36.0, TRUE, 'in'), (9, 'dual', 914, 36.5, FALSE, 'in')),
+    c AS (SELECT l_orderkey AS label, l_linenumber % 3 AS reader, (l_orderkey + CASE WHEN l_partkey % 5 = 0 THEN l_suppkey ELSE 0 END) % 10 AS k FROM lineitem),
+    v AS (SELECT c.label, c.reader, k.* FROM c JOIN k ON k.k = c.k),
+    g AS (SELECT label, count(*) AS n, count(DISTINCT reader) AS readers, count(DISTINCT reader // 2) AS vendors, count(DISTINCT system) AS systems, bool_or(system = 'mm') AS mm, count(DISTINCT (inch, unit)) AS readings, count(DISTINCT inch) AS vals,
+        bool_or(system = 'dual') AS dual, bool_and(agree) AS agree, count(DISTINCT mm) AS halves FROM v GROUP BY label)
+    SELECT l.label, coalesce(readers, 0) AS readers, coalesce(vals, 0) AS values, CASE WHEN n IS NULL OR n < 2 OR readers < 2 OR (systems > 1 AND mm) THEN 'RAW_CANDIDATE' WHEN readings > 1 THEN 'CONFLICTING' WHEN dual AND (NOT agree OR halves > 1) THEN 'RAW_CANDIDATE'
+        WHEN vendors < 2 THEN 'RAW_CANDIDATE' ELSE 'CORROBORATED' END AS status FROM (SELECT DISTINCT label FROM c) l LEFT JOIN g ON g.label = l.label""")
+def dual_label_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers of one label, written in millimetres and inches, in one of both, or without a value."""
+    k = ((F.col("l_orderkey") + F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey")).otherwise(0)) % 10).cast("int")
+    raw = F.array(*map(F.lit, LABELS))[k]
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("label"), (F.col("l_linenumber") % 3).cast("string").alias("extractor"), raw.alias("raw"))
+    rows = rows.withColumn("token", U.canonical_notation(F.col("raw"))["token"]).withColumn("inches", U.normalise_to_inches(F.col("token"))["value"])
+    is_mm = F.col("raw") == "914 mm"
+    value = F.when(is_mm, F.lit(914).cast("decimal(38,19)")).otherwise((F.col("inches.num").cast("decimal(19,0)") / F.col("inches.den").cast("decimal(19,0)")).cast("decimal(38,19)"))
+    readings = rows.select(
+        "label", "extractor", F.when(F.col("extractor") == "2", "vendor:b").otherwise("vendor:a").alias("key"), value.alias("value"), F.when(is_mm, "mm").otherwise("in").alias("unit"), F.lit("width").alias("semantic"), F.lit(False).alias("stacked"),
+        E.authored_units(F.col("token"), F.col("raw"), F.lit("in")).alias("system"), E.dual_halves(F.col("token"), F.col("raw"), F.col("inches")).alias("dual"),
+    )
+    return E.corroborate(readings, "label")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'NOT_QUALIFIED' WHEN NOT (l_tax > 0.05 OR (l_linestatus = 'F' AND l_suppkey % 2 = 0)) THEN 'NOT_QUALIFIED' WHEN l_partkey % 11 = 0 THEN 'ADVISORY' END AS refusal FROM lineitem""")
+def drawn_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The architect's printed text with its drawn length passes without a second reader, a vendor's does not."""
+    status = F.when(F.col("l_returnflag") == "R", E.CONFLICTING).otherwise(E.CORROBORATED)
+    authority = F.when(F.col("l_partkey") % 11 == 0, "ADVISORY").otherwise("AUTHORITATIVE")
+    role = F.when(F.col("l_suppkey") % 2 == 0, "ARCH").otherwise("SHOP")
+    refusal = E.gate(status, F.col("l_tax") > 0.05, F.lit(False), authority, F.col("l_quantity"), F.lit("in"), F.col("l_linestatus") == "F", role)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", refusal.alias("refusal"))
