@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planlark.plans.registry import query
 from planlark.plans.reports import cents
 from planlark.sources.io import table
+from planlark.streaming import limiter
 from planlark.streaming import streams as T
 
 
@@ -73,3 +74,33 @@ def stream_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = T.windowed_usage(e, "ts", "1 day", ["event_type"], "1 hour", F.count("*").alias("n"))
     T.drain(lambda: g.writeStream.outputMode("complete").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start())
     return spark.read.parquet(out).select(F.unix_seconds("window.start").alias("day_start"), "event_type", "n")
+
+
+LIMITS = limiter.Limits(at_once=16, requests=8, tokens=60_000, window_us=6 * 3_600_000_000, grow_after=5)
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT event_type AS model, event_id AS id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS tokens, value > 80 AS busy, user_id % 4 <> 0 AS answered, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT *, count(*) OVER r - count(*) OVER p AS requests, CAST(sum(tokens) OVER r - sum(tokens) OVER p AS BIGINT) AS used, min(t) OVER r AS oldest FROM c
+        WINDOW r AS (PARTITION BY model ORDER BY t RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW), p AS (PARTITION BY model, t ORDER BY id DESC)),
+    f AS (SELECT model, CAST(0 AS BIGINT) AS k, 16 AS lim, 0 AS good FROM c GROUP BY model
+        UNION ALL SELECT f.model, c.k, CASE WHEN c.busy THEN greatest(1, f.lim // 2) WHEN c.answered AND f.good >= 4 AND f.lim < 16 THEN f.lim + 1 ELSE f.lim END,
+            CASE WHEN c.busy THEN 0 WHEN NOT c.answered THEN f.good WHEN f.good >= 4 AND f.lim < 16 THEN 0 ELSE f.good + 1 END FROM f JOIN c ON c.model = f.model AND c.k = f.k + 1)
+    SELECT w.model, w.id, w.t AS at, w.requests, w.used AS tokens, w.requests >= 8 OR w.used >= 60000 AS full, CASE WHEN w.requests > 0 AND (w.requests >= 8 OR w.used >= 60000) THEN greatest(10000, 21600000000 - (w.t - w.oldest)) ELSE 0 END AS wait_us, CAST(f.lim AS INTEGER) AS limit
+    FROM w JOIN f ON f.model = w.model AND f.k = w.k""")
+def stream_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call's window and the adaptive limit after it, by a stream whose calls come in two files, out of order; a
+    last mark for each model moves the watermark past all calls."""
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("event_type").alias("model"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), cents("value").alias("tokens"), (F.col("value") > 80).alias("busy"), (F.col("user_id") % 4 != 0).alias("answered"))
+    folder, out, marks = scratch(spark, "calls"), scratch(spark, "limits"), scratch(spark, "marks")
+    first = F.xxhash64("id") % 2 == 0
+    calls.filter(first).coalesce(1).write.parquet(folder)
+    calls.filter(~first).coalesce(1).write.mode("append").parquet(folder)
+    ends = calls.groupBy("model").agg(F.max("ts").alias("ts")).select("model", F.lit(-1).cast("long").alias("id"), (F.col("ts") + F.expr("INTERVAL 80 DAYS")).alias("ts"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("busy"), F.lit(False).alias("answered"))
+    ends.coalesce(1).write.mode("append").parquet(folder)
+    stream = T.event_stream(spark, folder, calls.schema)
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    with limiter.rocksdb(spark):
+        T.drain(lambda: limiter.limited(stream, "model", LIMITS, "40 days").writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start())
+    return spark.read.parquet(out).filter("id >= 0").drop("batch")
