@@ -123,7 +123,7 @@ def test_geometry(spark):
 
 def test_relational(spark):
     boxes = lambda p, rows: spark.createDataFrame(rows, f"{p}_id int, {p}_x0 long, {p}_y0 long, {p}_x1 long, {p}_y1 long")
-    met = R.box_overlaps(boxes("l", [(1, 0, 0, 300)]), boxes("r", [(2, 100, 100, 400, 400), (3, 300, 0, 310, 10)]), 64)
+    met = R.box_overlaps(boxes("l", [(1, 0, 0, 300, 300)]), boxes("r", [(2, 100, 100, 400, 400), (3, 300, 0, 310, 10)]))
     assert [(r.l_id, r.r_id) for r in met.collect()] == [(1, 2)]
     cards = spark.createDataFrame([("a", 1.0), ("b", None)], "metric string, value double")
     lost = M.metric_delta(cards, cards.withColumn("value", F.lit(None).cast("double"))).collect()
