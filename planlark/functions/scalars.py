@@ -150,3 +150,13 @@ def text_at(element: Column, path: str) -> Column:
     """The text at a path of a VARIANT; null where there is none or it is no text."""
     found = F.try_variant_get(element, path, "variant")
     return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(element, path, "string"))
+
+
+#: Fixed value: the mark of an answer that was used again.
+REUSED = "reused_from"
+
+
+def made_a_call(packet: Column) -> Column:
+    """Whether a stored invocation called a model: one whose packet names no answer that it reuses. All that counts calls,
+    tokens or costs filters by this. F12."""
+    return F.get_json_object(packet, f"$.{REUSED}").isNull()

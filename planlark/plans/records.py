@@ -193,3 +193,19 @@ def drawn_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("l_suppkey") % 2 == 0, "ARCH").otherwise("SHOP")
     refusal = E.gate(status, F.col("l_tax") > 0.05, F.lit(False), authority, F.col("l_quantity"), F.lit("in"), F.col("l_linestatus") == "F", role)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", refusal.alias("refusal"))
+
+
+NOTES = ('24"', '36" VIF', '12 including  field cut', "Tall pantry", "under-counter fridge", "microwave oven", "double oven")
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 AS k FROM lineitem),
+    t(k, note) AS (VALUES (0, '24"'), (1, '36" VIF'), (2, '12 including  field cut'), (3, 'Tall pantry'), (4, 'under-counter fridge'), (5, 'microwave oven'), (6, 'double oven'))
+    SELECT n.l_orderkey, CASE WHEN bool_or(n.k = 2) THEN 'field-cut-included' WHEN bool_or(n.k = 1) THEN 'vif' END AS hold, arg_min(t.note, (n.l_linenumber, n.k)) FILTER (WHERE n.k IN (3, 6)) AS broken_by
+    FROM n JOIN t ON t.k = n.k GROUP BY n.l_orderkey""")
+def row_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's notes that hold its whole row for a person."""
+    k = F.col("l_partkey") % 7
+    note = F.struct("l_linenumber", k.alias("k"), F.array(*map(F.lit, NOTES))[k.cast("int")].alias("note"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]).alias("notes"))
+    return rows.select("l_orderkey", U.row_hold(F.col("notes")).alias("hold"), U.counter_break(F.col("notes")).alias("broken_by"))

@@ -310,6 +310,16 @@ def json_path_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k >= 50")
 
 
+@query("""
+    SELECT user_id, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE CAST(props->>'$.k' AS BIGINT) % 5 <> 0 GROUP BY user_id""")
+def usage_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """usage counts invocations that called a model, not answers that were used again."""
+    k = S.json_numbers(F.col("props"), "$.k")
+    packet = F.to_json(F.struct(k.alias("question"), F.when(k % 5 == 0, F.concat(F.lit("answer "), F.col("event_id"))).alias(S.REUSED)))
+    calls = table(spark, sf_dir, "events").withColumn("packet", packet).filter(S.made_a_call(F.col("packet")))
+    return calls.groupBy("user_id").agg(F.count("*").alias("calls"), F.sum(cents("value")).alias("cents"))
+
+
 @query("""
     WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, CAST(props->>'$.k' AS BIGINT) AS k, ts FROM events)
     SELECT user_id, CAST(day AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) - 1 AS place,

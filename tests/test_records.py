@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from planlark.functions import scalars as S
+from planlark.functions import units as U
 from planlark.operators import geometry as G
 from planlark.streaming import streams as T
 
@@ -32,3 +33,14 @@ def test_json_elements(spark):
     found = S.json_elements(F.col("j"), lambda e: S.text_at(e, "$.type") == "a")
     got = {r.id: r.f for r in df.select("id", F.transform(found, lambda e: F.to_json(e)).alias("f")).collect()}
     assert got == {1: ['{"n":1,"type":"a"}', '{"n":"x","type":"a"}'], 2: ['{"type":"a"}'], 3: [], 4: [], 5: [], 6: [], 7: []}
+
+
+def test_rows_that_go_to_a_person(spark):
+    rows = [(1, ['24"', None]), (2, ["vif", "INCLUDING\tFIELD CUT"]), (3, ["VIF-24"]), (4, ["VIFX", "MIXED REFS"]), (5, []), (6, None), (7, ["UC oven", "MW  oven", "w/d", "tall"])]
+    got = spark.createDataFrame(rows, "id int, t array<string>").select("id", U.row_hold(F.col("t")).alias("h"), U.counter_break(F.col("t")).alias("b")).collect()
+    assert {r.id: (r.h, r.b) for r in got} == {1: (None, None), 2: ("field-cut-included", None), 3: ("vif", None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, "w/d")}
+
+
+def test_reused_answers_made_no_call(spark):
+    rows = [('{"reused_from":"x"}',), ('{"reused_from":null}',), ("{}",), (None,), ('{"a":{"reused_from":"x"}}',)]
+    assert [r.c for r in spark.createDataFrame(rows, "p string").select(S.made_a_call(F.col("p")).alias("c")).collect()] == [False, True, True, True, True]
