@@ -93,6 +93,14 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__r = 1").drop("__r", "__v")
 
 
+def by_either_path(rows: DataFrame, own: str, via: DataFrame, via_key: str, via_own: str, owners: DataFrame, owner_key: str) -> DataFrame:
+    """Rows with their owner: by their own key, or where that is null by the key of the row that they point to. Only rows
+    without a key of their own meet ``via``, whose keys are unique. J3."""
+    lost = rows.filter(F.col(own).isNull()).join(via.select(via_key, F.col(via_own).alias("__owner")), via_key)
+    both = rows.filter(F.col(own).isNotNull()).withColumn("__owner", F.col(own)).unionByName(lost)
+    return both.join(owners, F.col("__owner") == F.col(owner_key)).drop("__owner")
+
+
 def exact_then_alias(items: DataFrame, others: DataFrame, on: str, alias_on: str, item_id: str) -> DataFrame:
     """Exact matches; alias matches only for items without one. J11."""
     exact = items.join(others, items[on] == others[f"other_{on}"]).withColumn("lane", F.lit("exact"))

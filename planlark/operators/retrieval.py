@@ -198,14 +198,16 @@ def approvals(events: DataFrame, match: str) -> DataFrame:
 
 def phrases(runs: DataFrame, limit: float) -> DataFrame:
     """Runs (page, line, x0, x1, height, text, markup, attached, id) into phrases: same line, and a gap of at most
-    limit heights, which must be above 0; markup stands alone. R10."""
-    w = Window.partitionBy("page", "line", "markup").orderBy("x0", "id")
+    limit heights, which must be above 0; markup stands alone. With a column ``run`` (an extraction of a page) only runs of
+    one extraction join, since two readings of one line are not one phrase. R10."""
+    line = [c for c in ("page", "run", "line") if c in runs.columns]
+    w = Window.partitionBy(*line, "markup").orderBy("x0", "id")
     gap = F.col("x0") - F.lag("x1").over(w)
     starts = F.col("markup") | F.lag("x1").over(w).isNull() | (F.lag("height").over(w) <= 0) | (gap < 0) | (gap > F.lit(limit) * F.lag("height").over(w))
     marked = runs.withColumn("__s", starts.cast("int")).withColumn("phrase", F.sum("__s").over(w))
     tag = F.when(F.col("markup"), "MARKUP").when(F.bool_or("attached"), "DIMENSION").otherwise("NOTE")
     ordered = F.array_sort(F.collect_list(F.struct("x0", "id", "text")))
-    return marked.groupBy("page", "line", "markup", "phrase").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"), F.count("*").alias("runs"), tag.alias("tag"))
+    return marked.groupBy(*line, "markup", "phrase").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"), F.count("*").alias("runs"), tag.alias("tag"))
 
 
 def build_digest(rows: DataFrame, keys: list[str], *parts: str) -> DataFrame:

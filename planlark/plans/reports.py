@@ -310,6 +310,18 @@ def json_path_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k >= 50")
 
 
+@query("""
+    WITH e AS (SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN user_id END AS direct, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
+    SELECT e.event_id, c.c_custkey, c.c_mktsegment, e.direct IS NULL AS by_order FROM e LEFT JOIN orders o ON o.o_orderkey = e.k JOIN customer c ON c.c_custkey = coalesce(e.direct, o.o_custkey)""")
+def owners_by_either_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's owner is named by itself, or by the order that it speaks of."""
+    direct = F.when(F.col("event_type").isin("click", "purchase"), F.col("user_id"))
+    e = table(spark, sf_dir, "events").select("event_id", direct.alias("direct"), S.json_numbers(F.col("props"), "$.k").alias("o_orderkey"))
+    return R.by_either_path(e, "direct", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(
+        "event_id", "c_custkey", "c_mktsegment", F.col("direct").isNull().alias("by_order")
+    )
+
+
 @query("""
     SELECT user_id, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE CAST(props->>'$.k' AS BIGINT) % 5 <> 0 GROUP BY user_id""")
 def usage_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

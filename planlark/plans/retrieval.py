@@ -122,16 +122,16 @@ def phrase_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT l_orderkey AS page, l_linenumber % 2 AS line, l_partkey AS x0, l_partkey + 40 AS x1, l_linenumber AS id, l_returnflag = 'R' AS markup, l_tax > 0.06 AS attached FROM lineitem),
-    g AS (SELECT *, CASE WHEN markup OR lag(x1) OVER w IS NULL OR x0 - lag(x1) OVER w < 0 OR x0 - lag(x1) OVER w > 500 THEN 1 ELSE 0 END AS s FROM r WINDOW w AS (PARTITION BY page, line, markup ORDER BY x0, id)),
-    i AS (SELECT *, sum(s) OVER (PARTITION BY page, line, markup ORDER BY x0, id) AS phrase FROM g)
-    SELECT page, line, markup, CAST(phrase AS BIGINT) AS phrase, string_agg(id::VARCHAR, ' ' ORDER BY x0, id) AS text, count(*) AS runs, CASE WHEN markup THEN 'MARKUP' WHEN bool_or(attached) THEN 'DIMENSION' ELSE 'NOTE' END AS tag
-    FROM i GROUP BY page, line, markup, phrase""")
+    WITH r AS (SELECT l_orderkey AS page, l_suppkey % 2 AS run, l_linenumber % 2 AS line, l_partkey AS x0, l_partkey + 40 AS x1, l_linenumber AS id, l_returnflag = 'R' AS markup, l_tax > 0.06 AS attached FROM lineitem),
+    g AS (SELECT *, CASE WHEN markup OR lag(x1) OVER w IS NULL OR x0 - lag(x1) OVER w < 0 OR x0 - lag(x1) OVER w > 500 THEN 1 ELSE 0 END AS s FROM r WINDOW w AS (PARTITION BY page, run, line, markup ORDER BY x0, id)),
+    i AS (SELECT *, sum(s) OVER (PARTITION BY page, run, line, markup ORDER BY x0, id) AS phrase FROM g)
+    SELECT page, run, line, markup, CAST(phrase AS BIGINT) AS phrase, string_agg(id::VARCHAR, ' ' ORDER BY x0, id) AS text, count(*) AS runs, CASE WHEN markup THEN 'MARKUP' WHEN bool_or(attached) THEN 'DIMENSION' ELSE 'NOTE' END AS tag
+    FROM i GROUP BY page, run, line, markup, phrase""")
 def text_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text runs of a line whose gaps are small enough; markup stands alone."""
+    """Text runs of a line and one extraction whose gaps are small enough; markup stands alone."""
     l = table(spark, sf_dir, "lineitem")
     runs = l.select(
-        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 2).alias("line"), F.col("l_partkey").alias("x0"), (F.col("l_partkey") + 40).alias("x1"), F.lit(10).alias("height"),
+        F.col("l_orderkey").alias("page"), (F.col("l_suppkey") % 2).alias("run"), (F.col("l_linenumber") % 2).alias("line"), F.col("l_partkey").alias("x0"), (F.col("l_partkey") + 40).alias("x1"), F.lit(10).alias("height"),
         F.col("l_linenumber").cast("string").alias("text"), (F.col("l_returnflag") == "R").alias("markup"), (F.col("l_tax") > 0.06).alias("attached"), F.col("l_linenumber").alias("id"),
     )
     return L.phrases(runs, 50.0)
