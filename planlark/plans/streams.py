@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlark.plans.registry import query
 from planlark.plans.reports import cents
 from planlark.sources.io import table
-from planlark.streaming import limiter
+from planlark.streaming import leases, limiter
 from planlark.streaming import streams as T
 
 
@@ -104,3 +104,44 @@ def stream_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     with limiter.rocksdb(spark):
         T.drain(lambda: limiter.limited(stream, "model", LIMITS, "40 days").writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start())
     return spark.read.parquet(out).filter("id >= 0").drop("batch")
+
+
+TERMS = leases.Terms(batch=4, lease_us=36 * 3_600_000_000, most_refusals=2)
+
+
+@query("""
+    WITH RECURSIVE k AS (SELECT user_id, event_id AS id, ts, epoch_us(ts) AS t, CASE event_type WHEN 'signup' THEN 'put' WHEN 'click' THEN 'done' WHEN 'error' THEN 'refused' ELSE 'poll' END AS kind FROM events),
+    p AS (SELECT *, CASE WHEN kind = 'put' THEN id ELSE last_value(CASE WHEN kind = 'put' THEN id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, id) END AS entry FROM k),
+    c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM p WHERE kind = 'poll' OR entry IS NOT NULL),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(e BIGINT, a INTEGER, r INTEGER, u BIGINT)[]) AS q, CAST([] AS STRUCT(what VARCHAR, e BIGINT, a INTEGER)[]) AS o FROM c GROUP BY user_id
+        UNION ALL SELECT user_id, n,
+            CASE WHEN kind = 'put' THEN CASE WHEN has THEN q ELSE list_append(q, {'e': entry, 'a': 0, 'r': 0, 'u': t}) END
+                WHEN kind = 'poll' THEN list_transform(q, lambda x: CASE WHEN list_contains(free, x.e) THEN {'e': x.e, 'a': x.a + 1, 'r': x.r, 'u': t + 129600000000} ELSE x END)
+                WHEN len(hit) = 0 THEN q WHEN kind = 'done' OR hit[1].r >= 1 THEN list_filter(q, lambda x: x.e <> entry)
+                ELSE list_transform(q, lambda x: CASE WHEN x.e = entry THEN {'e': x.e, 'a': x.a, 'r': x.r + 1, 'u': t} ELSE x END) END,
+            CASE WHEN kind = 'put' THEN [] WHEN kind = 'poll' THEN list_transform(list_filter(q, lambda x: list_contains(free, x.e)), lambda x: {'what': 'claimed', 'e': x.e, 'a': x.a + 1})
+                WHEN len(hit) = 0 THEN [{'what': 'late', 'e': entry, 'a': 0}]
+                ELSE [{'what': CASE WHEN kind = 'done' THEN 'done' WHEN hit[1].r >= 1 THEN 'abandoned' ELSE 'refused' END, 'e': entry, 'a': hit[1].a}] END
+        FROM (SELECT f.user_id, c.n, c.t, c.kind, c.entry, f.q, list_transform(list_filter(f.q, lambda x: x.u <= c.t)[1:4], lambda x: x.e) AS free, len(list_filter(f.q, lambda x: x.e = c.entry)) > 0 AS has,
+            list_filter(f.q, lambda x: x.e = c.entry AND x.a > 0 AND (c.kind = 'done' OR x.u > c.t)) AS hit FROM f JOIN c ON c.user_id = f.user_id AND c.n = f.n + 1)),
+    rows AS (SELECT user_id, n, unnest(o) AS x FROM f)
+    SELECT r.user_id, c.id, c.t AS at, r.x.what AS what, r.x.e AS entry, CASE WHEN r.x.what = 'late' THEN NULL ELSE r.x.a END AS attempt FROM rows r JOIN c ON c.user_id = r.user_id AND c.n = r.n""")
+def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's entries (signups) claimed by polls (views and purchases), done (clicks) or refused (errors), by a stream whose
+    events come in two files, out of order; a mark of a user that no one has moves the watermark past all events."""
+    kind = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "click", "done").when(F.col("event_type") == "error", "refused").otherwise("poll")
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    before = Window.partitionBy("user_id").orderBy("ts", "id")
+    put = F.last(F.when(F.col("kind") == "put", F.col("id")), ignorenulls=True).over(before)
+    asked = e.withColumn("entry", F.when(F.col("kind") != "poll", put))
+    folder, out, marks = scratch(spark, "queue"), scratch(spark, "leases"), scratch(spark, "marks")
+    first = F.xxhash64("id") % 2 == 0
+    asked.filter(first).coalesce(1).write.parquet(folder)
+    asked.filter(~first).coalesce(1).write.mode("append").parquet(folder)
+    end = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("id"), (F.col("ts") + F.expr("INTERVAL 80 DAYS")).alias("ts"), F.lit("poll").alias("kind"), F.lit(None).cast("long").alias("entry"))
+    end.coalesce(1).write.mode("append").parquet(folder)
+    stream = T.event_stream(spark, folder, asked.schema)
+    put_batch = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    with limiter.rocksdb(spark):
+        T.drain(lambda: leases.leased(stream, "user_id", TERMS, "40 days").writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put_batch).start())
+    return spark.read.parquet(out).drop("batch").withColumn("attempt", F.when(F.col("what") != "late", F.col("attempt")))
