@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planlark.functions import labels as L
 from planlark.functions import rational as Q
 from planlark.functions import scalars as S
 from planlark.functions import units as U
@@ -105,3 +106,25 @@ def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(k % 2 == 0, "us.anthropic.x-v1:0").otherwise("local-model")
     refs = F.array_join(S.references(note), ",")
     return table(spark, sf_dir, "part").select("p_partkey", refs.alias("refs"), S.room_key(room, {"washroom": "bath"}).alias("room"), S.infer_purpose(prompt).alias("purpose"), S.infer_route(model, prompt).alias("route"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_partkey % 13 AS k, CAST(p_size AS BIGINT) AS a, p_partkey % 8 * 2 + 1 AS c, p_partkey % 12 AS b, p_partkey % 4 AS n, CAST(floor(p_size * 25.4 + 0.5) AS BIGINT) + p_partkey % 5 AS mm FROM part),
+    v AS (SELECT *, CASE WHEN k = 0 THEN 16 * a + c WHEN k IN (1, 2) THEN a + c WHEN k = 4 AND n >= 2 THEN a WHEN k = 5 AND abs(mm * 5 - 127 * a) <= 15 THEN a WHEN k = 6 AND abs(mm * 5 - 127 * a) * 2 <= 5 THEN a WHEN k = 8 THEN 24 * a + 2 * b + 1 END AS num,
+        CASE k WHEN 0 THEN 16 WHEN 8 THEN 2 ELSE 1 END AS den, CASE k WHEN 0 THEN 16 * a + c WHEN 5 THEN a WHEN 6 THEN mm WHEN 8 THEN 24 * a + 2 * b + 1 WHEN 10 THEN a WHEN 11 THEN 10 * a + c END AS said, CASE k WHEN 0 THEN 16 WHEN 8 THEN 2 WHEN 11 THEN 10 ELSE 1 END AS over FROM p)
+    SELECT p_partkey, CASE WHEN num IS NOT NULL THEN CASE WHEN k IN (1, 2) THEN 'sum' WHEN k = 4 THEN 'equal-shares' ELSE 'plain' END END AS how, CAST(num // gcd(num, den) AS BIGINT) AS num, CASE WHEN num IS NOT NULL THEN CAST(den // gcd(num, den) AS BIGINT) END AS den,
+        CASE WHEN k = 4 AND n >= 2 THEN CAST(n AS INTEGER) END AS shares, CASE WHEN k IN (5, 6) AND num IS NULL THEN 'mm_and_inches_disagree' END AS refusal, CAST(said // gcd(said, over) AS BIGINT) AS said_num, CASE WHEN said IS NOT NULL THEN CAST(over // gcd(said, over) AS BIGINT) END AS said_den FROM v""")
+def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirteen kinds of labels: plain, sums, shares, millimetres on either side of inches, and what gives no value."""
+    k, a, b, n = F.col("p_partkey") % 13, F.col("p_size"), F.col("p_partkey") % 12, F.col("p_partkey") % 4
+    c, mm = (F.col("p_partkey") % 8) * 2 + 1, F.floor(F.col("p_size") * F.lit(25.4) + 0.5) + F.col("p_partkey") % 5
+    forms = [
+        text(a, " ", c, '/16"'), text(a, '"+', c, '"'), text(a, '" + ', c, '" Filler'), text(a, '"+', c, '" panel'), text(a, '"(', n, " EQ)"), text(mm, " [", a, "]"), text(a, '" [', mm, "]"),
+        text(a), text(a, "'-", b, ' 1/2"'), text(a, '"+', c), text(a, " in"), text(a, " ", c, '/10"'), text(a, '"+', c, '" VIF'),
+    ]
+    label = F.array(*forms)[k.cast("int")]
+    found = table(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+    found = found.select("p_partkey", L.plain_dimension(F.col("label")).alias("plain"), L.expand_label(F.col("label")).alias("worded"), L.pair(F.col("label"))["refusal"].alias("refusal"), Q.reduced(L.parse_inches(F.col("label"))).alias("said"))
+    value = Q.reduced(F.coalesce("plain", "worded.value"))
+    how = F.when(F.col("plain").isNotNull(), "plain").otherwise(F.col("worded.how"))
+    return found.select("p_partkey", how.alias("how"), value["num"].alias("num"), value["den"].alias("den"), F.col("worded.shares").alias("shares"), "refusal", F.col("said.num").alias("said_num"), F.col("said.den").alias("said_den"))
