@@ -9,8 +9,12 @@ templates).
 What is not main text: elements that never hold it (scripts, styles), asides by their tag (nav, footer, form ..), hidden
 elements, and elements with a word like ``sidebar`` in their class, id or role. A word alone does not decide: it is taken
 back from an element with SHARE of the page's text and its article, main element or first heading, which an aside does
-not hold, and ``no-sidebar`` or ``with-sidebar`` says nothing about the element. Where nothing else is left, a page keeps what only
-words ruled out.
+not hold, and ``no-sidebar`` or ``with-sidebar`` says nothing about the element. A name that ends in a word of its own
+(``cookie-recipe``, ``related-work``; not ``cookie-box``) is only a hint: such an element goes where links hold more than LINKED of
+its text, or where it is outside of an article and holds less than HINT_SHARE of the page's text. Where nothing else is left, a page
+keeps what only words ruled out.
+
+Only blocks end a block: a line break opportunity, an image or a script inside a word leaves it whole.
 
 The parser reads a page once, and its work and memory grow with the page: elements keep sums and their place in the
 text, not lists of what is above or below, and a path is a running hash with the names of its last PATH_NAMES elements.
@@ -40,6 +44,7 @@ from planlark.llm.common import bounded_batches, join_groups, written
 RAW = frozenset("script style template noscript iframe svg math object canvas textarea select title".split())
 ASIDE = frozenset("nav footer aside form button menu dialog head".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rt ruby s samp small span strike strong sub sup time tt u var".split())
+WITHIN = INLINE | frozenset("audio embed img input link map math meta noscript object param picture script source style svg template track video wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CELLS = frozenset("li td th tr dt dd".split())
@@ -53,7 +58,13 @@ NOISE = frozenset(
 )
 #: Words after which a word of NOISE speaks of something beside or inside the element.
 ABOUT = frozenset("no not without has with hide show left right ready".split())
-SHARE, PATH_NAMES = 0.5, 40
+#: Words after a word of NOISE that only say what form the noise has.
+FORM = frozenset(
+    "area articles author bar block body bottom box btn button buttons card cards cell col column container content desktop entries fixed form frame group heading holder home icon icons image images inline "
+    "inner item items label large layer link links list main message meta mobile module news outer overlay page pages pane panel policy post posts primary region responsive row secondary section "
+    "signup slot small sticky stories tags text thread title top topics unit up wide wrap wrapper zone".split()
+)
+SHARE, HINT_SHARE, LINKED, PATH_NAMES = 0.5, 0.25, 1 / 3, 40
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -63,16 +74,16 @@ NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 class Element:
     """An open or closed element: flags from above, sums over the text below it, and its place in the page's pieces."""
 
-    __slots__ = ("tag", "name", "parent", "depth", "path", "aside", "named", "link", "article", "block", "start", "end", "score", "holds", "kept")
+    __slots__ = ("tag", "name", "parent", "depth", "path", "aside", "named", "hinted", "link", "article", "block", "start", "end", "score", "linked", "holds", "kept")
 
     def __init__(self, tag: str, name: str, parent: Element | None, depth: int, start: int):
         self.tag, self.name, self.parent, self.depth, self.start = tag, name, parent, depth, start
         self.path = xxhash.xxh64_intdigest(name, seed=parent.path) if parent else 0
-        self.aside = self.named = self.holds = False
+        self.aside = self.named = self.hinted = self.holds = False
         self.link = tag == "a" or (parent is not None and parent.link)
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.block = depth if tag not in INLINE or parent is None else parent.block
-        self.score, self.end, self.kept = 0.0, -1, True
+        self.score, self.linked, self.end, self.kept = 0.0, 0.0, -1, True
 
     def path_text(self) -> str:
         """Generalised tag-class path; of a deep element the last names, after a hash of the others."""
@@ -91,15 +102,16 @@ def is_aside(tag: str, attrs: dict[str, str]) -> bool:
     return tag in ASIDE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
 
 
-def is_named(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether a class, id or role has a word of NOISE that may speak of the element itself."""
-    if tag in ("body", "html", "main"):
-        return False
-    for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split():
-        words = [w.lower() for w in NAME_WORD.findall(name)]
-        if any(w in NOISE for w in words) and not any(w in ABOUT for w in words):
-            return True
-    return False
+def noise(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a class, id or role is named after NOISE, and whether one has a word of NOISE that may speak of something else."""
+    named = hinted = False
+    if tag not in ("body", "html", "main"):
+        for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split():
+            words = [w.lower() for w in NAME_WORD.findall(name)]
+            if any(w in NOISE for w in words) and not any(w in ABOUT for w in words):
+                last = next(w for w in reversed(words) if w in NOISE or w not in FORM and len(w) > 1)
+                named, hinted = named or last in NOISE, hinted or last not in NOISE
+    return named, hinted and not named
 
 
 class Page:
@@ -124,7 +136,7 @@ class Page:
             if q == ">":
                 return m.start(), m.end()
             k = m.end()
-            if q not in self.no_quote and html[at : m.start()][-40:].rstrip()[-1:] == "=":
+            if q not in self.no_quote and html[max(at, m.start() - 40) : m.start()].rstrip()[-1:] == "=":
                 close = html.find(q, k)
                 if close < 0:
                     self.no_quote.add(q)
@@ -160,7 +172,7 @@ class Page:
             self.text(html[at:lt])
             end, at = self.tag_end(name.end())
             tag = name[0].lower()
-            if tag not in INLINE:
+            if tag not in WITHIN:
                 self.pieces.append(("", None))
             if closing:
                 self.close(tag)
@@ -200,7 +212,7 @@ class Page:
         top = self.stack[-1]
         e = Element(tag, tag + ("." + re.sub(r"\d+", "#", kind[0]) if kind else ""), top, len(self.stack), len(self.pieces))
         e.aside = is_aside(tag, attrs) or (tag == "header" and not top.article)
-        e.named = is_named(tag, attrs)
+        e.named, e.hinted = noise(tag, attrs)
         self.stack.append(e)
         self.open.setdefault(tag, []).append(e.depth)
         self.elements.append(e)
@@ -216,8 +228,12 @@ class Page:
         self.weigh(lambda e: False)
         most = self.stack[0].score
         main = {id(e) for e in self.elements if e.named and e.holds and e.score >= SHARE * most}
+        for e in self.elements:
+            if e.hinted and e.linked <= LINKED * (e.score + 0.5 * e.linked) and (e.article or e.score >= HINT_SHARE * most):
+                main.add(id(e))
         # where nothing is left, first those come back that hold such an element, then all
-        _ = self.weigh(lambda e: e.named and id(e) not in main) or self.weigh(lambda e: e.named and not e.holds) or self.weigh(lambda e: False)
+        ruled = lambda e: (e.named or e.hinted) and id(e) not in main
+        _ = self.weigh(ruled) or self.weigh(lambda e: e.named and not e.holds) or self.weigh(lambda e: False)
         self.containers = [c for c in self.containers if c.kept]
 
     def weigh(self, ruled) -> bool:
@@ -225,12 +241,14 @@ class Page:
         root = self.stack[0]
         root.score = 0.0
         for e in self.elements:
-            e.kept, e.score = e.parent.kept and not e.aside and not ruled(e), 0.0
+            e.kept, e.score, e.linked = e.parent.kept and not e.aside and not ruled(e), 0.0, 0.0
         for piece, e in self.pieces:
             if e is not None and e.kept:
                 e.score += len(piece.strip()) * (0.5 if e.link else 1.0)
+                e.linked += len(piece.strip()) if e.link else 0.0
         for e in reversed(self.elements):
             e.parent.score += e.score
+            e.parent.linked += e.linked
         return root.score > 0
 
     def best(self) -> Element | None:

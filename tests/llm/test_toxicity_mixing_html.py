@@ -221,3 +221,32 @@ def test_hosts_vote(spark):
     won = html_extract.winning_paths(html_extract.with_host(pages)).collect()
     assert [r.host for r in won] == ["h.example"]
     assert won[0].path.endswith("article")
+
+
+BODY = " ".join(f"The {k} boats came home at dusk, and their crews sang of the long way back." for k in ("red", "old", "slow", "last"))
+HINTED = {
+    f"<body><p>Short one.</p><p>Short two.</p><p>Short three.</p><div class='promo-article'><p>{BODY}</p></div></body>": f"Short one. Short two. Short three. {BODY}",
+    f"<main><div class='cookie-recipe'><p>{BODY}</p></div><p>x</p></main>": f"{BODY} x",
+    f"<article><h1>T</h1><p>{BODY}</p><section class='related-work'><p>Others sail too.</p></section><div class='notice-period'>One month.</div><p class='share-price'>Ten a share.</p></article>": f"T {BODY} Others sail too. One month. Ten a share.",
+    # menus, boxes and comments stay out, in an article or beside it
+    f"<article><p>{BODY}</p><div class='cookie-box'>We use them.</div><div class='related-posts'><a href='/'>More</a></div><div class='user-comment'><p>{BODY}</p></div></article>": BODY,
+    f"<article><p>{BODY}</p><div class='share-price'><a href='/a'>Share it</a> <a href='/b'>Post it</a></div></article>": BODY,
+    f"<body><div class='story'><p>{BODY}</p></div><div class='promo-summer'>Buy now.</div><div id='comment-12'>{BODY}</div></body>": BODY,
+    f"<article><p>{BODY}</p><p>super<wbr>cali<img src='a'>fra<script>x()</script>gi<svg><path/></svg>listic</p></article>": f"{BODY} supercalifragilistic",
+}
+
+
+def test_words_are_hints_and_only_blocks_end_blocks():
+    for page, text in HINTED.items():
+        assert html_extract.main_text(page, html_extract.vote(page)) == text
+
+
+def test_quotes_in_one_tag_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_extract.main_text("<p " + "a'" * n + ">x</p>", None)
+        return time.perf_counter() - start
+
+    assert seconds(400_000) < 20 * max(seconds(50_000), 0.05)
