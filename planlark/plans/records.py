@@ -10,6 +10,8 @@ from planlark.functions import units as U
 from planlark.operators import evidence as E
 from planlark.operators import geometry as G
 from planlark.operators import metrics as M
+from planlark.operators import relational as R
+from planlark.operators import retrieval as X
 from planlark.operators import rules as B
 from planlark.operators import verdict as V
 from planlark.plans.geometry import box_iou
@@ -209,3 +211,43 @@ def row_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.struct("l_linenumber", k.alias("k"), F.array(*map(F.lit, NOTES))[k.cast("int")].alias("note"))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]).alias("notes"))
     return rows.select("l_orderkey", U.row_hold(F.col("notes")).alias("hold"), U.counter_break(F.col("notes")).alias("broken_by"))
+
+
+#: Tags of parts' types that say what a reading is.
+TAGS = {"LARGE": "countertop_width", "MEDIUM": "cabinet_width", "SMALL": "filler_width"}
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN CASE split_part(p_type, ' ', 1) WHEN 'LARGE' THEN 'countertop_width' WHEN 'MEDIUM' THEN 'cabinet_width' WHEN 'SMALL' THEN 'filler_width' END END AS semantic FROM part""")
+def semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a part's exact tag says it is; none where an agent has suggested it, or the tag is unknown."""
+    tag = F.substring_index("p_type", " ", 1)
+    return table(spark, sf_dir, "part").select("p_partkey", E.semantic_type(tag, TAGS, F.col("p_size") % 4 == 0).alias("semantic"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, CAST(round((l_partkey % 612) / 612.0 * 1000000) AS BIGINT) AS x, CAST(round((1 - (l_suppkey % 792) / 792.0) * 1000000) AS BIGINT) AS y FROM lineitem""")
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a letter page, from its lower left corner, as millionths from the upper left."""
+    spot = E.to_unit_square(F.col("l_partkey") % 612, F.col("l_suppkey") % 792, F.lit(612.0), F.lit(792.0))
+    millionths = lambda c: F.round(spot[c] * 1_000_000).cast("long").alias(c)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", millionths("x"), millionths("y"))
+
+
+@query("""
+    WITH v AS (SELECT l_orderkey, l_linenumber, nullif(l_partkey % 3, 0) AS code, nullif(l_suppkey % 3, 0) AS one, nullif((l_partkey + l_linenumber) % 3, 0) AS two, l_quantity > 10 AS shown FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN code = one AND one = two AND shown THEN 'automatic' WHEN coalesce(code, one, two) IS NULL THEN 'none' ELSE 'ask' END AS decision FROM v""")
+def view_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view that the code and both readers pick is taken if it is shown; a person is asked about the others."""
+    pick = lambda c: F.nullif(c % 3, F.lit(0))
+    code, one, two = pick(F.col("l_partkey")), pick(F.col("l_suppkey")), pick(F.col("l_partkey") + F.col("l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.three_way(code, one, two, F.col("l_quantity") > 10).alias("decision"))
+
+
+@query("""
+    SELECT l_partkey AS item, l_linenumber AS semantic, count(*) AS readings FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size % 7 = l.l_linenumber) GROUP BY 1, 2""")
+def unannotated_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of items and types that have no gold value, counted."""
+    gold = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") % 7).alias("semantic"))
+    read = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("semantic"))
+    return R.unannotated(read, gold, ["item", "semantic"]).groupBy("item", "semantic").agg(F.count("*").alias("readings"))
