@@ -103,10 +103,10 @@ def resolved_spans(lines: DataFrame, items: DataFrame, keys: list[str], toleranc
     one = F.when(F.col("n_aligned") == 1, "single").when(F.col("n_inmost") == 1, "single").when(F.col("n_aligned") > 1, "ambiguous")
     run = F.when(F.col("n") < 2, "none").when(~F.col("reach"), "short").when(F.col("over"), "overlap").when(F.col("gap"), "gap").otherwise("run")
     states = facts.select(*keys, "line", F.coalesce(one, run).alias("state"), (F.col("n_aligned") == 1).alias("__only"))
-    both = walked.join(states, [*keys, "line"])
+    both = walked.join(states.hint("merge"), [*keys, "line"])
     chosen = both.filter(((F.col("state") == "single") & F.when(F.col("__only"), F.col("aligned")).otherwise(F.col("inmost"))) | (F.col("state") == "run"))
     found = chosen.select(*keys, "line", "state", "item", F.when(F.col("state") == "run", F.col("place")).otherwise(1).alias("place"))
-    rest = lines.select(*keys, "line").join(states, [*keys, "line"], "left").withColumn("state", F.coalesce("state", F.lit("none"))).filter(~F.col("state").isin("single", "run"))
+    rest = lines.select(*keys, "line").join(states.hint("merge"), [*keys, "line"], "left").withColumn("state", F.coalesce("state", F.lit("none"))).filter(~F.col("state").isin("single", "run"))
     return found.unionByName(rest.select(*keys, "line", "state"), allowMissingColumns=True)
 
 
@@ -142,7 +142,7 @@ def text_lines(texts: DataFrame, lines: DataFrame, keys: list[str], limit: float
     close = F.col("next").isNotNull() & ((excess <= 0) | (excess * excess <= 4 * margin * margin * F.col("d2")))
     state = F.when(~F.col("led") & F.col("no_axis"), "no_axis").when(F.col("n") == 0, "other_way").when(close, "ambiguous").otherwise("associated")
     found = first.select(*keys, "text", "line", state.alias("state"))
-    both = texts.select(*keys, "text").join(found, [*keys, "text"], "left")
+    both = texts.select(*keys, "text").join(found.hint("merge"), [*keys, "text"], "left")
     return both.select(*keys, "text", F.when(F.col("state") == "associated", F.col("line")).alias("line"), F.coalesce("state", F.lit("out_of_range")).alias("state"))
 
 

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from planlark import plans
 
@@ -19,3 +20,12 @@ def test_first_claim_of_a_tie_is_the_first_in_the_table(spark, tmp_path):
     write(tmp_path, "part", [{"p_partkey": [1, 2], "p_size": [6, 8]}])
     got = {r.l_partkey: (r.claim, r.answer) for r in plans.QUERIES["row_check"](spark, str(tmp_path)).collect()}
     assert got == {1: ("A", "A"), 2: ("R", "R")}
+
+
+def plan_of(spark, name: str) -> str:
+    return plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["dimension_spans", "annotated_lines", "polygon_overlaps", "box_iou"])
+def test_exploded_rows_do_not_pass_through_the_driver(spark, name):
+    assert "Broadcast" not in plan_of(spark, name)
