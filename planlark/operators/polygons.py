@@ -3,7 +3,8 @@
 Points are array<struct<x: long, y: long>> in whole steps of the page, 0 to ``scale``. Pairs meet by their bounding boxes
 (grids by box size), equal ``on`` (the version and the page: polygons of different planes are never compared); each pair
 is then judged with integers and fractions, so contact and overlap are never a matter of rounding. A polygon has a few to some
-hundred points; a judgement's work is the product of both.
+hundred points; a judgement's work is the product of both. Validity is judged once a polygon, and its rows are written; pairs that
+lie alike are judged once in a while (a task remembers some thousand).
 
 Cases: fewer than three points, or a null, are no polygon; a point given twice in a row counts once; a ring that touches or
 retraces itself crosses itself; contact from inside is covered; a shared edge or corner alone is no overlap; equal
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from planlark.operators.relational import box_overlaps
+from planlark.sources.work import written
 
 Point = tuple[int, int]
 WIDE = "decimal(38,0)"
@@ -42,7 +45,12 @@ def polygon_refusal(points: Column, scale: int) -> Column:
 
 @F.pandas_udf(BooleanType())
 def is_simple(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda r: r is not None and simple(corners(r)))
+    return rings.map(lambda r: r is not None and simple_at(near_origin(c := corners(r), c)[0]))
+
+
+@lru_cache(maxsize=8192)
+def simple_at(polygon: tuple[Point, ...]) -> bool:
+    return simple(list(polygon))
 
 
 def ring(points: Column) -> Column:
@@ -120,9 +128,20 @@ def relation(a: list[Point], b: list[Point]) -> tuple[bool, bool, bool]:
     return "out" not in of_b, "out" not in of_a, "in" in of_a or "in" in of_b or of_a == of_b == {"on"}
 
 
+@lru_cache(maxsize=8192)
+def relation_of(a: tuple[Point, ...], b: tuple[Point, ...]) -> tuple[bool, bool, bool]:
+    return relation(list(a), list(b))
+
+
+def near_origin(a: list[Point], b: list[Point]) -> tuple[tuple[Point, ...], tuple[Point, ...]]:
+    """Both moved together, so that pairs that lie alike are one pair."""
+    x, y = min((p[0] for p in a), default=0), min((p[1] for p in a), default=0)
+    return tuple((p[0] - x, p[1] - y) for p in a), tuple((p[0] - x, p[1] - y) for p in b)
+
+
 @F.pandas_udf(StructType([StructField(c, BooleanType()) for c in ("covers", "covered", "overlaps")]))
 def related(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([relation(corners(a), corners(b)) for a, b in zip(left, right, strict=True)], columns=["covers", "covered", "overlaps"])
+    return pd.DataFrame([relation_of(*near_origin(corners(a), corners(b))) for a, b in zip(left, right, strict=True)], columns=["covers", "covered", "overlaps"])
 
 
 def polygon_pairs(left: DataFrame, right: DataFrame, on: list[str], scale: int) -> DataFrame:
@@ -131,7 +150,7 @@ def polygon_pairs(left: DataFrame, right: DataFrame, on: list[str], scale: int)
     def boxed(df: DataFrame, p: str) -> DataFrame:
         side = lambda f, c: f(F.transform("points", lambda q: q[c]))
         found = df.select(*on, F.col("id").alias(f"{p}id"), ring(F.col("points")).alias(f"{p}points"), *[side(f, c).alias(f"{p}{c}{k}") for k, f in enumerate((F.array_min, F.array_max)) for c in "xy"])
-        return found.filter(polygon_refusal(F.col(f"{p}points"), scale).isNull())
+        return written(found.repartition(*on, f"{p}id").filter(polygon_refusal(F.col(f"{p}points"), scale).isNull()), "polygons")
 
     met = box_overlaps(boxed(left, "l_"), boxed(right, "r_"), tuple(on))
     found = met.select(*on, "l_id", "r_id", related("l_points", "r_points").alias("r"))
