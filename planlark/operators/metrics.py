@@ -58,14 +58,22 @@ def match_precision(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> D
 
 
 def localisation(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs: common, joined (areas), same_page. IoU >= percent / 100, compared as integers. M2, A16."""
+    """pairs: common, joined (areas), same_page; a row with ``n`` is n pairs. IoU >= percent / 100, compared as integers. M2, A16."""
     good = F.col("same_page") & (F.col("common") * 100 >= F.col("joined") * percent)
-    return unpivoted(pairs.agg(*conditional("localisation_rate", good, F.lit(True))), ["localisation_rate"])
+    counts = [F.coalesce(F.sum(F.when(c, number_of(pairs))), F.lit(0)).alias(f"localisation_rate__{k}") for k, c in (("num", good), ("den", F.lit(True)))]
+    return unpivoted(pairs.agg(*counts), ["localisation_rate"])
+
+
+def number_of(pairs: DataFrame) -> Column:
+    return F.col("n") if "n" in pairs.columns else F.lit(1).cast("long")
 
 
 def mean_iou(pairs: DataFrame) -> DataFrame:
-    """(metric, pairs, value): the mean of common / joined over pairs that have an area. A16."""
-    return pairs.agg(F.lit("mean_iou").alias("metric"), F.count("*").alias("pairs"), F.round(F.avg(F.try_divide("common", "joined")), 6).alias("value"))
+    """(metric, pairs, value): the mean of common / joined over pairs that have an area; a row with ``n`` is n pairs. A16."""
+    n = number_of(pairs)
+    share = F.try_divide("common", "joined")
+    mean = F.try_divide(F.sum(share * n), F.sum(F.when(share.isNotNull(), n)))
+    return pairs.agg(F.lit("mean_iou").alias("metric"), F.coalesce(F.sum(n), F.lit(0)).alias("pairs"), F.round(mean, 6).alias("value"))
 
 
 def metric_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -131,13 +131,28 @@ def nearest_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     j AS (SELECT l.id AS l_id, r.id AS r_id, (least(l.x + l.s, r.x + r.s) - greatest(l.x, r.x)) * (least(l.y + l.s, r.y + r.s) - greatest(l.y, r.y)) AS common, l.s * l.s + r.s * r.s AS area FROM l JOIN r ON greatest(l.x, r.x) < least(l.x + l.s, r.x + r.s) AND greatest(l.y, r.y) < least(l.y + l.s, r.y + r.s))
     SELECT l_id, r_id, CAST(common AS BIGINT) AS common, CAST(area - common AS BIGINT) AS joined, common * 100 >= (area - common) * 50 AS good FROM j""")
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping boxes by a grid, each pair once, and their exact overlap."""
+    """Overlapping boxes by a grid, each pair once, and their exact overlap. Boxes of one place and size meet as one;
+    only what overlaps is then joined with its rows."""
+    l, r = part_boxes(spark, sf_dir)
+    found = box_classes(l.select(*BOX["l"]).distinct(), r.select(*BOX["r"]).distinct())
+    found = found.join(l, BOX["l"]).join(r.hint("merge"), BOX["r"])
+    return found.select("l_id", "r_id", "common", "joined", (F.col("common") * 100 >= F.col("joined") * 50).alias("good"))
+
+
+BOX = {n: [f"{n}_{c}" for c in ("x0", "y0", "x1", "y1")] for n in "lr"}
+
+
+def part_boxes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The boxes of even and of odd parts: (l_id, l_x0, l_y0, l_x1, l_y1) and (r_id, ...)."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000).alias("x0"), (F.col("p_partkey") * 91 % 1000).alias("y0"), "p_size")
     p = p.select("id", "x0", "y0", (F.col("x0") + F.col("p_size")).alias("x1"), (F.col("y0") + F.col("p_size")).alias("y1"))
-    side = lambda k, n: p.filter(F.col("id") % 2 == k).select(*[F.col(c).alias(f"{n}_{c}") for c in p.columns])
-    box = lambda n: F.struct(*[F.col(f"{n}_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    found = R.box_overlaps(side(0, "l"), side(1, "r")).withColumn("i", S.iou_parts(box("l"), box("r")))
-    return found.select("l_id", "r_id", F.col("i.common").alias("common"), F.col("i.joined").alias("joined"), (F.col("i.common") * 100 >= F.col("i.joined") * 50).alias("good"))
+    return [p.filter(F.col("id") % 2 == k).select(*[F.col(c).alias(f"{n}_{c}") for c in p.columns]) for k, n in enumerate("lr")]
+
+
+def box_classes(l: DataFrame, r: DataFrame) -> DataFrame:
+    """Overlapping boxes with their common and joined area."""
+    box = lambda n: F.struct(*[F.col(c).alias(c[2:]) for c in BOX[n]])
+    return R.box_overlaps(l, r).withColumn("i", S.iou_parts(box("l"), box("r"))).select("*", "i.*").drop("i")
 
 
 @query("""
@@ -148,7 +163,7 @@ def unique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired only where each side fits exactly one of the other."""
     p = table(spark, sf_dir, "part")
     l, r = (p.filter(F.col("p_partkey") % 2 == k).select("p_brand", "p_size", F.col("p_partkey").alias(n)) for k, n in ((0, "left_id"), (1, "right_id")))
-    return R.unique_pairs(l.join(r, ["p_brand", "p_size"]).select("left_id", "right_id"), "left_id", "right_id")
+    return R.unique_matches(l, r, ["p_brand", "p_size"], "left_id", "right_id")
 
 
 @query("""

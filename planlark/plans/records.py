@@ -14,12 +14,13 @@ from planlark.operators import relational as R
 from planlark.operators import retrieval as X
 from planlark.operators import rules as B
 from planlark.operators import verdict as V
-from planlark.plans.geometry import box_iou
+from planlark.plans.geometry import BOX, box_classes, part_boxes
 from planlark.plans.registry import ORACLE_SQL, query
 from planlark.plans.reports import at
 from planlark.plans.retrieval import paired_readers
 from planlark.plans.verdicts import parameter_layering
 from planlark.sources.io import table
+from planlark.sources.work import written
 from planlark.streaming import streams as T
 
 
@@ -105,7 +106,9 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'localisation_rate', count(*), round(count(*) FILTER (WHERE l_id % 3 = r_id % 3 AND common * 2 >= joined)::DOUBLE / count(*), 6) FROM i""")
 def mean_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean overlap of boxes, and the share that is on the same page with half in common."""
-    pairs = box_iou(spark, sf_dir).withColumn("same_page", F.col("l_id") % 3 == F.col("r_id") % 3)
+    l, r = (b.groupBy(*BOX[n], (F.col(f"{n}_id") % 3).alias(f"{n}_page")).agg(F.count("*").alias(f"{n}_n")) for n, b in zip("lr", part_boxes(spark, sf_dir), strict=True))
+    # boxes of one place, size and page are one row with their number; a pair of such rows stands for all its pairs
+    pairs = written(box_classes(l, r).select("common", "joined", (F.col("l_page") == F.col("r_page")).alias("same_page"), (F.col("l_n") * F.col("r_n")).alias("n")), "overlaps")
     return M.mean_iou(pairs).unionByName(M.localisation(pairs, 50).select("metric", F.col("den").alias("pairs"), "value"))
 
 

@@ -1,10 +1,14 @@
 """Order of ties, and plans whose work is spread and grows with the input."""
 
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from planlark import plans
+from planlark.operators import relational as R
+from planlark.operators import retrieval as X
 
 
 def write(folder, name: str, files: list[dict]) -> None:
@@ -26,6 +30,43 @@ def plan_of(spark, name: str) -> str:
     return plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dimension_spans", "annotated_lines", "polygon_overlaps", "box_iou"])
+@pytest.mark.parametrize("name", ["dimension_spans", "annotated_lines", "polygon_overlaps"])
 def test_exploded_rows_do_not_pass_through_the_driver(spark, name):
     assert "Broadcast" not in plan_of(spark, name)
+
+
+def test_boxes_of_one_place_meet_once(spark, tmp_path):
+    from planlark.plans import geometry
+
+    # even parts lie at (0, 0), odd ones at (37, 91) or, with 27 more, 36 before: some overlap, each pair of places once
+    keys = [*range(0, 400_000, 1000), *range(27, 400_000, 2000)]
+    keys += [*range(1027 - 27 + 1, 400_000, 2000)]
+    write(tmp_path, "part", [{"p_partkey": keys, "p_size": [95] * len(keys)}])
+    l, r = geometry.part_boxes(spark, str(tmp_path))
+    classes = geometry.box_classes(l.select(*geometry.BOX["l"]).distinct(), r.select(*geometry.BOX["r"]).distinct())
+    pairs = plans.QUERIES["box_iou"](spark, str(tmp_path))
+    assert classes.count() <= 4 < 10_000 <= pairs.count() == pairs.distinct().count()
+    assert {x.pairs for x in plans.QUERIES["mean_overlap"](spark, str(tmp_path)).collect()} == {pairs.count()}
+
+
+def test_agreeing_pairs_equal_all_pairs_and_meet_by_their_fields(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), rng.choice([1, 2, 3, None]), rng.choice("xyz"), rng.choice(["t", "u", None])) for i in range(90)]
+    p = spark.createDataFrame(rows, "id long, brand string, size long, name string, kind string")
+    args = (p, p, ["brand"], {"size": 3, "name": 2, "kind": 0}, ("kind",))
+    flat = lambda df: sorted((r.left_id, r.right_id, r.score) for r in df.collect())
+    assert flat(X.agreeing_lane(*args)) == flat(X.metadata_lane(*args).filter("score > 0"))
+    plan = plans.QUERIES["metadata_lane"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("l_p_size" in j or "l_p_name" in j for j in plan.splitlines() if "Join Inner" in j) and "Join Inner" in plan
+
+
+def test_unique_matches_list_no_pairs(spark):
+    l, r = (spark.createDataFrame([(k, i) for k, n in groups.items() for i in range(k * 1000, k * 1000 + n)], f"k long, {side} long") for side, groups in (("a", {1: 1, 2: 1, 3: 2, 4: 300}), ("b", {1: 1, 2: 2, 3: 1, 4: 300})))
+    assert [tuple(x) for x in R.unique_matches(l, r, ["k"], "a", "b").collect()] == [(1000, 1000)]
+    assert "Window" not in plan_of(spark, "unique_pairs")
+
+
+def test_fusion_moves_rows_and_not_pairs(spark):
+    plan = plan_of(spark, "rrf_fusion").splitlines()
+    first_join = max(i for i, x in enumerate(plan) if "Window" in x)
+    assert not any("Exchange" in x for x in plan[:first_join])
