@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from planlark import plans
+from planlark.operators import links as K
 from planlark.operators import relational as R
 from planlark.operators import retrieval as X
 
@@ -70,3 +71,20 @@ def test_fusion_moves_rows_and_not_pairs(spark):
     plan = plan_of(spark, "rrf_fusion").splitlines()
     first_join = max(i for i, x in enumerate(plan) if "Window" in x)
     assert not any("Exchange" in x for x in plan[:first_join])
+
+
+def test_small_packages_are_folded_without_components(spark, monkeypatch):
+    def refused(_):
+        raise AssertionError("small packages need no components")
+
+    monkeypatch.setattr(K, "components", refused)
+    assert plans.QUERIES["entity_links"](spark, "/root/testdata/sf0.001").count() > 1000
+
+
+@pytest.mark.parametrize("name", ["imperial_parse"])
+def test_each_text_is_parsed_once(spark, name):
+    assert "__value" in plan_of(spark, name)
+
+
+def test_a_scope_is_dealt_over_tasks(spark):
+    assert "__deal" in plan_of(spark, "dense_topk")
