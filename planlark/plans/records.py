@@ -179,12 +179,14 @@ def dual_label_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = ((F.col("l_orderkey") + F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey")).otherwise(0)) % 10).cast("int")
     raw = F.array(*map(F.lit, LABELS))[k]
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("label"), (F.col("l_linenumber") % 3).cast("string").alias("extractor"), raw.alias("raw"))
-    rows = rows.withColumn("token", U.canonical_notation(F.col("raw"))["token"]).withColumn("inches", U.normalise_to_inches(F.col("token"))["value"])
+    token, text, inches = F.col("token"), F.col("__value"), F.col("inches")
+    made = {"token": U.canonical_notation(text)["token"], "inches": U.normalise_to_inches(token)["value"], "system": E.authored_units(token, text, F.lit("in")), "dual": E.dual_halves(token, text, inches)}
+    rows = R.per_value(rows, "raw", **made)
     is_mm = F.col("raw") == "914 mm"
     value = F.when(is_mm, F.lit(914).cast("decimal(38,19)")).otherwise((F.col("inches.num").cast("decimal(19,0)") / F.col("inches.den").cast("decimal(19,0)")).cast("decimal(38,19)"))
     readings = rows.select(
         "label", "extractor", F.when(F.col("extractor") == "2", "vendor:b").otherwise("vendor:a").alias("key"), value.alias("value"), F.when(is_mm, "mm").otherwise("in").alias("unit"), F.lit("width").alias("semantic"), F.lit(False).alias("stacked"),
-        E.authored_units(F.col("token"), F.col("raw"), F.lit("in")).alias("system"), E.dual_halves(F.col("token"), F.col("raw"), F.col("inches")).alias("dual"),
+        "system", "dual",
     )
     return E.corroborate(readings, "label")
 

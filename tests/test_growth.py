@@ -1,5 +1,8 @@
 """What must not grow faster than the input: postings, texts that are parsed, rows that are moved, memory of a task."""
 
+import pytest
+
+from planlark import plans
 from planlark.operators import text_index
 
 
@@ -20,3 +23,9 @@ def test_places_are_packed_in_bytes():
     assert [text_index.unpacked(p).tolist() for p in packed] == [places[a:b].tolist() for a, b in zip(firsts, ends)]
     assert dict(zip(grams, map(text_index.unpacked, packed)))["abc"].tolist() == [0, 3, 10 + 40_000] and starts.tolist() == [0, 8, 10]
     assert sum(map(len, packed)) < 1.1 * len(places)
+
+
+@pytest.mark.parametrize("name", ["label_values", "dual_consistency", "dual_label_readings"])
+def test_each_label_is_read_once(spark, name):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "__value" in plan and "Exchange RoundRobinPartitioning" in plan
