@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlark.functions import scalars as S
-from planlark.operators.relational import box_overlaps, inside
+from planlark.operators.relational import box_overlaps, dealt, inside
 
 
 def distinct_segments(df: DataFrame) -> DataFrame:
@@ -148,6 +148,7 @@ def text_lines(texts: DataFrame, lines: DataFrame, keys: list[str], limit: float
 
 def assembly(members: DataFrame, keys: list[str], span0: str, span1: str) -> DataFrame:
     """Whether the members (a, b, id) of a span cover it: in order, no overlap, no gap, both ends, no id twice. G9."""
+    members = dealt(members, keys, members.count())
     w = Window.partitionBy(*keys).orderBy("a", "b", "id")
     step = F.col("a") - F.lag("b").over(w)
     marked = members.withColumns({"__gap": F.coalesce(step > 0, F.lit(False)), "__over": F.coalesce(step < 0, F.lit(False))})
