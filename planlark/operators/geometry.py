@@ -159,12 +159,20 @@ def assembly(members: DataFrame, keys: list[str], span0: str, span1: str) -> Dat
 
 def pair_rows(left: DataFrame, right: DataFrame, on: list[str], tolerance: int, margin: int) -> DataFrame:
     """Pairs of tick rows (row, x): support counts coinciding ticks; paired where the best is ahead of the next by the
-    margin. Ticks meet in buckets, so rows without a shared tick never do. G10, J16."""
-    cell = lambda c: F.floor(F.col(c) / max(tolerance, 1))
-    a = left.select(*on, F.col("row").alias("l_row"), F.col("x").alias("lx")).withColumn("cell", F.explode(F.sequence(cell("lx") - 1, cell("lx") + 1)))
-    b = right.select(*on, F.col("row").alias("r_row"), F.col("x").alias("rx")).withColumn("cell", cell("rx"))
-    met = a.join(b, [*on, "cell"]).filter(F.abs(F.col("lx") - F.col("rx")) <= tolerance)
-    support = met.groupBy(*on, "l_row", "r_row").agg(F.count_distinct("lx").alias("support"))
+    margin. Ticks meet in buckets, so rows without a shared tick never do. A tick's rows of either side are sets before they
+    are paired, so pairs are counted where they are made and no tick of a pair moves. G10, J16."""
+    n = left.count()
+    a = dealt(left.select(*on, F.col("x").alias("lx"), "row"), [*on, "lx"], n).groupBy(*on, "lx").agg(F.collect_set("row").alias("l_rows"))
+    b = right.select(*on, F.col("row").alias("r_row"), F.col("x").alias("rx"))
+    if tolerance:
+        cell = lambda c: F.floor(F.col(c) / tolerance)
+        near = a.withColumn("cell", F.explode(F.sequence(cell("lx") - 1, cell("lx") + 1))).join(b.withColumn("cell", cell("rx")).hint("merge"), [*on, "cell"]).filter(F.abs(F.col("lx") - F.col("rx")) <= tolerance)
+        b = near.select(*on, "lx", "r_row")
+    else:
+        b = b.withColumnRenamed("rx", "lx")
+    b = dealt(b, [*on, "lx"], n).groupBy(*on, "lx").agg(F.collect_set("r_row").alias("r_rows"))
+    met = a.join(b.hint("merge"), [*on, "lx"]).select(*on, F.explode("l_rows").alias("l_row"), "r_rows").select(*on, "l_row", F.explode("r_rows").alias("r_row"))
+    support = met.groupBy(*on, "l_row", "r_row").agg(F.count("*").alias("support"))
     w = Window.partitionBy(*on, "l_row").orderBy(F.desc("support"), "r_row")
     seen = support.withColumns({"__n": F.row_number().over(w), "__next": F.coalesce(F.lead("support").over(w), F.lit(0))}).filter("__n = 1")
     return seen.select(*on, "l_row", "r_row", "support", F.when(F.col("support") - F.col("__next") >= margin, "paired").otherwise("ambiguous").alias("state"))
