@@ -23,13 +23,18 @@ def axis(dx: Column, dy: Column, straight: int) -> Column:
 
 
 def dimension_lines(lines: DataFrame, ticks: DataFrame, tolerance: int, least: int) -> DataFrame:
-    """Horizontal lines (page, id, y, x0, x1) of a least span with a witness (page, x, y0, y1) across both ends; ends and
-    ticks meet in buckets of the tolerance. G3."""
-    ends = lines.filter(F.col("x1") - F.col("x0") >= least).select("page", "id", "y", F.explode(F.array("x0", "x1")).alias("end"), "x0", "x1")
-    cell = lambda c: F.floor(F.col(c) / max(tolerance, 1))
-    e = ends.withColumn("cell", F.explode(F.sequence(cell("end") - 1, cell("end") + 1)))
-    met = e.join(ticks.withColumn("cell", cell("x")), ["page", "cell"]).filter((F.abs(F.col("x") - F.col("end")) <= tolerance) & F.col("y").between(F.col("y0"), F.col("y1")))
-    return met.groupBy("page", "id").agg(F.count_distinct("end").alias("ends")).filter("ends = 2").select("page", "id")
+    """Horizontal lines (page, id, y, x0, x1) of a least span with a witness (page, x, y0, y1) across both ends. G3.
+
+    A tick enters the cells, of sixteen tolerances, that it reaches into: one, or two near a border. A line looks into one cell
+    for each end, by a semi join each, so lines are never repeated nor counted."""
+    width = 16 * max(tolerance, 1)
+    cell = lambda x: F.floor(x / width)
+    t = ticks.select("page", "x", "y0", "y1", F.explode(F.array_distinct(F.array(cell(F.col("x") - tolerance), cell(F.col("x") + tolerance)))).alias("cell")).alias("t").hint("merge")
+    found = lines.filter(F.col("x1") - F.col("x0") >= least).filter("x0 <> x1").select("page", "id", "y", "x0", "x1")
+    for end in ("x0", "x1"):
+        near = (F.abs(F.col("t.x") - F.col(f"l.{end}")) <= tolerance) & F.col("l.y").between(F.col("t.y0"), F.col("t.y1"))
+        found = found.alias("l").join(t, (F.col("l.page") == F.col("t.page")) & (cell(F.col(f"l.{end}")) == F.col("t.cell")) & near, "left_semi")
+    return found.select("page", "id").distinct()
 
 
 def chains(spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """What must not grow faster than the input: postings, texts that are parsed, rows that are moved, memory of a task."""
 
+import random
+
 import pytest
 
 from planlark import plans
-from planlark.operators import text_index
+from planlark.operators import geometry, relational, retrieval, text_index
 
 
 def test_texts_of_one_block_share_a_terms_posting(spark, tmp_path):
@@ -29,3 +31,48 @@ def test_places_are_packed_in_bytes():
 def test_each_label_is_read_once(spark, name):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "__value" in plan and "Exchange RoundRobinPartitioning" in plan
+
+
+def test_documents_meet_queries_by_their_rarest_word(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "common words here" + (" rare" if i < 3 else "")) for i in range(400)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "Rare common words"), (2, "common unknown"), (3, "here words")], "id long, text string")
+    found = retrieval.lexical_lane(docs, queries)
+    got = sorted((r.query_id, r.doc_id) for r in found.collect())
+    assert got == [(1, i) for i in range(3)] + [(3, i) for i in range(400)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rare#" in plan and plan.count("Join Inner") == 3
+
+
+def test_a_task_gets_so_many_rows_whatever_the_table(spark, monkeypatch):
+    monkeypatch.setattr(relational, "ROWS_A_TASK", 10)
+    rows = spark.createDataFrame([(i % 40, i // 40, i // 40 + 1, i // 40, 0, 5) for i in range(200)], "line long, a long, b long, id long, s0 long, s1 long")
+    found = geometry.assembly(rows, ["line"], "s0", "s1")
+    assert "hashpartitioning(line" in (plan := found._jdf.queryExecution().toString()) and ", 20)" in plan
+    assert {(r.members, r.state) for r in found.collect()} == {(5, "covered")}
+
+
+@pytest.mark.parametrize("tolerance", [0, 1, 3])
+def test_ticks_are_paired_as_sets(spark, tolerance):
+    rng = random.Random(tolerance)
+    sides = [sorted({(rng.randint(0, 1), rng.randint(0, 4), rng.randint(-20, 20)) for _ in range(60)}) for _ in range(2)]
+    l, r = (spark.createDataFrame(s, "page int, row int, x int") for s in sides)
+    got = {(x.page, x.l_row): (x.r_row, x.support) for x in geometry.pair_rows(l, r, ["page"], tolerance, 2).collect()}
+    want = {}
+    for p, row in {s[:2] for s in sides[0]}:
+        support = {other: len({x for q, i, x in sides[0] if (q, i) == (p, row) and any((s, j) == (p, other) and abs(x - y) <= tolerance for s, j, y in sides[1])}) for q, other in {s[:2] for s in sides[1]} if q == p}
+        best = min(((-n, other) for other, n in support.items() if n), default=None)
+        if best:
+            want[p, row] = (best[1], -best[0])
+    assert got == want
+    assert "count(distinct" not in geometry.pair_rows(l, r, ["page"], tolerance, 2)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("tolerance", [0, 2])
+def test_lines_are_not_repeated_for_their_ends(spark, tolerance):
+    rng = random.Random(tolerance)
+    lines = [(rng.randint(0, 2), i, rng.randint(0, 12), x, x + rng.randint(0, 60)) for i in range(200) for x in [rng.randint(-90, 90)]]
+    ticks = [(rng.randint(0, 2), rng.randint(-90, 150), y, y + 6) for _ in range(300) for y in [rng.randint(0, 6)]]
+    found = geometry.dimension_lines(spark.createDataFrame(lines, "page int, id int, y int, x0 int, x1 int"), spark.createDataFrame(ticks, "page int, x int, y0 int, y1 int"), tolerance, 10)
+    seen = lambda p, y, end: any(q == p and abs(x - end) <= tolerance and a <= y <= b for q, x, a, b in ticks)
+    assert sorted(map(tuple, found.collect())) == sorted((p, i) for p, i, y, a, b in lines if b - a >= 10 and seen(p, y, a) and seen(p, y, b))
+    assert "LeftSemi" in found._jdf.queryExecution().toString()
