@@ -3,7 +3,8 @@ busy answer and grow by one after enough good ones. T9.
 
 Calls may come in any order inside the watermark: they wait in state until a timer says that the watermark has passed the
 first of them; all that it has passed are then folded in the order of time and id, so the stream equals the fold over the whole table whatever the batches.
-A model's state is its window, its waiting calls and two numbers. The order of a model's calls decides its limit, so one
+A model's state is its window, its waiting calls and two numbers. Calls wait as packed pieces by slots of time, and one slot is
+read, folded and given out after the other, so a task's Python holds the calls of a slot and never a model's. The order of a model's calls decides its limit, so one
 model is folded by one task at a time; a call costs constant time there, and models are dealt over all tasks.
 
 Cases: a null answer is one that was given; null tokens are 0; a call that is later than the watermark is left out, as
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,12 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 OUT = "id long, at long, requests long, tokens long, full boolean, wait_us long, limit int"
 
 
+#: A waiting call; the time that a slot of them spans; and the calls that are packed at once.
+CALL = np.dtype([("at", "<i8"), ("id", "<i8"), ("tokens", "<i8"), ("busy", "?"), ("answered", "?")])
+SLOT_US = 6 * 3_600_000_000
+PACKED = 100_000
+
+
 @dataclass(frozen=True)
 class Limits:
     at_once: int
@@ -72,31 +80,64 @@ class Limiter(StatefulProcessor):
         self.handle = handle
         self.now = handle.getValueState("now", "limit int, good int")
         self.window = handle.getListState("window", "at long, tokens long")
-        self.waiting = handle.getListState("waiting", "at long, id long, tokens long, busy boolean, answered boolean")
+        self.waiting = handle.getMapState("waiting", "slot long, piece int", "calls binary")
+        self.slots = handle.getMapState("slots", "slot long", "pieces int, first long")
+
+    def wait(self, calls: np.ndarray) -> None:
+        """Put calls into their slots, a piece each."""
+        calls = calls[np.argsort(calls["at"], kind="stable")]
+        slots, firsts = np.unique(calls["at"] // SLOT_US, return_index=True)
+        for slot, some in zip(slots.tolist(), np.split(calls, firsts[1:]), strict=True):
+            n, first = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else (0, int(some["at"][0]))
+            self.waiting.updateValue((slot, n), (some.tobytes(),))
+            self.slots.updateValue((slot,), (n + 1, min(first, int(some["at"][0]))))
+
+    def taken(self, slot: int, pieces: int) -> np.ndarray:
+        """The calls of a slot in order, which wait no longer."""
+        calls = np.concatenate([np.frombuffer(self.waiting.getValue((slot, n))[0], dtype=CALL) for n in range(pieces)])
+        for n in range(pieces):
+            self.waiting.removeKey((slot, n))
+        self.slots.removeKey((slot,))
+        return calls[np.lexsort((calls["id"], calls["at"]))]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, n, first = [], 0, None
         for batch in rows:
-            self.waiting.appendList([(int(r.at), int(r.id), int(r.tokens), bool(r.busy), bool(r.answered)) for r in batch.itertuples()])
-            self.handle.registerTimer(int(batch["at"].min()) // 1000 + 1)
+            calls = np.empty(len(batch), dtype=CALL)
+            for c in CALL.names:
+                calls[c] = batch[c].to_numpy()
+            held, n = [*held, calls], n + len(calls)
+            first = int(calls["at"].min()) if first is None else min(first, int(calls["at"].min()))
+            if n >= PACKED:
+                self.wait(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            self.wait(np.concatenate(held))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000  # all that the watermark has passed, whichever timer came first
-        calls = sorted(tuple(c) for c in self.waiting.get())
-        due, later = [c for c in calls if c[0] < upto], [c for c in calls if c[0] >= upto]
+        known = sorted((slot, *found) for (slot,), found in self.slots.iterator())
+        due = [(slot, pieces) for slot, pieces, first in known if first < upto]
         if not due:
-            return iter(())
+            return
         limit, good = tuple(self.now.get()) if self.now.exists() else (None, 0)
         fold = Fold(self.limits, limit, good, [tuple(w) for w in self.window.get()])
-        out = [(key[0], i, at, *fold.call(at, tokens, busy, answered)) for at, i, tokens, busy, answered in due]
+        later = [first for _, _, first in known if first >= upto]
+        for slot, pieces in due:
+            calls = self.taken(slot, pieces)
+            here, rest = calls[calls["at"] < upto], calls[calls["at"] >= upto]
+            if len(rest):
+                self.wait(rest)
+                later.append(int(rest["at"][0]))
+            out = [(key[0], i, at, *fold.call(at, tokens, busy, answered)) for at, i, tokens, busy, answered in here.tolist()]
+            yield pd.DataFrame(out, columns=[self.key, "id", "at", "requests", "tokens", "full", "wait_us", "limit"])
         self.now.update((fold.limit, fold.good))
         self.window.put(list(fold.window))
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        return iter((pd.DataFrame(out, columns=[self.key, "id", "at", "requests", "tokens", "full", "wait_us", "limit"]),))
+            self.handle.registerTimer(min(later) // 1000 + 1)
 
     def close(self) -> None:
         pass

@@ -1,11 +1,14 @@
 """What must not grow faster than the input: postings, texts that are parsed, rows that are moved, memory of a task."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from planlark import plans
 from planlark.operators import geometry, relational, retrieval, text_index
+from planlark.streaming import limiter
 
 
 def test_texts_of_one_block_share_a_terms_posting(spark, tmp_path):
@@ -76,3 +79,36 @@ def test_lines_are_not_repeated_for_their_ends(spark, tolerance):
     seen = lambda p, y, end: any(q == p and abs(x - end) <= tolerance and a <= y <= b for q, x, a, b in ticks)
     assert sorted(map(tuple, found.collect())) == sorted((p, i) for p, i, y, a, b in lines if b - a >= 10 and seen(p, y, a) and seen(p, y, b))
     assert "LeftSemi" in found._jdf.queryExecution().toString()
+
+
+class Kept:
+    """A processor's states in memory, and its timers."""
+
+    def __init__(self):
+        self.data, self.timers = {}, []
+        self.exists, self.get = lambda: "one" in self.data, lambda: self.data.get("one", [])
+        self.update = self.put = lambda v: self.data.update(one=v)
+        self.appendList = lambda v: self.data.setdefault("one", []).extend(v)
+        self.clear = self.data.clear
+        self.containsKey, self.getValue, self.removeKey = self.data.__contains__, self.data.get, self.data.pop
+        self.updateValue = lambda k, v: self.data.update({k: v})
+        self.iterator = lambda: iter([*self.data.items()])
+        self.getValueState = self.getListState = self.getMapState = lambda *_: Kept()
+        self.registerTimer = self.timers.append
+
+
+def test_waiting_calls_are_folded_slot_by_slot():
+    limits, rng = limiter.Limits(at_once=8, requests=10, tokens=300, window_us=60_000_000, grow_after=3), random.Random(3)
+    calls = [(rng.randrange(4 * limiter.SLOT_US), i, rng.randint(0, 50), rng.random() < 0.1, rng.random() < 0.8) for i in range(8000)]
+    one, handle = limiter.Limiter(limits, "model"), Kept()
+    one.init(handle)
+    frame = lambda rows: pd.DataFrame(rows, columns=["at", "id", "tokens", "busy", "answered"])
+    for part in range(2):
+        assert [*one.handleInputRows(("a",), iter([frame(calls[i : i + 1000]) for i in range(part * 4000, part * 4000 + 4000, 1000)]), None)] == []
+    got, most = [], 0
+    for mark in (limiter.SLOT_US * 3 // 2, limiter.SLOT_US * 5):
+        for out in one.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark // 1000), None):  # noqa: B023
+            got, most = got + [*out.itertuples(index=False, name=None)], max(most, len(out))
+    fold = limiter.Fold(limits)
+    assert got == [("a", i, at, *fold.call(at, tokens, busy, answered)) for at, i, tokens, busy, answered in sorted(calls)]
+    assert most < 2500 and len(handle.timers) == 3
