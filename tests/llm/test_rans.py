@@ -36,6 +36,29 @@ def test_ids_equal_the_library(library):
     check(library, ["".join(draw.choice(pool) for _ in range(draw.randrange(0, 300))) for _ in range(400)])
 
 
+def test_white_space_of_all_kinds_ends_no_piece_too_early(library):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    check(library, [f"{a}b{x}{y}c{x}{x}\u00e9{y}\ud55c{x}" for x in spaces for y in (" ", "\n", "  ", "\n\n", " \n") for a in ("", y, "d")])
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(library):
+    pieces, texts = rans_store.Pieces(PATH), ["Ein wort, wort&&& wort!!\nwort's", None, "", " wort... d\u00e9j\u00e0*** wort"]
+    ids, at = pieces.encoded(rans_store.pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted(pieces.memo) == sorted(["", "Ein", " wort", ",", "&&&", "!!", "\n", "wort's", "...", " d\u00e9j\u00e0", "***"])
+    part = rans_store.pa.array(texts).slice(2)  # of a batch whose buffers begin elsewhere
+    assert pieces.encoded(part)[0].tolist() == library.encode(texts[3], add_special_tokens=False).ids
+
+
+def test_ids_are_counted_by_batches(spark):
+    rows = [bytearray(np.array([i % 5, 7], "<u2").tobytes()) for i in range(900)]
+    column = rans_store.pa.array([bytes(r) for r in rows], rans_store.pa.binary())
+    assert rans_store.ids_in(column.slice(3, 4)).tolist() == [3, 7, 4, 7, 0, 7, 1, 7]
+    assert rans_store.ids_in(column.slice(0, 0)).tolist() == []
+    got = rans_store.counted(spark.createDataFrame([(r,) for r in rows], "ids binary").coalesce(1))
+    assert {i: got[i] for i in np.flatnonzero(got).tolist()} == {**dict.fromkeys(range(5), 180), 7: 900}
+
+
 def table_of(ids):
     return rans_store.Table(rans_store.frequencies(np.bincount(ids, minlength=1 << 16)))
 
