@@ -128,7 +128,8 @@ TERMS = leases.Terms(batch=4, lease_us=36 * 3_600_000_000, most_refusals=2)
     SELECT r.user_id, c.id, c.t AS at, r.x.what AS what, r.x.e AS entry, CASE WHEN r.x.what = 'late' THEN NULL ELSE r.x.a END AS attempt FROM rows r JOIN c ON c.user_id = r.user_id AND c.n = r.n""")
 def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's entries (signups) claimed by polls (views and purchases), done (clicks) or refused (errors), by a stream whose
-    events come in two files, out of order; a mark of a user that no one has moves the watermark past all events."""
+    events come in two halves, out of order, each of as many files as tasks wrote; a mark of a user that no one has moves the watermark past
+    all events."""
     kind = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "click", "done").when(F.col("event_type") == "error", "refused").otherwise("poll")
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
     before = Window.partitionBy("user_id").orderBy("ts", "id")
@@ -136,11 +137,12 @@ def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.withColumn("entry", F.when(F.col("kind") != "poll", put))
     folder, out, marks = scratch(spark, "queue"), scratch(spark, "leases"), scratch(spark, "marks")
     first = F.xxhash64("id") % 2 == 0
-    asked.filter(first).coalesce(1).write.parquet(folder)
-    asked.filter(~first).coalesce(1).write.mode("append").parquet(folder)
+    asked.filter(first).write.parquet(folder)
+    files = len(spark.read.schema(asked.schema).option("recursiveFileLookup", True).parquet(folder).inputFiles())
+    asked.filter(~first).write.mode("append").parquet(folder)
     end = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("id"), (F.col("ts") + F.expr("INTERVAL 80 DAYS")).alias("ts"), F.lit("poll").alias("kind"), F.lit(None).cast("long").alias("entry"))
     end.coalesce(1).write.mode("append").parquet(folder)
-    stream = T.event_stream(spark, folder, asked.schema)
+    stream = T.event_stream(spark, folder, asked.schema, max(1, files))
     put_batch = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
     with limiter.rocksdb(spark):
         T.drain(lambda: leases.leased(stream, "user_id", TERMS, "40 days").writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put_batch).start())

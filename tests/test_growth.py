@@ -8,7 +8,7 @@ import pytest
 
 from planlark import plans
 from planlark.operators import geometry, relational, retrieval, text_index
-from planlark.streaming import limiter
+from planlark.streaming import leases, limiter, streams
 
 
 def test_texts_of_one_block_share_a_terms_posting(spark, tmp_path):
@@ -112,3 +112,33 @@ def test_waiting_calls_are_folded_slot_by_slot():
     fold = limiter.Fold(limits)
     assert got == [("a", i, at, *fold.call(at, tokens, busy, answered)) for at, i, tokens, busy, answered in sorted(calls)]
     assert most < 2500 and len(handle.timers) == 3
+
+
+def test_a_call_folds_a_bucket_of_keys(monkeypatch):
+    monkeypatch.setattr(leases, "PACKED", 700)
+    terms, rng = leases.Terms(batch=2, lease_us=50, most_refusals=2), random.Random(4)
+    events = [(rng.choice((None, *map(str, range(300)))), rng.randint(0, 1000), i, rng.randrange(4), rng.randint(0, 3)) for i in range(6000)]
+    one, handle, got = leases.Leases(terms, "box"), Kept(), []
+    one.init(handle)
+    for part in range(2):  # two batches of the stream, and the marks after them
+        frames = [pd.DataFrame(events[i : i + 500], columns=leases.EVENTS.names) for i in range(part * 3000, part * 3000 + 3000, 500)]
+        assert [*one.handleInputRows((7,), iter(frames), None)] == []
+    assert len(one.coming.get()) < 12 and len(handle.timers) < 12
+    for mark in (0, 1, 1, 5):
+        for out in one.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None):  # noqa: B023
+            got += out.itertuples(index=False, name=None)
+        assert (mark == 0) == (not got)
+    queues, want = {}, []
+    for name, at, i, kind, entry in sorted(events, key=lambda e: e[1:]):
+        want += [(name, i, at, *x) for x in queues.setdefault(name, leases.Queue(terms)).event(at, leases.KINDS[kind], entry)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {x[3] for x in want} == {"claimed", "done", "refused", "abandoned", "late"}
+    assert not one.first.exists() and not one.coming.exists()
+
+
+def test_keys_are_dealt_into_a_bounded_number_of_states(spark, tmp_path):
+    schema = "box long, id long, ts timestamp, kind string, entry long"
+    found = leases.leased(streams.event_stream(spark, str(tmp_path), spark.createDataFrame([], schema).schema), "box", leases.Terms(1, 1), "1 day")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(box" in plan and f"cast({leases.BUCKETS} as bigint)) AS bucket" in plan
+    assert found.schema["box"].dataType.simpleString() == "bigint"
