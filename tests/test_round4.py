@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -31,3 +32,21 @@ def test_every_vector_has_its_neighbours(spark, tmp_path, monkeypatch, block):
         pairs = sorted(((s is None, -(s or 0.0), j, s) for j, w, t in rows if t == scope is not None and j != i for s in [dot_cosine(v, w)]))
         want += [(i, k + 1, p[2], p[3]) for k, p in enumerate(pairs[:5])]
     assert got == sorted(want, key=lambda x: x[:2]) and len({g[0] for g in got}) > 50
+
+
+def test_pairs_that_agree_on_nothing_are_listed(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice(["x", "y", None]), rng.choice(["t", "u", None])) for i in range(60)]
+    pq.write_table(pa.Table.from_pylist([dict(zip(("p_partkey", "p_brand", "p_size", "p_name", "p_type"), r, strict=True)) for r in rows]), tmp_path / "part.parquet")
+    got = sorted((r.left_id, r.right_id, r.score) for r in plans.QUERIES["metadata_lane"](spark, str(tmp_path)).collect())
+    agree = lambda x, y: x is not None and x == y
+    want = [(a[0], b[0], (3 * agree(a[2], b[2]) + 2 * agree(a[3], b[3])) / 5) for a in rows for b in rows if a != b and agree(a[1], b[1]) and (a[4] is None or b[4] is None or a[4] == b[4])]
+    assert got == sorted(want) and {g[2] for g in got} == {0.0, 0.4, 0.6, 1.0}
+    sql = connect_part(tmp_path).execute(plans.ORACLE_SQL["metadata_lane"]).fetchall()
+    assert sorted((a, b, s) for a, b, s in sql) == got
+
+
+def connect_part(folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet')")
+    return con
