@@ -2,14 +2,18 @@
 
 import math
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from planlark import plans
+from planlark.functions import labels as L
+from planlark.functions import long_labels
 from planlark.operators import retrieval as X
 
 
@@ -50,3 +54,38 @@ def connect_part(folder):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet')")
     return con
+
+
+def exact(v):
+    return v and Fraction(v["num"], v["den"])
+
+
+def labels_read(spark, texts):
+    v = F.col("t")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", L.parse_inches(v).alias("said"), L.plain_dimension(v).alias("plain"), L.plain_dimension(v, True).alias("worded"), L.pair(v).alias("pair"), L.pair(v, True).alias("words"), L.expand_label(v).alias("sum"), L.beyond(v).alias("beyond"))
+    expanded = lambda x: x and (exact(x["value"]), x.how, [exact(p) for p in x.parts], x.shares)
+    return {r.t: (exact(r.said), exact(r.plain), exact(r.worded), r["pair"] and tuple(r["pair"]), r.words and tuple(r.words), expanded(r["sum"]), r.beyond) for r in rows.orderBy("i").collect()}
+
+
+def test_labels_of_many_digits_are_read(spark):
+    got = labels_read(spark, ['12 1/2"+13 1/4"+14 3/8"', "1234.95 [48 5/8]", '123456789 1/2"', '24.0000000000000000000000000"', "1234567890123\'-6\"", '99999999999999999999"', '100000 1/2"(12 EQ)', "12345678901", "000000610 [24]", '123456789" VIF', None])
+    tops = {t: (g[0], g[1], g[5] and g[5][0], g[6]) for t, g in got.items()}
+    assert tops == {
+        '12 1/2"+13 1/4"+14 3/8"': (None, None, Fraction(321, 8), None), "1234.95 [48 5/8]": (Fraction(389, 8), Fraction(389, 8), None, None), '123456789 1/2"': (Fraction(246913579, 2),) * 2 + (None, None),
+        '24.0000000000000000000000000"': (24, 24, None, None), "1234567890123'-6\"": (14814814681482,) * 2 + (None, None), '99999999999999999999"': (None, None, None, "beyond_64_bits"),
+        '100000 1/2"(12 EQ)': (None, None, Fraction(200001, 2), None), "12345678901": (None,) * 4, "000000610 [24]": (24, 24, None, None), '123456789" VIF': (None,) * 4, None: (None,) * 4,
+    }
+    assert got["1234.95 [48 5/8]"][3] == ("48 5/8", None) and got['100000 1/2"(12 EQ)'][5] == (Fraction(200001, 2), "equal-shares", [Fraction(200001, 2)], 12)
+
+
+def test_long_and_short_labels_follow_the_same_rules(spark):
+    rng = random.Random(6)
+    pieces = ["1", "2", "24", "610", "635", "25", "3/8", "1/2", "5/4", "3/5", "0", "1/0", " ", " ", "-", "'", '"', "''", "+", ".", "[", "]", "(", ")", " EQ)", "mm", " MM", "in", " inches", "ft", "yd", "½", "1⁄4", "”", "′", "filler", " VIF", "/", "a", "\t", "eq"]
+    whole = ["14 3/8\"", "648 [25 1/2]", "25\" [635]", "305 mm [12]", "12\" [305MM]", "36\"(3 EQ)", "5'-0\"", "2' - 10 1/2", "3\"+4 1/2\" Filler", "610 [24-3/4]", "24.25 in", "[24.5]", "5’ 6″", "7 ft", "25.4mm", "30 1/2\" (VIF)", "10 1/2\" (a) (b)"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 7))) for _ in range(700)] + [w[:i] + rng.choice(pieces) + w[i + rng.randint(0, 1) :] for w in whole for _ in range(25) for i in [rng.randint(0, len(w))]] + whole
+    texts = [t for t in dict.fromkeys(texts) if sum(c in "0123456789" for c in t) <= L.MOST_DIGITS]
+    X_ = long_labels
+    own = {t: (X_.parse_inches(t), X_.plain_dimension(t, False), X_.plain_dimension(t, True), X_.pair(t, False), X_.pair(t, True), X_.expand_label(t), None) for t in texts}
+    got = labels_read(spark, texts)
+    assert {t: (got[t], own[t]) for t in texts if got[t] != own[t]} == {}
+    assert sum(any(x is not None for x in v) for v in own.values()) > 80
