@@ -89,3 +89,25 @@ def test_long_and_short_labels_follow_the_same_rules(spark):
     got = labels_read(spark, texts)
     assert {t: (got[t], own[t]) for t in texts if got[t] != own[t]} == {}
     assert sum(any(x is not None for x in v) for v in own.values()) > 80
+
+
+def test_fusion_of_a_group_is_ranked_in_arrays(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 1, 2, None]), rng.choice([None, *range(-6, 7)])) for i in rng.sample(range(-50, 400), 150)]
+    df = spark.createDataFrame(rows, "id long, g int, a long").withColumn("number", F.col("id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        found = X.fused_by_nearness(df, "g", ["a", "number"], lambda left, right: (left + right) % 10 == 0, tasks=3)
+        got = sorted((r.left_id, r["rank"], r.right_id, r.score) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for i, g, a in rows:
+        others = [(j, abs(a - b) if a is not None is not b else math.inf) for j, h, b in rows if h == g is not None and j != i]
+        one = {j: n for n, (j, _) in enumerate(sorted(others, key=lambda x: (x[1], x[0])), 1)}
+        two = {j: n for n, (j, _) in enumerate(sorted(others, key=lambda x: (abs(i - x[0]), x[0])), 1)}
+        scores = sorted((-math.floor((1 / (60 + one[j]) + 1 / (60 + two[j])) * 1e9 + 0.5), j) for j in one if (i + j) % 10)
+        want += [(i, n, j, -s / 1e9) for n, (s, j) in enumerate(scores, 1)]
+    assert got == sorted(want)
+    plan = plans.QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") == 1 and "MapInArrow" in plan and "Join" not in plan
