@@ -131,12 +131,25 @@ def nearest_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     j AS (SELECT l.id AS l_id, r.id AS r_id, (least(l.x + l.s, r.x + r.s) - greatest(l.x, r.x)) * (least(l.y + l.s, r.y + r.s) - greatest(l.y, r.y)) AS common, l.s * l.s + r.s * r.s AS area FROM l JOIN r ON greatest(l.x, r.x) < least(l.x + l.s, r.x + r.s) AND greatest(l.y, r.y) < least(l.y + l.s, r.y + r.s))
     SELECT l_id, r_id, CAST(common AS BIGINT) AS common, CAST(area - common AS BIGINT) AS joined, common * 100 >= (area - common) * 50 AS good FROM j""")
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping boxes by a grid, each pair once, and their exact overlap. Boxes of one place and size meet as one;
-    only what overlaps is then joined with its rows."""
+    """Overlapping boxes by a grid, each pair once, and their exact overlap. Boxes of one place and size meet as one; what
+    overlaps is joined with the lists of their ids, and pairs of ids are made last and moved nowhere."""
     l, r = part_boxes(spark, sf_dir)
     found = box_classes(l.select(*BOX["l"]).distinct(), r.select(*BOX["r"]).distinct())
-    found = found.join(l, BOX["l"]).join(r.hint("merge"), BOX["r"])
-    return found.select("l_id", "r_id", "common", "joined", (F.col("common") * 100 >= F.col("joined") * 50).alias("good"))
+    found = found.withColumn("good", F.col("common") * 100 >= F.col("joined") * 50)
+    both = found.join(ids_of_boxes(l, "l").hint("merge"), BOX["l"]).join(ids_of_boxes(r, "r").hint("merge"), BOX["r"])
+    pairs = both.select("l_ids", "r_ids", "common", "joined", "good").withColumn("l_id", F.explode("l_ids")).withColumn("r_id", F.explode("r_ids"))
+    return pairs.select("l_id", "r_id", "common", "joined", "good")
+
+
+#: About how many ids of a box are one list.
+LISTED = 1024
+
+
+def ids_of_boxes(boxes: DataFrame, n: str) -> DataFrame:
+    """The boxes of one side with their ids, in lists of some ``LISTED``."""
+    lists = F.ceil(F.count("*").over(Window.partitionBy(*BOX[n])) / F.lit(LISTED))
+    dealt = boxes.select(f"{n}_id", *BOX[n], F.pmod(F.xxhash64(f"{n}_id"), lists).alias("__list"))
+    return dealt.groupBy(*BOX[n], "__list").agg(F.collect_list(f"{n}_id").alias(f"{n}_ids")).drop("__list")
 
 
 BOX = {n: [f"{n}_{c}" for c in ("x0", "y0", "x1", "y1")] for n in "lr"}

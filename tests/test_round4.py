@@ -15,6 +15,7 @@ from planlark import plans
 from planlark.functions import labels as L
 from planlark.functions import long_labels
 from planlark.operators import retrieval as X
+from planlark.plans import geometry
 
 
 def dot_cosine(a, b):
@@ -111,3 +112,17 @@ def test_fusion_of_a_group_is_ranked_in_arrays(spark, monkeypatch):
     assert got == sorted(want)
     plan = plans.QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window ") == 1 and "MapInArrow" in plan and "Join" not in plan
+
+
+def test_pairs_of_boxes_are_made_last(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geometry, "LISTED", 7)
+    rng = random.Random(7)
+    rows = [(1000 * (i // 40) + i % 40, rng.choice([5, 60, 400])) for i in range(1200)]
+    pq.write_table(pa.table({"p_partkey": [r[0] for r in rows], "p_size": pa.array([r[1] for r in rows], pa.int32())}), tmp_path / "part.parquet")
+    found = plans.QUERIES["box_iou"](spark, str(tmp_path))
+    got = sorted(map(tuple, found.select("l_id", "r_id", "common", "joined", "good").collect()))
+    sql = connect_part(tmp_path).execute(f"SELECT l_id, r_id, common, joined, good FROM ({plans.ORACLE_SQL['box_iou']})").fetchall()
+    assert got == sorted(sql) and len(got) > 5000
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins, made = ([i for i, x in enumerate(plan) if word in x] for word in ("Join Inner", "Generate explode(l_ids"))
+    assert made and max(made) < min(joins)
