@@ -1,8 +1,8 @@
 """The items of a project over rounds and checks: where each stands, counts per round, and vendors' records. Q9.
 
 Sightings have sid, package, answer, at, place, folded, round, page, status (different, check, same), compared, told (what
-was stored about the round), decision, decided_at, decided_by; ``links`` gives each sid its item. Everything is grouping
-by item or by item and round, with partial aggregation, and one window over an item's rounds.
+was stored about the round), decision, decided_at, decided_by; ``links`` gives each sid its item. Nothing leaves its package, so
+everything is groups and windows inside one, which rows dealt by package need no other shuffle for.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ TOLD = {
 }
 
 
+#: The columns of an item.
+ITEM = ["item", "package", "state", "open_kind", "fixed_round", "tags", "first_round", "round_now", "page", "ever_wrong", "checks_seen", "sightings", "decision", "decided_by", "first_seen", "last_seen"]
+
+
 def told(word: Column) -> Column:
     """The word in its newer form; null for what is not known."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in TOLD.items() for x in kv]), word)
@@ -42,62 +46,76 @@ def per_round(sightings: DataFrame) -> DataFrame:
     return rounds.withColumn("next", F.lead("round").over(Window.partitionBy("item").orderBy("round")))
 
 
-def items(sightings: DataFrame) -> DataFrame:
-    """One row per item that was ever open: state (open, fixed, right_later, not_a_problem), open_kind, fixed_round, tags.
+def judged_rounds(sightings: DataFrame) -> DataFrame:
+    """One row per item and round with what the item has come to by all its rounds (``state`` is null if it was never open); ``told``
+    and ``status`` are those of the round's newest check, null where none counts, and ``first`` marks an item's first row.
 
-    The latest round decides, unless the latest decision on any of its findings is that it is no problem."""
-    here = F.struct("at", "answer", "place")
-    decision = F.when(F.col("decision").isNotNull(), F.struct("decided_at", *[F.col(c) for c in ("at", "answer", "place")]))
-    whole = sightings.groupBy("item", "package").agg(
-        F.min("round").alias("first_round"),
+    The latest round decides, unless the latest decision on any of its findings is that it is no problem. All of it is windows
+    and groups inside a package, one after another, so rows that are dealt by package are not moved again."""
+    is_counted = (F.col("status") != "same") | F.coalesce("compared", F.lit(True))
+    fresh = F.row_number().over(Window.partitionBy("package", "item", "answer").orderBy("place")) == 1
+    decided = F.when(F.col("decision").isNotNull(), F.struct("decided_at", "at", "answer", "place"))
+    rows = sightings.withColumns({"__fresh": fresh, "__counted": is_counted})
+    rows = rows.groupBy("package", "item", "round").agg(
+        F.max_by(F.struct("status", "told", "page"), F.when(F.col("__counted"), F.struct("at", ~F.col("folded"), "answer", "place"))).alias("s"),
+        F.max("__counted").alias("__counted"),
         F.max(is_open("status")).alias("__open"),
-        F.max(F.col("status") == "different").alias("ever_wrong"),
-        F.count_distinct("answer").alias("checks_seen"),
-        F.count("*").alias("sightings"),
-        F.max_by("decision", decision).alias("decision"),
-        F.max_by("decided_by", decision).alias("decided_by"),
+        F.max(F.col("status") == "different").alias("__wrong"),
+        F.count_if("__fresh").alias("__checks"),
+        F.count("*").alias("__n"),
+        F.max(F.struct(decided.alias("at"), "decision", "decided_by")).alias("__decided"),
         F.coalesce(F.max(F.col("told") == "new"), F.lit(False)).alias("__new"),
-        F.min(here)["at"].alias("first_seen"),
-        F.max("at").alias("last_seen"),
-    )
+        F.min("at").alias("__from"),
+        F.max("at").alias("__to"),
+    ).select("*", "s.*").drop("s")
+    every = Window.partitionBy("package", "item").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    later = Window.partitionBy("package", "item").orderBy("round").rowsBetween(1, Window.unboundedFollowing)
+    of = lambda agg: agg.over(every)
+    shown = F.when(F.col("__counted"), F.col("round"))
+    rows = rows.withColumn("next", F.min(shown).over(later))
     wrong = F.when(is_open("status"), F.col("round"))
-    last = per_round(sightings).groupBy("item").agg(
-        F.max("round").alias("round_now"),
-        F.max_by("status", "round").alias("status_now"),
-        F.max_by(F.struct("told"), "round")["told"].alias("__told"),
-        F.max_by(F.struct("page"), "round")["page"].alias("page"),
-        F.max(wrong).alias("__wrong"),
-        F.max_by(F.struct("next"), wrong)["next"].alias("__after"),
-        F.count_if(F.col("status") == "different").alias("__times"),
-    )
-    begins = sightings.groupBy("package").agg(F.min("round").alias("__begins"))
-    both = whole.filter("__open").join(last, "item").join(begins, "package")
-    fixed = F.when((F.col("status_now") == "same") & (F.col("__wrong") < F.col("round_now")), F.col("__after")).when(is_open("status_now") & F.col("__told").isin("fixed", "now_right"), F.col("round_now") + 1)
-    state = F.when(F.col("decision") == "not_a_problem", "not_a_problem").when(fixed.isNotNull(), "fixed").when(F.col("status_now") == "same", "right_later").otherwise("open")
-    both = both.withColumn("state", state)
+    rows = rows.withColumns({
+        "first": F.row_number().over(Window.partitionBy("package", "item").orderBy("round")) == 1,
+        "first_round": of(F.min("round")), "ever_wrong": of(F.max("__wrong")), "checks_seen": of(F.sum("__checks")), "sightings": of(F.sum("__n")), "__decided": of(F.max(F.when(F.col("__decided.at").isNotNull(), F.col("__decided")))),
+        "__new": of(F.max("__new")), "first_seen": of(F.min("__from")), "last_seen": of(F.max("__to")), "__open": of(F.max("__open")), "round_now": of(F.max(shown)),
+        "__last": of(F.max_by(F.struct("status", "told", "page"), shown)), "__wrong": of(F.max(wrong)), "__after": of(F.max_by(F.struct("next"), wrong))["next"], "__times": of(F.count_if(F.col("status") == "different")),
+    })
+    rows = rows.withColumn("__begins", F.min("round").over(Window.partitionBy("package").orderBy("round")))
+    now, told_now = F.col("__last.status"), F.col("__last.told")
+    fixed = F.when((now == "same") & (F.col("__wrong") < F.col("round_now")), F.col("__after")).when(now.isin("different", "check") & told_now.isin("fixed", "now_right"), F.col("round_now") + 1)
+    state = F.when(F.col("__decided.decision") == "not_a_problem", "not_a_problem").when(fixed.isNotNull(), "fixed").when(now == "same", "right_later").otherwise("open")
+    rows = rows.withColumn("state", F.when(F.col("__open"), state))
     still = F.col("state") == "open"
     tags = F.array(
         F.when((F.col("first_round") > 1) & ((F.col("first_round") > F.col("__begins")) | F.col("__new")), "New"),
-        F.when(still & ((F.col("__times") >= 2) | F.coalesce(F.col("__told") == "still_wrong", F.lit(False))), "Previous comment not addressed"),
-        F.when(still & (F.col("__told") == "still_not_compared"), "Still not compared"),
+        F.when(still & ((F.col("__times") >= 2) | F.coalesce(told_now == "still_wrong", F.lit(False))), "Previous comment not addressed"),
+        F.when(still & (told_now == "still_not_compared"), "Still not compared"),
     )
-    return both.select(
-        "item", "package", "state", F.when(still, F.when(F.col("status_now") == "different", "wrong").otherwise("decision")).alias("open_kind"), F.when(F.col("state") == "fixed", fixed).alias("fixed_round"),
-        F.array_join(F.array_compact(tags), ", ").alias("tags"), "first_round", "round_now", "page", "ever_wrong", "checks_seen", "sightings", "decision", "decided_by", "first_seen", "last_seen",
+    return rows.select(
+        "package", "item", "round", "status", "first", "state", F.when(still, F.when(now == "different", "wrong").otherwise("decision")).alias("open_kind"), F.when(F.col("state") == "fixed", fixed).alias("fixed_round"),
+        F.array_join(F.array_compact(tags), ", ").alias("tags"), "first_round", "round_now", F.col("__last.page").alias("page"), "ever_wrong", "checks_seen", "sightings", F.col("__decided.decision").alias("decision"), F.col("__decided.decided_by").alias("decided_by"), "first_seen", "last_seen",
     )
 
 
-def round_counts(sightings: DataFrame, judged: DataFrame) -> DataFrame:
-    """(package, round, items, open, wrong, decision, fixed) of every round of a package."""
-    all_rounds = sightings.select("package", "round").distinct()
-    shown = per_round(sightings).join(judged.select("item", "state"), "item")
+def items(sightings: DataFrame) -> DataFrame:
+    """One row per item that was ever open: state (open, fixed, right_later, not_a_problem), open_kind, fixed_round, tags."""
+    return judged_rounds(sightings).filter("first AND state IS NOT NULL").select(*ITEM)
+
+
+def round_counts(sightings: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """(package, round, items, open, wrong, decision, fixed) of every round of a package. The items' states come from the
+    sightings themselves, whether ``judged`` is given or not."""
+    rows = judged_rounds(sightings)
     free = F.col("state") != "not_a_problem"
-    seen = shown.groupBy("package", "round").agg(
-        F.count("*").alias("items"), F.count_if(is_open("status") & free).alias("open"), F.count_if((F.col("status") == "different") & free).alias("wrong"), F.count_if((F.col("status") == "check") & free).alias("decision")
-    )
-    fixed = judged.filter("fixed_round IS NOT NULL").groupBy("package", F.col("fixed_round").alias("round")).agg(F.count("*").alias("fixed"))
-    out = all_rounds.join(seen, ["package", "round"], "left").join(fixed, ["package", "round"], "left")
-    return out.fillna(0, ["items", "open", "wrong", "decision", "fixed"])
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    shown = F.col("status").isNotNull() & F.col("state").isNotNull()
+    parts = {"items": shown, "open": shown & is_open("status") & free, "wrong": shown & (F.col("status") == "different") & free, "decision": shown & (F.col("status") == "check") & free}
+    none = {n: F.lit(0).cast("long").alias(n) for n in parts}
+    seen = F.struct(F.col("round"), F.lit(True).alias("seen"), *[one(c).alias(n) for n, c in parts.items()], F.lit(0).cast("long").alias("fixed"))
+    mended = F.struct(F.col("fixed_round").alias("round"), F.lit(False).alias("seen"), *none.values(), F.lit(1).cast("long").alias("fixed"))
+    each = rows.select("package", F.inline(F.array_compact(F.array(seen, F.when(F.col("first") & F.col("fixed_round").isNotNull(), mended)))))
+    counts = each.groupBy("package", "round").agg(F.max("seen").alias("seen"), *[F.sum(n).alias(n) for n in (*parts, "fixed")])
+    return counts.filter("seen").drop("seen")
 
 
 def vendor_records(sets: DataFrame, sightings: DataFrame, judged: DataFrame) -> DataFrame:

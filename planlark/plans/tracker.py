@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlark.operators import links as K
@@ -86,42 +86,80 @@ ITEMS = f"""{LINKS},
         FROM (SELECT DISTINCT package, round FROM s) r LEFT JOIN (SELECT nx.*, items.state FROM nx JOIN items ON items.item = nx.item) x ON x.package = r.package AND x.round = r.round GROUP BY r.package, r.round)"""
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line of an order; a line of a large discount is folded into the order's first line."""
-    cent = lambda c: F.max(F.round(F.col(c) * 100).cast("long"))
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("place")).agg(
-        F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"), F.max(F.col("l_quantity").cast("long")).alias("q"), cent("l_discount").alias("disc"), cent("l_tax").alias("tax"),
-        F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"), F.max("l_shipdate").alias("sd"),
+#: What a line says, as small numbers in one long (name, least, how many), so that rows are short where they are moved; 0 is null.
+SAID = [("pk", -179, 359), ("sk", -59, 119), ("q", -29, 59), ("many", 0, 2), ("disc", 0, 3), ("tax", -1, 9), ("rf", 0, 3), ("ls", 0, 2), ("folded", 0, 2)]
+#: The columns of a sighting that are moved; all others follow from them.
+MOVED = ["package", "answer", "at", "place", "fp", "sd", "said"]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line of an order (``MOVED``), dealt by package; a line of a large discount is folded into the order's first line.
+    Both tables are dealt by order once."""
+    cent = lambda c: F.round(F.col(c) * 100).cast("long")
+    l = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").cast("long").alias("q"), cent("l_discount").alias("disc"),
+        cent("l_tax").alias("tax"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), F.col("l_shipdate").alias("sd"),
     )
-    first = l.groupBy("answer").agg(F.min("place").alias("fp"))
+    l = l.repartition("answer").groupBy("answer", "place").agg(*[F.max(c).alias(c) for c in l.columns[2:]])
+    l = l.withColumn("fp", F.min("place").over(Window.partitionBy("answer")))
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("answer"), F.col("o_orderdate").alias("at"))
-    b = l.join(first, "answer").join(o, "answer").withColumn("folded", (F.col("disc") >= 9) & (F.col("place") != F.col("fp")))
+    b = l.join(o.hint("merge"), "answer")
+    level = F.when(F.col("disc") >= 9, 2).when(F.col("disc") >= 2, 1).when(F.col("disc").isNotNull(), 0)
+    parts = {
+        "pk": F.col("pk") % 180, "sk": F.col("sk") % 60, "q": F.col("q") % 30, "many": F.col("q") >= 46, "disc": level, "tax": F.when(F.col("tax").isNotNull(), F.greatest(F.least("tax", F.lit(7)), F.lit(-1))),
+        "rf": F.when(F.col("rf") == "A", 0).when(F.col("rf") == "N", 1).when(F.col("rf") == "R", 2), "ls": F.col("ls") == "F", "folded": (F.col("disc") >= 9) & (F.col("place") != F.col("fp")),
+    }
+    said = F.lit(0).cast("long")
+    for name, least, n in SAID:
+        said = said * (n + 1) + F.coalesce(parts[name].cast("long") - least + 1, F.lit(0))
+    return b.withColumn("said", said).select(*MOVED).repartition("package")
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """The sightings that ``MOVED`` columns stand for."""
+    said, below, found = F.col("said"), 1, {}
+    for name, least, n in reversed(SAID):
+        part = F.pmod(((said - F.pmod(said, F.lit(below))) / F.lit(below)).cast("long"), F.lit(n + 1))  # exact: all is below 2 ** 53
+        found[name], below = F.when(part > 0, part + (least - 1)), below * (n + 1)
+    b = rows.withColumns(found).withColumn("folded", F.col("folded") == 1)
     own, sid = ~F.col("folded"), F.col("answer") * 8
     pick = lambda c, *values: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in values])
     word = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
     x0, y0 = (F.col("pk") % 30 * 12).cast("double"), (F.col("q") % 10 * 12).cast("double")
     box = F.struct(F.when(F.col("sk") % 5 != 0, word("f", "sk", 2)).alias("file"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("sk") % 3 * 40).alias("x1"), y0.alias("y1"))
-    rows = b.select(
-        (sid + F.col("place")).alias("sid"), "package", "answer", "at", "place", "folded", (sid + F.when(own, F.col("place")).otherwise(F.col("fp"))).alias("carrier"), F.nullif(F.col("sk") % 4, F.lit(0)).alias("page"),
-        F.nullif(F.col("q") % 3, F.lit(0)).alias("stated_round"), F.when(~own, "check").otherwise(pick("rf", ("A", "different"), ("N", "check"), ("R", "same"))).alias("status"), (F.col("ls") == "F").alias("compared"),
+    return b.select(
+        *rows.columns,
+        (sid + F.col("place")).alias("sid"), "folded", (sid + F.when(own, F.col("place")).otherwise(F.col("fp"))).alias("carrier"), F.nullif(F.col("sk") % 4, F.lit(0)).alias("page"),
+        F.nullif(F.col("q") % 3, F.lit(0)).alias("stated_round"), F.when(~own, "check").otherwise(pick("rf", (0, "different"), (1, "check"), (2, "same"))).alias("status"), (F.col("ls") == 1).alias("compared"),
         J.told(F.when(own, pick("tax", (1, "fixed_in_later_round"), (2, "still_wrong"), (3, "new"), (4, "still_not_compared")))).alias("told"),
-        F.when(own & (F.col("q") >= 46), F.when(F.col("pk") % 2 == 0, "not_a_problem").otherwise("agreed")).alias("decision"), F.col("sd").alias("decided_at"), word("person ", "sk", 3).alias("decided_by"),
+        F.when(own & (F.col("many") == 1), F.when(F.col("pk") % 2 == 0, "not_a_problem").otherwise("agreed")).alias("decision"), F.col("sd").alias("decided_at"), word("person ", "sk", 3).alias("decided_by"),
         F.when(own & (F.col("tax") >= 7), word("r", "pk", 10)).alias("record"), F.when(own & (F.col("tax") == 0), word("d", "pk", 12)).alias("label"), F.when(F.col("place") < 7, word("k", "pk", 9)).otherwise("").alias("words"),
-        F.when(F.col("disc") >= 2, box).alias("box"),
+        F.when(F.col("disc") >= 1, box).alias("box"),
     )
-    return K.filled_rounds(rows)
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line of an order, dealt by package."""
+    return K.filled_rounds(described(lines(spark, sf_dir)))
+
+
+def orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(package) once for every line, for counting: a line that repeats counts again."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("answer")).agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("answer"))
+    return o.join(n, "answer").select("package", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sightings with their items, written once."""
-    s = K.written(sightings(spark, sf_dir), "sightings")
-    return K.written(s.join(K.entity_links(s), "sid"), "tracked")
+    """The sightings with their items, dealt by package."""
+    rows = K.linked(sightings(spark, sf_dir), [*MOVED, "round"], orders_lines(spark, sf_dir))
+    return described(rows.drop("sid").repartition("package"))
 
 
 @query(f"{LINKS} SELECT sid, item FROM links")
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of several checks of a package that are one item, the strongest links first."""
-    return K.entity_links(sightings(spark, sf_dir))
+    return K.linked(sightings(spark, sf_dir), [], orders_lines(spark, sf_dir))
 
 
 @query(f"{ITEMS} SELECT * FROM items")
@@ -133,8 +171,7 @@ def job_tracker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ITEMS} SELECT * FROM rc")
 def job_tracker_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q9: open, wrong and fixed items of each round of a package."""
-    s = tracked(spark, sf_dir)
-    return J.round_counts(s, J.items(s))
+    return J.round_counts(tracked(spark, sf_dir))
 
 
 @query(f"""{ITEMS},
@@ -150,6 +187,6 @@ def job_tracker_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM vr JOIN vi ON vi.vendor = vr.vendor""")
 def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q9: how often each vendor is wrong, and mends it by the next round."""
-    s = tracked(spark, sf_dir)
+    s = K.written(tracked(spark, sf_dir), "tracked")
     sets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("package"), F.col("c_mktsegment").alias("vendor"))
     return J.vendor_records(sets, s, J.items(s))

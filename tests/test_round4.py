@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from planlark import plans
 from planlark.functions import labels as L
 from planlark.functions import long_labels
+from planlark.operators import links
 from planlark.operators import retrieval as X
-from planlark.plans import geometry
+from planlark.plans import geometry, tracker
 
 
 def dot_cosine(a, b):
@@ -126,3 +127,50 @@ def test_pairs_of_boxes_are_made_last(spark, tmp_path, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins, made = ([i for i, x in enumerate(plan) if word in x] for word in ("Join Inner", "Generate explode(l_ids"))
     assert made and max(made) < min(joins)
+
+
+@pytest.mark.parametrize("name", ["job_tracker_items", "job_tracker_rounds"])
+def test_lines_are_moved_three_times(spark, name):
+    """By order, by package for the fold, by package after it; rows are short and written nowhere between."""
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moves) == 4 and "tracked-" not in plan and "sightings-" not in plan  # the fourth moves the orders
+
+
+@pytest.mark.parametrize("call", [1, 30, 100_000])
+def test_packages_of_a_stream_are_folded_whole(spark, monkeypatch, call):
+    rng = random.Random(9)
+    sets = [(p, [(100 * p + i, f"w{rng.randint(0, 2)}") for i in range(rng.randint(1, 12))]) for p in range(40)]
+    rows = [(sid, p, sid, sid, 1, sid, False, 1, 1, "", None, w, False, None, 0.0, 0.0, 0.0, 0.0, i + 1) for p, held in sets for i, (sid, w) in enumerate(held)]
+    names = [*links.FOLDED, "__place"]
+    monkeypatch.setattr(links, "CALL", call)
+    stream = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows]).to_batches(max_chunksize=7)
+    got = {s: (i, k) for b in links.folded_packages(iter(stream), ["package"]) for s, i, k in zip(*(b.column(c).to_pylist() for c in ("sid", "item", "package")), strict=True)}
+    assert got == {sid: (min(s for s, v in held if v == w), p) for p, held in sets for sid, w in held}
+
+
+def test_what_a_line_says_fits_one_number(spark, tmp_path):
+    """Odd values and nulls come back from ``said`` as they went in."""
+    from datetime import datetime
+
+    rng, day = random.Random(8), datetime(1996, 1, 1)
+    odd = lambda *v: rng.choice([None, *v])
+    rows = [(i // 7, i % 7 + 1, odd(-7, 0, 179, 1234, -361), odd(-5, 4, 59, 60, 997), odd(-3.0, 1.0, 45.0, 46.0, 50.0), odd(0.0, 0.02, 0.09, 0.5), odd(-0.05, 0.0, 0.01, 0.04, 0.07, 0.3), odd("A", "N", "R", "X"), odd("F", "O"), day) for i in range(700)]
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k % 5, day) for k in range(100)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.answer, r.place): r for r in tracker.described(tracker.lines(spark, str(tmp_path))).collect()}
+    rest = lambda v, n: None if v is None else int(math.fmod(v, n))
+    for r in rows:
+        x = dict(zip(names, r, strict=True))
+        g, pk, sk, q, disc, tax = got[x["l_orderkey"], x["l_linenumber"]], x["l_partkey"], x["l_suppkey"], x["l_quantity"], x["l_discount"], x["l_tax"]
+        folded = False if x["l_linenumber"] == 1 else None if disc is None else disc >= 0.09
+        assert g.folded == folded and (g.page, g.stated_round) == (rest(sk, 4) or None, rest(q, 3) or None)
+        assert g.decided_by == (None if sk is None else f"person {rest(sk, 3)}") and g.words == (None if pk is None and x["l_linenumber"] < 7 else "" if x["l_linenumber"] == 7 else f"k{rest(pk, 9)}")
+        own = folded is False
+        assert g.decision == (None if not own or q is None or q < 46 else "not_a_problem" if pk is not None and pk % 2 == 0 else "agreed")
+        assert g.record == (f"r{rest(pk, 10)}" if own and tax is not None and tax >= 0.07 and pk is not None else None)
+        assert g.label == (f"d{rest(pk, 12)}" if own and tax == 0 and pk is not None else None)
+        assert g.told == (None if not own else {0.01: "fixed", 0.04: "still_not_compared"}.get(tax))
+        assert g.compared == (None if x["l_linestatus"] is None else x["l_linestatus"] == "F")
+        assert (g.box is not None) == (disc is not None and disc >= 0.02) and (g.box is None or (g.box.x0, g.box.y0) == (pk and rest(pk, 30) * 12.0, None if q is None else rest(q, 10) * 12.0))
