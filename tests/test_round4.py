@@ -174,3 +174,15 @@ def test_what_a_line_says_fits_one_number(spark, tmp_path):
         assert g.told == (None if not own else {0.01: "fixed", 0.04: "still_not_compared"}.get(tax))
         assert g.compared == (None if x["l_linestatus"] is None else x["l_linestatus"] == "F")
         assert (g.box is not None) == (disc is not None and disc >= 0.02) and (g.box is None or (g.box.x0, g.box.y0) == (pk and rest(pk, 30) * 12.0, None if q is None else rest(q, 10) * 12.0))
+
+
+def test_large_packages_carry_their_columns(spark, monkeypatch):
+    from tests.test_tracker import SCHEMA, brute, made
+
+    monkeypatch.setattr(links, "CALL", 18)
+    rows = made(11, packages=6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {n > 18 for n in {r.package: r["count"] for r in df.groupBy("package").count().collect()}.values()} == {True, False}
+    got = links.linked(df, ["package", "words"], df).collect()
+    assert {r.sid: r.item for r in got} == brute(rows)
+    assert sorted((r.sid, r.package, r.words) for r in got) == sorted((r[0], r[1], r[11] or "") for r in rows)
